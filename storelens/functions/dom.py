@@ -7,9 +7,12 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from storelens.functions.text import blank_to_null, contains_any, first_of, found, let, strip_tags, unescape_html
+from storelens.functions.text import STRIP_TAGS, apply, blank_to_null, contains_any, found, let, strip_tags, unescape_html
 
-QUOTES = "[\"']"
+# Quotes are written \\x22 and \\x27 so that the patterns fit into SQL text as they are.
+TRIM_QUOTES = r"^[\x22\x27]|[\x22\x27]$"
+ATTR = r"(?is)(?:^|[\s\x22\x27/]){}\s*=\s*(\x22[^\x22]+\x22|\x27[^\x27]+\x27|[^\s\x22\x27>]+)"
+HAS_ATTR = r"(?is)[\s\x22\x27/]{}(?:[\s=/>]|$)"
 
 
 def attr(opener: Column, name: str) -> Column:
@@ -19,58 +22,74 @@ def attr(opener: Column, name: str) -> Column:
 
 def raw_attr(opener: Column, name: str) -> Column:
     """Attribute value with character references as written."""
-    value = found(opener, rf"(?is)(?:^|[\s\"'/]){name}\s*=\s*(\"[^\"]+\"|'[^']+'|[^\s\"'>]+)", 1)
-    return F.regexp_replace(value, rf"^{QUOTES}|{QUOTES}$", "")
+    return F.regexp_replace(found(opener, ATTR.format(name), 1), TRIM_QUOTES, "")
 
 
 def has_attr(opener: Column, name: str) -> Column:
-    return opener.rlike(rf"(?is)[\s\"'/]{name}(?:[\s=/>]|$)")
+    return opener.rlike(HAS_ATTR.format(name))
 
 
 def first_attr(opener: Column, *names: str) -> Column:
     return let(opener, lambda o: F.coalesce(*[attr(o, n) for n in names]))
 
 
-def matches(element: Column, selector: str) -> Column:
-    """Simple selector on one element: ``.class``, ``#id``, ``tag``, ``[attr]``,
+def _value(name: str) -> str:
+    return f"regexp_replace(get(regexp_extract_all({{e}}.opener, r'{ATTR.format(name)}', 1), 0), r'{TRIM_QUOTES}', '')"
+
+
+def selector_test(selector: str) -> str:
+    """SQL test, with ``{e}`` for the element, of a simple selector: ``.class``, ``#id``, ``tag``, ``[attr]``,
     ``[attr="v"]``, ``[attr*="v"]`` (``i`` for any case), or a tag with one of the last three."""
     tag, name, operator, value, flag = re.fullmatch(
         r"([.#]?[\w-]*)(?:\[([\w-]+)(?:(\*?=)\"([^\"]*)\"( i)?)?\])?", selector
     ).groups()
     tests = []
     if tag.startswith("."):
-        tests.append(element["cls"].contains(f" {tag[1:]} "))
+        tests.append(f"contains({{e}}.cls, ' {tag[1:]} ')")
     elif tag.startswith("#"):
-        tests.append(raw_attr(element["opener"], "id") == tag[1:])
+        tests.append(f"{_value('id')} = '{tag[1:]}'")
     elif tag:
-        tests.append(element["tag"] == tag)
+        tests.append(f"{{e}}.tag = '{tag}'")
     if name == "class":
-        tests.append(element["cls"].contains(value))
+        tests.append(f"contains({{e}}.cls, '{value}')")
     elif name and value is None:
-        tests.append(has_attr(element["opener"], name))
+        tests.append(f"{{e}}.opener rlike r'{HAS_ATTR.format(name)}'")
     elif name:
-        held = raw_attr(element["opener"], name)
-        held = F.lower(held) if flag else held
-        tests.append(held.contains(value) if operator == "*=" else held == value)
-    test = tests[0]
-    for other in tests[1:]:
-        test = test & other
-    return F.coalesce(test, F.lit(False))
+        held = f"lower({_value(name)})" if flag else _value(name)
+        tests.append(f"contains({held}, '{value}')" if operator == "*=" else f"{held} = '{value}'")
+    return f"coalesce({' and '.join(tests)}, false)"
+
+
+def _named(test: str, name: str) -> str:
+    return test.replace("{e}", name)
+
+
+def matches(element: Column, selector: str) -> Column:
+    """True when the element matches the selector."""
+    return apply(f"x -> {_named(selector_test(selector), 'x')}", element)
 
 
 def matches_path(element: Column, owners: Column, selector: str) -> Column:
     """``a b``: the element matches ``b`` and one of its owners matches ``a``."""
-    *outer, last = selector.split(" ") if "[" not in selector.split(" ")[0] else [selector]
-    if last == "i]":  # a selector such as img[alt*="logo" i] has a space of its own
-        outer, last = [], selector
-    test = matches(element, last)
-    for part in outer:
-        test = test & F.exists(owners, _matching(part))
-    return test
+    return apply(f"p -> {path_test(selector, 'p.element', 'p.owners')}", _pair(element, owners))
+
+
+def _pair(element: Column, owners: Column) -> Column:
+    return F.struct(element.alias("element"), owners.alias("owners"))
+
 
+def path_test(selector: str, element: str, owners: str) -> str:
+    """SQL test of a selector with at most one outer part; a space inside brackets belongs to the selector."""
+    parts = re.findall(r"(?:\[[^\]]*\]|[^\s\[])+", selector)
+    tests = [_named(selector_test(parts[-1]), element)]
+    tests += [f"exists({owners}, o -> {_named(selector_test(part), 'o')})" for part in parts[:-1]]
+    return " and ".join(tests)
 
-def _matching(selector: str):
-    return lambda element: matches(element, selector)
+
+def selector_rank(selectors, element: Column, owners: Column) -> Column:
+    """Index of the first selector the element matches."""
+    cases = " ".join(f"when {path_test(s, 'p.element', 'p.owners')} then {i}" for i, s in enumerate(selectors))
+    return apply(f"p -> case {cases} end", _pair(element, owners))
 
 
 def class_has(element: Column, words) -> Column:
@@ -78,9 +97,13 @@ def class_has(element: Column, words) -> Column:
     return contains_any(F.lower(element["cls"]), words)
 
 
+def _first(selector: str, elements: str) -> str:
+    return f"get(filter({elements}, e -> {_named(selector_test(selector), 'e')}), 0)"
+
+
 def first_match(elements: Column, selector: str) -> Column:
     """First element, in page order, that matches the selector."""
-    return first_of(elements, lambda e: matches(e, selector))
+    return apply(f"es -> {_first(selector, 'es')}", elements)
 
 
 def element_text(element: Column) -> Column:
@@ -89,7 +112,8 @@ def element_text(element: Column) -> Column:
 
 def first_texts(elements: Column, selectors) -> Column:
     """Text of each selector's first element, in selector order."""
-    return F.transform(F.array(*[first_match(elements, s)["inner"] for s in selectors]), strip_tags)
+    found = ", ".join(f"{_first(s, 'es')}.inner" for s in selectors)
+    return apply(f"es -> transform(array({found}), {STRIP_TAGS})", elements)
 
 
 def inside(page: Column, element: Column) -> Column:

@@ -161,4 +161,5 @@ def outline(
             type=ARROW,
         )
 
-    return page_outline(markup)
+    # Keeps the optimizer from moving or repeating the call: each page is outlined once.
+    return page_outline.asNondeterministic()(markup)

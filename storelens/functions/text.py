@@ -28,6 +28,42 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def apply(sql_lambda: str, value: Column) -> Column:
+    """Like ``let`` with the rule as a SQL lambda, which costs one call however long the rule is."""
+    return F.get(F.call_function("transform", F.array(value), F.expr(sql_lambda)), F.lit(0))
+
+
+def _code_point(number: str) -> str:
+    # decode() takes bytes, so a code point is spelled as four big-endian bytes.
+    return (
+        f"get(transform(array(try_cast({number} as bigint)), cp -> if(cp between 1 and 1114111 "
+        "and not cp between 55296 and 57343, decode(unhex(lpad(hex(cp), 8, '0')), 'UTF-32'), null)), 0)"
+    )
+
+
+def _unescape(c: str) -> str:
+    # The names are one literal that folds to a constant map.
+    pairs = "\\u0001".join(f"{n}\\u0002\\u{ord(char):04x}" for n, char in sorted(ENTITY_NAMES.items()))
+    names = f"str_to_map('{pairs}', '\\u0001', '\\u0002')"
+    hexadecimal, decimal = _code_point("conv(substr(ref, 3, 6), 16, 10)"), _code_point("substr(ref, 2, 7)")
+    char = (
+        f"case when ref rlike '^#[xX]' then {hexadecimal} when startswith(ref, '#') then {decimal}"
+        f" else element_at({names}, ref) end"
+    )
+    decoded = f"coalesce(concat({char}, substr(piece, length(ref) + 2)), concat('&', piece))"
+    reference = f"get(transform(array(regexp_extract(piece, r'{ENTITY}', 1)), ref -> {decoded}), 0)"
+    return f"array_join(transform(split({c}, '&'), (piece, i) -> if(i = 0, piece, {reference})), '')"
+
+
+def _strip(h: str) -> str:
+    bare = f"regexp_replace({h}, r'{TAG}', ' ')"
+    return f"trim(regexp_replace({_unescape(bare)}, r'(?U)\\s+', ' '))"
+
+
+UNESCAPE = f"c -> {_unescape('c')}"
+STRIP_TAGS = f"h -> {_strip('h')}"
+
+
 def first_of(values: Column, accept) -> Column:
     """First entry of an array that is acceptable."""
     return F.get(F.filter(values, accept), F.lit(0))
@@ -66,7 +102,7 @@ def markup(html: Column) -> Column:
 
 def strip_tags(html: Column) -> Column:
     """Text of an HTML fragment; every tag becomes one space."""
-    return squeeze(unescape_html(F.regexp_replace(html, TAG, " ")))
+    return apply(STRIP_TAGS, html)
 
 
 def visible_text(html: Column, *, drop_regions: bool = False) -> Column:
@@ -77,38 +113,9 @@ def visible_text(html: Column, *, drop_regions: bool = False) -> Column:
     return strip_tags(body)
 
 
-def _code_point(number: Column) -> Column:
-    # decode() takes bytes, so a code point is spelled as four big-endian bytes.
-    valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
-
-
-def _entity_map() -> Column:
-    # One literal text instead of hundreds of literals keeps the plan small; it folds to a constant.
-    pairs = "\x01".join(f"{name}\x02{char}" for name, char in sorted(ENTITY_NAMES.items()))
-    return F.str_to_map(F.lit(pairs), F.lit("\x01"), F.lit("\x02"))
-
-
 def unescape_html(c: Column) -> Column:
     """Decode named, decimal and hexadecimal character references."""
-    names = _entity_map()
-
-    def decode(piece: Column) -> Column:
-        return let(F.regexp_extract(piece, ENTITY, 1), lambda ref: replaced(piece, ref))
-
-    def replaced(piece: Column, ref: Column) -> Column:
-        hexadecimal = F.conv(F.substring(ref, 3, 6), 16, 10).try_cast("bigint")
-        decimal = F.substring(ref, 2, 7).try_cast("bigint")
-        char = (
-            F.when(ref.rlike("^#[xX]"), let(hexadecimal, _code_point))
-            .when(ref.startswith("#"), let(decimal, _code_point))
-            .otherwise(F.element_at(names, ref))
-        )
-        rest = piece.substr(F.length(ref) + 2, F.length(piece))
-        return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), piece))
-
-    decoded = F.transform(F.split(c, "&"), lambda piece, i: F.when(i == 0, piece).otherwise(decode(piece)))
-    return F.array_join(decoded, "")
+    return apply(UNESCAPE, c)
 
 
 def any_of(conditions) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from storelens import rules
-from storelens.functions.text import any_of, found, let
+from storelens.functions.text import any_of, apply, found, let
 
 SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*:"
 ORIGIN = r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)"
@@ -49,46 +49,40 @@ def page_rank(url: Column) -> Column:
     return F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
 
 
-def _tidy_dots(url: Column) -> Column:
-    """Resolve ``.`` and ``..`` path segments."""
-    origin, rest = origin_of(url), F.regexp_replace(url, ORIGIN, "")
-    path, suffix = F.regexp_extract(rest, r"^([^?#]*)(.*)$", 1), F.regexp_extract(rest, r"^([^?#]*)(.*)$", 2)
-    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
-    kept = F.aggregate(
-        parts,
-        F.array().cast("array<string>"),
-        lambda acc, part: F.when(part == ".", acc)
-        .when(part == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-        .otherwise(F.concat(acc, F.array(part))),
-    )
-    closing = F.when(path.rlike(r"/\.{1,2}$"), "/").otherwise("")
-    return F.concat(origin, F.lit("/"), F.array_join(kept, "/"), closing, suffix)
+# Reference r = (href, base) to an absolute URL; the folder of a base without a path is its root.
+_PAGE = "regexp_replace(r.base, '[?#].*$', '')"
+_ORIGIN = f"regexp_extract(r.base, r'{ORIGIN}', 1)"
+_JOIN = f"""r -> case
+  when r.href = '' then r.base
+  when startswith(r.href, 'http') or r.href rlike r'{SCHEME}' then r.href
+  when startswith(r.href, '//') then concat(regexp_extract(r.base, r'{SCHEME}', 0), r.href)
+  when startswith(r.href, '/') then concat({_ORIGIN}, r.href)
+  when startswith(r.href, '?') then concat({_PAGE}, r.href)
+  when startswith(r.href, '#') then concat(regexp_replace(r.base, '#.*$', ''), r.href)
+  when {_PAGE} = {_ORIGIN} then concat({_ORIGIN}, '/', r.href)
+  else concat(regexp_replace({_PAGE}, '[^/]*$', ''), r.href) end"""
+
+# Resolves '.' and '..' segments of a joined URL u = (url, origin, path, suffix).
+_TIDY = """u -> concat(u.origin, '/',
+  array_join(aggregate(split(regexp_replace(u.path, '^/', ''), '/'), cast(array() as array<string>), (acc, part) -> case
+    when part = '.' then acc
+    when part = '..' then slice(acc, 1, greatest(size(acc) - 1, 0))
+    else concat(acc, array(part)) end), '/'),
+  if(u.path rlike r'/[.]{1,2}$', '/', ''), u.suffix)"""
+_SPLIT = f"""u -> named_struct('origin', regexp_extract(u, r'{ORIGIN}', 1),
+  'path', regexp_extract(regexp_replace(u, r'{ORIGIN}', ''), '^[^?#]*', 0),
+  'suffix', regexp_extract(u, '[?#].*$', 0))"""
 
 
 def resolve_url(href: Column, base: Column) -> Column:
     """Absolute URL of ``href`` found on ``base``."""
     pair = F.struct(href.alias("href"), base.alias("base"))
-    joined = let(pair, lambda p: _joined(p["href"], p["base"]))
-    dotted = ~href.startswith("http") & href.rlike(r"(^|/)\.{1,2}(/|$|[?#])")
-    return let(
-        F.struct(joined.alias("url"), dotted.alias("dotted")),
-        lambda j: F.when(j["dotted"], _tidy_dots(j["url"])).otherwise(j["url"]),
-    )
-
-
-def _joined(href: Column, base: Column) -> Column:
-    page = F.regexp_replace(base, "[?#].*$", "")
-    origin = origin_of(base)
-    folder = F.when(page == origin, F.concat(origin, F.lit("/"))).otherwise(F.regexp_replace(page, "[^/]*$", ""))
-    return (
-        F.when(href == "", base)
-        .when(href.startswith("http") | href.rlike(SCHEME), href)
-        .when(href.startswith("//"), F.concat(F.regexp_extract(base, SCHEME, 0), href))
-        .when(href.startswith("/"), F.concat(origin, href))
-        .when(href.startswith("?"), F.concat(page, href))
-        .when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href))
-        .otherwise(F.concat(folder, href))
+    tidied = (
+        f"j -> if(startswith(j.href, 'http') or not j.href rlike r'(^|/)[.]{{1,2}}(/|$|[?#])', j.url,"
+        f" get(transform(transform(array(j.url), {_SPLIT}), {_TIDY}), 0))"
     )
+    joined = f"r -> named_struct('href', r.href, 'url', get(transform(array(r), {_JOIN}), 0))"
+    return apply(tidied, apply(joined, pair))
 
 
 def clean_social_url(url: Column) -> Column:

@@ -12,14 +12,10 @@ from storelens.operators.registry import operator
 from storelens.operators.relations import PAGE
 
 
-def _page_owners(element: Column) -> Column:
-    return dom.owners(F.col("dom"), element)
-
-
 def _first_img(selector: str) -> Column:
     """First image, in page order, matching a selector such as ``.logo img``."""
-    hits = F.filter("dom", lambda e: dom.matches_path(e, _page_owners(e), selector))
-    return F.get(hits, F.lit(0))["opener"]
+    around = "transform(e.above, i -> get(dom, i - 1))"
+    return F.expr(f"get(filter(dom, e -> {dom.path_test(selector, 'e', around)}), 0).opener")
 
 
 def with_outline(pages: DataFrame) -> DataFrame:

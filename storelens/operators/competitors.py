@@ -12,7 +12,7 @@ from storelens.operators.ranking import first_per_key, limit_per_key, salted_joi
 from storelens.operators.registry import operator
 from storelens.operators.relations import PAGE
 
-ORDER = ("strategy", "query_rank", "engine_rank", "seq")
+ORDER = ("strategy", "query_rank", "engine_rank", "seq", "url")
 
 
 @operator("competitor_category")

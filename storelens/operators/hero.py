@@ -67,16 +67,15 @@ def _links_in(blocks: DataFrame) -> DataFrame:
 
 def _placed(rows: DataFrame, kinds, item: Column) -> DataFrame:
     """One row per (block, page section it stands in), ordered as the sections are walked."""
-    owner = F.col("owner")
-    cases = [
-        F.when(dom.matches(owner, selector), F.struct(F.lit(kind).alias("kind"), F.lit(place).alias("place")))
+    cases = ", ".join(
+        f"if({dom.path_test(selector, 'owner', 'owners')}, named_struct('kind', {kind}, 'place', {place}), null)"
         for kind, (name, selectors) in enumerate(rules.HERO_SECTION_RULES)
         if name in kinds
         for place, selector in enumerate(selectors)
-    ]
+    )
     placed = (
         rows.withColumn("owner", F.explode("owners"))
-        .withColumn("spot", F.explode(F.array_compact(F.array(*cases))))
+        .withColumn("spot", F.explode(F.expr(f"array_compact(array({cases}))")))
         .withColumn("item", item)
         .filter(F.col("item").isNotNull())
     )
@@ -93,8 +92,8 @@ def union_hero(pages: DataFrame) -> DataFrame:
     blocks = relations.page_blocks(pages)
     cards, links = products.product_blocks(blocks), _links_in(blocks)
     card, around = F.col("card"), F.col("owners")
-    in_hero = products._selector_rank(rules.HERO_ITEM_SELECTORS, card, around)
-    in_featured = products._selector_rank(rules.FEATURED_ITEM_SELECTORS, card, around)
+    in_hero = dom.selector_rank(rules.HERO_ITEM_SELECTORS, card, around)
+    in_featured = dom.selector_rank(rules.FEATURED_ITEM_SELECTORS, card, around)
     from_cards = (
         _placed(cards, ("hero",), in_hero)
         .unionByName(_placed(cards, ("featured", "carousel"), in_featured))

@@ -251,25 +251,12 @@ def card_fields(blocks: DataFrame, style: str = "default") -> DataFrame:
 
 def _card_tags() -> Column:
     """Cleaned tag texts inside the card, by selector; the tag's own owners are looked up in the card."""
-    parts, first = F.col("parts"), F.col("card.seq") + 1
-
-    def tags_of(selector):
-        def hit(e):
-            around = F.transform(F.filter(e["above"], lambda i: i >= first), lambda i: F.get(parts, i - first))
-            return dom.matches_path(e, around, selector)
-
-        return F.transform(F.filter(parts, hit), lambda e: text.clean_text(text.strip_tags(e["inner"])))
-
-    tags = F.filter(F.concat(*[tags_of(s) for s in rules.CARD_TAG_SELECTORS]), lambda t: t != "")
-    return F.when(F.size(tags) > 0, tags)
-
-
-def _selector_rank(selectors, element: Column, around: Column) -> Column:
-    """Index of the first selector the element matches."""
-    case = F.when(F.lit(False), F.lit(None).cast("int"))
-    for i, selector in enumerate(selectors):
-        case = case.when(dom.matches_path(element, around, selector), F.lit(i))
-    return case
+    around = "transform(filter(e.above, i -> i > card.seq), i -> get(parts, i - card.seq - 1))"
+    found = ", ".join(
+        f"transform(filter(parts, e -> {dom.path_test(s, 'e', around)}), e -> e.inner)" for s in rules.CARD_TAG_SELECTORS
+    )
+    shown = F.transform(F.expr(f"concat({found})"), lambda inner: text.clean_text(text.strip_tags(inner)))
+    return text.let(F.filter(shown, lambda t: t != ""), lambda tags: F.when(F.size(tags) > 0, tags))
 
 
 @operator("products_from_cards")
@@ -283,20 +270,20 @@ def products_from_cards(pages: DataFrame, *, style: str = "default") -> DataFram
     blocks = product_blocks(relations.page_blocks(pages))
     card, around = F.col("card"), F.col("owners")
     if style == "legacy":
-        ranked = blocks.withColumn("pick", _selector_rank(rules.LEGACY_CARD_SELECTORS, card, around))
+        ranked = blocks.withColumn("pick", dom.selector_rank(rules.LEGACY_CARD_SELECTORS, card, around))
         best = F.min("pick").over(Window.partitionBy("site", "url"))
         chosen = ranked.filter(F.col("pick").isNotNull()).withColumn("best", best).filter("pick = best")
         return card_fields(chosen.withColumn("branch", F.lit(GRID)), "legacy")
     section = F.exists(
         around, lambda o: F.coalesce(F.lower(dom.raw_attr(o["opener"], "data-section-type")).rlike("product|collection"),
                                      F.lit(False))
-    ) & _selector_rank(rules.SECTION_ITEM_SELECTORS, card, around).isNotNull()
-    ranked = blocks.withColumn("pick", _selector_rank(rules.GRID_SELECTORS, card, around)).withColumn(
+    ) & dom.selector_rank(rules.SECTION_ITEM_SELECTORS, card, around).isNotNull()
+    ranked = blocks.withColumn("pick", dom.selector_rank(rules.GRID_SELECTORS, card, around)).withColumn(
         "branch",
         F.when(F.col("pick").isNotNull(), GRID)
         .when(card["cls"].contains("product"), LIST)
         .when(section, SECTION)
-        .when(_selector_rank(rules.COLLECTION_SELECTORS, card, around).isNotNull(), COLLECTION),
+        .when(dom.selector_rank(rules.COLLECTION_SELECTORS, card, around).isNotNull(), COLLECTION),
     )
     # Within the grid branch the selector decides before the position on the page.
     ordered = ranked.filter(F.col("branch").isNotNull()).withColumn(
@@ -342,7 +329,7 @@ def page_products(pages: DataFrame, n: int) -> DataFrame:
 def single_product(pages: DataFrame) -> DataFrame:
     """The product of a product page: its main block when that names one, else the page's first product."""
     blocks = product_blocks(relations.page_blocks(pages))
-    pick = _selector_rank(rules.SINGLE_PRODUCT_SELECTORS, F.col("card"), F.col("owners"))
+    pick = dom.selector_rank(rules.SINGLE_PRODUCT_SELECTORS, F.col("card"), F.col("owners"))
     main = blocks.withColumn("branch", pick).filter(F.col("branch").isNotNull())
     # Only the first element of a selector counts.
     main = first_per_key(main, ["site", "url", "branch"], ["seq"])

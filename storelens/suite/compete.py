@@ -36,7 +36,7 @@ VERIFIED_SQL = f"""
   SELECT c.* FROM cands c JOIN supplier ON l_suppkey = s_suppkey WHERE {FLAGGED}
   QUALIFY engine_rank = min(engine_rank) OVER (PARTITION BY site, query_rank)),
 unique_cands AS (
-  SELECT * FROM verified QUALIFY row_number() OVER (PARTITION BY site, lower(name) ORDER BY query_rank, engine_rank, seq) = 1)
+  SELECT * FROM verified QUALIFY row_number() OVER (PARTITION BY site, lower(name) ORDER BY query_rank, engine_rank, seq, url) = 1)
 """
 
 
@@ -62,7 +62,7 @@ def dedup_candidates(spark, sf):
 
 @query("dedup_candidates_by_host", f"""
 WITH {CANDIDATES_SQL} SELECT site, query_rank, seq, url FROM cands
-QUALIFY row_number() OVER (PARTITION BY site, host ORDER BY query_rank, engine_rank, seq) = 1""")
+QUALIFY row_number() OVER (PARTITION BY site, host ORDER BY query_rank, engine_rank, seq, url) = 1""")
 def dedup_candidates_by_host(spark, sf):
     return competitors.dedup_candidates_by_host(inputs.candidates(spark, sf)).select("site", "query_rank", "seq", "url")
 
@@ -103,7 +103,7 @@ def fallback_candidates(spark, sf):
 
 FOUND_SQL = f"""
 {BRANDS_SQL}, {VERIFIED_SQL}, {FALLBACK_SQL}, found AS (
-  SELECT site, name, url, 'search' AS source, row_number() OVER (PARTITION BY site ORDER BY query_rank, engine_rank, seq) AS rank
+  SELECT site, name, url, 'search' AS source, row_number() OVER (PARTITION BY site ORDER BY query_rank, engine_rank, seq, url) AS rank
   FROM unique_cands WHERE site IN (SELECT site FROM brands) QUALIFY rank <= 10
   UNION ALL SELECT site, name, url, source, row_number() OVER (PARTITION BY site ORDER BY seq) FROM fallback)
 """
@@ -351,7 +351,7 @@ def _folder(spark, name):
 def stream_page_dedup(spark, sf):
     """Every page is delivered twice; the stream keeps one copy."""
     folder = _folder(spark, "pages")
-    pages = inputs.table(spark, sf, "pages").select("url", "html", F.timestamp_seconds("page_id").alias("fetched_at"))
+    pages = inputs.table(spark, sf, "pages").select("url", "html", F.timestamp_seconds(F.col("page_id") + 86400).alias("fetched_at"))
     twice = pages.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
     twice.write.parquet(f"{folder}/in")
     kept = refresh.stream_page_dedup(refresh.page_stream(spark, f"{folder}/in"), "1 day")

@@ -333,8 +333,8 @@ def faq_pages(spark, sf) -> DataFrame:
         .when(
             F.col("turn") == 2,
             render(
-                '<section id="help-me"><div class="accordion-item"><button>{{question}}</button>'
-                '<div class="panel"><div class="answer">{{answer}}</div></div></div></section>'
+                '<div id="help-me"><div class="accordion-item"><button>{{question}}</button>'
+                '<div class="panel"><div class="answer">{{answer}}</div></div></div></div>'
             ),
         )
         .otherwise(render('<div class="faq"><h4>{{question}}</h4><p>{{answer}}</p></div>'))

@@ -373,7 +373,7 @@ WITH {PARTS_SQL}, {FEED_SQL}, tagged AS (
          bool_or(p_type = 'PROMO') OVER (PARTITION BY shop) AS home
   FROM feed_rows WHERE p_type IN ('PROMO', 'STANDARD', 'LARGE')),
 hero AS (SELECT site, string_agg(p_name, '|' ORDER BY r) AS hero FROM tagged WHERE r <= CASE WHEN home THEN 10 ELSE 6 END GROUP BY 1)
-SELECT shop AS site, count(*) AS total_products, any_value(hero) AS hero FROM parts LEFT JOIN hero ON shop = site GROUP BY 1""")
+SELECT shop AS site, count(*) AS total_products, any_value(hero) AS hero FROM parts LEFT JOIN hero ON shop = hero.site GROUP BY shop""")
 def assemble_catalog(spark, sf):
     insights, _ = assemble.build_insights(inputs.shop_homes(spark, sf), inputs.shop_feeds(spark, sf))
     return insights.select(
