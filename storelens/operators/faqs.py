@@ -118,7 +118,7 @@ def faq_blocks(pages: DataFrame, *, whole_page: bool = False, fallback_content:
     body = [dom.first_match(page, s) for s in ("main", "article", ".content")] if fallback_content else []
     chosen = [by_class, by_id, F.slice(F.array_compact(F.array(*body)), 1, 1)] if body else [by_class, by_id]
     containers = text.first_of(F.array(*chosen), lambda c: F.size(c) > 0)
-    listed = blocks.withColumn("containers", containers).filter(F.size("containers") > 0)
+    listed = blocks.withColumn("containers", containers)
     pairs = F.flatten(F.transform("containers", lambda c: _by_method(page, dom.inside(page, c))))
     numbered = F.transform(pairs, lambda p, i: _pair(p["question"], p["answer"], i))
     return _named(listed.select(*PAGE, F.inline(numbered)))

@@ -17,6 +17,7 @@ from storelens.functions.outline import outline
 from storelens.operators.registry import operator
 
 PAGE = ("site", "url", "page_rank")
+LD_PATTERN = r"(?is)<script\b[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>"
 
 
 @operator("read_pages")
@@ -35,12 +36,12 @@ def base_url(url: Column) -> Column:
     return urls.normalize_site_url(url)
 
 
-def link_array(html: Column, url: Column) -> Column:
-    """Anchors with a target, in page order, as an array of structs.
+def link_array(body: Column, url: Column) -> Column:
+    """Anchors with a target in page markup, in page order, as an array of structs.
 
     Built in steps, each over the fields of the step before, so no regex runs twice per anchor.
     """
-    pieces = F.split(text.markup(html), r"(?i)<a(?=[\s>])")
+    pieces = F.split(body, r"(?i)<a(?=[\s>])")
     body = r"(?is)^([^>]*)>(.*?)(?:</a\b|\z)"
     raw = F.transform(
         F.slice(pieces, F.lit(2), F.size(pieces)),
@@ -79,21 +80,20 @@ def link_array(html: Column, url: Column) -> Column:
 @operator("links")
 def links(pages: DataFrame) -> DataFrame:
     """Every ``<a href>``: raw target, absolute URL, text, title, class, content, order."""
-    if "links" not in pages.columns:
-        pages = with_site(pages).select(*PAGE, link_array(F.col("html"), F.col("url")).alias("links"))
-    return pages.select(*PAGE, F.inline("links"))
+    if "links" in pages.columns:
+        return pages.select(*PAGE, F.inline("links"))
+    # Exploding the expression itself, not a column of it: a column would get a non-empty filter that
+    # is pushed to the scan and reads every page a second time.
+    return with_site(pages).select(*PAGE, F.inline(link_array(text.markup(F.col("html")), F.col("url"))))
 
 
 @operator("structured_items")
 def structured_items(pages: DataFrame) -> DataFrame:
     """JSON-LD blocks as VARIANT; a top-level array gives one row per entry, bad JSON none."""
-    pattern = r"(?is)<script\b[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>"
-    if "ld_blocks" not in pages.columns:
-        blocks = F.regexp_extract_all("html", F.lit(pattern), F.lit(1))
-        pages = with_site(pages).select(*PAGE, blocks.alias("ld_blocks"))
-    parsed = pages.select(*PAGE, F.posexplode("ld_blocks").alias("block", "json")).select(
-        *PAGE, "block", F.try_parse_json("json").alias("doc")
-    )
+    staged = "ld_blocks" in pages.columns
+    blocks = F.col("ld_blocks") if staged else F.regexp_extract_all("html", F.lit(LD_PATTERN), F.lit(1))
+    found = (pages if staged else with_site(pages)).select(*PAGE, F.posexplode(blocks).alias("block", "json"))
+    parsed = found.select(*PAGE, "block", F.try_parse_json("json").alias("doc"))
     entries = F.expr("coalesce(try_variant_get(doc, '$', 'array<variant>'), array(doc))")
     return (
         parsed.filter(F.col("doc").isNotNull())
@@ -255,8 +255,7 @@ def page_outline(html: Column) -> Column:
 def page_blocks(pages: DataFrame) -> DataFrame:
     """One row per page that holds blocks, with its element outline in ``dom``."""
     if "dom" not in pages.columns:
-        held = with_site(pages).filter(F.col("html").rlike(MAY_HOLD_BLOCKS))
-        pages = held.select(*PAGE, page_outline(F.col("html")).alias("dom"))
+        pages = with_site(pages).select(*PAGE, page_outline(F.col("html")).alias("dom"))
     return pages.filter(F.size("dom") > 0).select(*PAGE, "dom")
 
 

@@ -22,8 +22,6 @@ from storelens.operators.relations import PAGE
 from storelens.session import stage
 from storelens.sources import feeds as feed_source
 
-LD_PATTERN = r"(?is)<script\b[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>"
-
 
 @dataclass(frozen=True)
 class Params:
@@ -52,7 +50,7 @@ def page_digest(pages: DataFrame, params: Params = Params()) -> DataFrame:
         *PAGE, "fetched_at", "dom",
         relations.platform_flag(html, F.col("url")).alias("on_platform"),
         relations.link_array(body, F.col("url")).alias("links"),
-        F.regexp_extract_all(html, F.lit(LD_PATTERN), F.lit(1)).alias("ld_blocks"),
+        F.regexp_extract_all(html, F.lit(relations.LD_PATTERN), F.lit(1)).alias("ld_blocks"),
         relations.title_text(html).alias("title"),
         relations.meta_content(html, "property", "og:site_name").alias("site_name"),
         relations.meta_content(html, "name", "description").alias("description"),

@@ -73,7 +73,7 @@ def read_search_links(pages: DataFrame, engines=rules.SEARCH_ENGINE_RULES) -> Da
     The first n links of an engine's class are taken before the ``http`` and host filters.
     """
     keys = ("site", "strategy", "query_rank", "engine")
-    anchors = pages.select(*keys, "url", F.inline(relations.link_array(F.col("html"), F.col("url"))))
+    anchors = pages.select(*keys, "url", F.inline(relations.link_array(text.markup(F.col("html")), F.col("url"))))
     keep, rank, limit, skipped = F.lit(False), F.lit(None).cast("int"), F.lit(0), F.lit(False)
     for i, (engine, cls, n, host) in enumerate(engines):
         here = F.col("engine") == engine

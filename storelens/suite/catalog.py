@@ -292,9 +292,9 @@ def hero_position(spark, sf):
     return hero.hero_position(inputs.shop_homes(spark, sf)).select("site", "name", "product_url", "score", "hero_rank")
 
 
-# The shop home page holds cards of four part types; the feed is only kept for every shop of an even brand.
-def even_feed(spark, sf, **options):
-    return feed_products(spark, sf, **options).filter(F.regexp_extract("site", r"brand-\d*([0-9])-", 1).cast("int") % 2 == 0)
+# The shop home page holds cards of four part types; brands above 12 publish no feed.
+def some_feed(spark, sf, **options):
+    return feed_products(spark, sf, **options).filter(F.regexp_extract("site", r"brand-(\d+)-", 1).cast("int") <= 12)
 
 
 PAGE_PRODUCTS_SQL = f"""
@@ -304,26 +304,26 @@ PAGE_PRODUCTS_SQL = f"""
   FROM parts WHERE p_type IN ('SMALL', 'LARGE', 'MEDIUM')),
 banner_one AS (
   SELECT shop AS site, arg_min(handle, p_partkey) AS handle FROM parts WHERE p_type = 'PROMO' GROUP BY 1),
-even AS (SELECT * FROM feed_products WHERE CAST(regexp_extract(site, 'brand-\\d*([0-9])-', 1) AS INTEGER) % 2 = 0)
+with_feed AS (SELECT * FROM feed_products WHERE CAST(regexp_extract(site, 'brand-([0-9]+)-', 1) AS INTEGER) <= 12)
 """
 
 
 @query("catalog_with_fallback", f"""
 WITH {PAGE_PRODUCTS_SQL}
-SELECT site, name, product_url FROM even
-UNION ALL SELECT site, name, product_url FROM page_cards WHERE site NOT IN (SELECT site FROM even)""")
+SELECT site, name, product_url FROM with_feed
+UNION ALL SELECT site, name, product_url FROM page_cards WHERE site NOT IN (SELECT site FROM with_feed)""")
 def catalog_with_fallback(spark, sf):
     from_pages = products.union_products(inputs.shop_homes(spark, sf)).filter(F.col("name") != "")
-    return products.catalog_with_fallback(even_feed(spark, sf), from_pages).select("site", "name", "product_url")
+    return products.catalog_with_fallback(some_feed(spark, sf), from_pages).select("site", "name", "product_url")
 
 
 @query("hero_catalog_html", f"""
 WITH {PAGE_PRODUCTS_SQL}, cut AS (
-  SELECT * FROM page_cards WHERE site NOT IN (SELECT site FROM even)
+  SELECT * FROM page_cards WHERE site NOT IN (SELECT site FROM with_feed)
   QUALIFY row_number() OVER (PARTITION BY site ORDER BY kind, p_partkey) <= 20)
-SELECT site, name, product_url FROM even UNION ALL SELECT site, name, product_url FROM cut""")
+SELECT site, name, product_url FROM with_feed UNION ALL SELECT site, name, product_url FROM cut""")
 def hero_catalog_html(spark, sf):
-    found = hero.hero_catalog_html(even_feed(spark, sf), inputs.shop_homes(spark, sf), 20)
+    found = hero.hero_catalog_html(some_feed(spark, sf), inputs.shop_homes(spark, sf), 20)
     return found.select("site", "name", "product_url")
 
 

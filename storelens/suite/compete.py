@@ -17,7 +17,7 @@ from storelens.suite import inputs, query
 from storelens.suite.inputs import BRANDS_SQL, CANDIDATES_SQL, HOMES_SQL, HOST, render, sql_class
 
 # Suppliers whose store page counts as one of the platform.
-FLAGGED = "s_acctbal > 0"
+FLAGGED = "s_acctbal > 9000"
 
 
 def flags(spark, sf):

@@ -10,8 +10,8 @@ from storelens.plans import assemble
 from storelens.sources import feeds
 from storelens.suite import base, inputs, query
 from storelens.suite.inputs import (
-    FEED_SQL, HOMES_SQL, HOST, LINKS_SQL, PAIRS_SQL, PARTS_SQL, RANK, sql_body, sql_class, sql_clean, sql_squeeze,
-    sql_strip,
+    FEED_SQL, HOMES_SQL, HOST, LINKS_SQL, PAIRS_SQL, PARTS_SQL, RANK, sql_body, sql_class, sql_clean,
+    sql_clean_faq, sql_squeeze, sql_strip,
 )
 
 SUFFIX = r"(?i)\s*[-–|]\s*(Shop|Store|Online|Official).*$"
@@ -250,11 +250,13 @@ def faq_blocks(spark, sf):
 
 
 @query("dt_dd_zip", f"""
-WITH {PAIRS_SQL} SELECT 'conv-' || conv_id || '.example.com' AS site, question, answer FROM pairs
-WHERE turn = 0 AND length(question) > 5 AND length(answer) > 10""")
+WITH {PAIRS_SQL}, both_ways AS (
+  SELECT conv_id, question, answer FROM pairs
+  UNION ALL SELECT conv_id, {sql_clean_faq('answer')}, {sql_clean_faq('question')} FROM pairs)
+SELECT 'conv-' || conv_id || '.example.com' AS site, question, answer FROM both_ways
+WHERE length(question) > 5 AND length(answer) > 10""")
 def dt_dd_zip(spark, sf):
-    found = faqs.faq_blocks(inputs.faq_pages(spark, sf)).filter(F.col("url").endswith("?t=0"))
-    return found.select("site", "question", "answer")
+    return faqs.faq_blocks(inputs.faq_lists(spark, sf)).select("site", "question", "answer")
 
 
 @query("faq_pairs", f"""
@@ -310,18 +312,16 @@ def union_faqs(spark, sf):
 
 
 @query("faq_legacy", f"""
-WITH {PAIRS_SQL}
-SELECT 'conv-' || conv_id || '.example.com' AS site, turn, {sql_clean('question')} AS question, {sql_clean('answer')} AS answer
-FROM (
-  SELECT conv_id, turn, {sql_squeeze('q')} AS question, {sql_squeeze('a')} AS answer FROM (
-    SELECT q.conv_id, q.turn, q.text AS q, a.text AS a FROM conversations q
-    JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user' AND a.role = 'assistant'))
-WHERE length(question) > 5 AND answer <> '' AND turn = 0""")
+WITH turns AS (
+  SELECT q.conv_id, q.turn, {sql_squeeze('q.text')} AS ask, {sql_squeeze('a.text')} AS reply FROM conversations q
+  JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user' AND a.role = 'assistant'),
+both_ways AS (SELECT conv_id, turn, ask, reply FROM turns UNION ALL SELECT conv_id, turn, reply, ask FROM turns)
+SELECT 'conv-' || conv_id || '.example.com' AS site, turn, {sql_clean('ask')} AS question, {sql_clean('reply')} AS answer
+FROM both_ways WHERE length(ask) > 5 AND reply <> ''""")
 def faq_legacy(spark, sf):
-    """Definition-list pages only: the older rules read the other forms by other classes."""
-    lists = inputs.faq_pages(spark, sf).filter(F.col("url").endswith("?t=0"))
-    plain = lists.withColumn("html", F.replace("html", F.lit('<div class="faq">'), F.lit('<div class="box-help">')))
-    return faqs.faq_legacy(plain).select("site", F.lit(0).cast("bigint").alias("turn"), "question", "answer")
+    found = faqs.faq_legacy(inputs.faq_lists(spark, sf))
+    turn = F.regexp_extract("url", r"t=(\d+)", 1).cast("bigint")
+    return found.select("site", turn.alias("turn"), "question", "answer")
 
 
 # ------------------------------------------------------------- the assembled record
