@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from storelens import rules
 from storelens.operators import competitors
 from storelens.operators.registry import operator
+from storelens.sources.store import lookup_analysis
 
 
 @operator("analyze_competitors")
@@ -28,14 +29,13 @@ def analyze_competitors(
     found = competitors.find_competitors(brands, candidates, n=max_competitors, directory=directory)
     analyzed = competitors.competitor_insights(found, competitors.insight_stats(insights), **salting)
     summary = competitors.competitor_summary(analyzed, brands)
-    named = [c for c in ("brand_name", "website_url") if c in brands.columns]
-    return summary.join(brands.select("site", *named), "site") if named else summary
+    given = {"original_brand": "brand_name", "original_url": "website_url"}
+    named = [(F.col(c) if c in brands.columns else F.lit("")).alias(name) for name, c in given.items()]
+    return summary.join(brands.select("site", *named), "site")
 
 
 def analyze_with_reuse(brands: DataFrame, stored: DataFrame, candidates: DataFrame, insights: DataFrame, **options):
     """Stored analyses where a brand has one, fresh ones otherwise."""
-    from storelens.sources.store import lookup_analysis
-
     latest = lookup_analysis(stored)
     fresh_columns = [c for c in latest.columns if c not in ("analysis_id", "created_at", "updated_at")]
     return competitors.reuse_or_compute(

@@ -126,6 +126,18 @@ def from_text_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
+def complete_folders(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Numbers n of the folders ``name=n`` below a path whose write has finished."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    folders = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith(f"{name}=")]
+    done = [p for p in folders if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().split("=")[1]) for p in done)
+
+
 class StoreTable:
     """A keyed table as Parquet folders ``version=N``; the highest complete version is current."""
 
@@ -133,14 +145,7 @@ class StoreTable:
         self.spark, self.path = spark, path.rstrip("/")
 
     def versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        folders = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("version=")]
-        done = [p for p in folders if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(p.getName().split("=")[1]) for p in done)
+        return complete_folders(self.spark, self.path, "version")
 
     def folder(self, version: int) -> str:
         return f"{self.path}/version={version:020d}"
@@ -150,9 +155,9 @@ class StoreTable:
         known = [v for v in self.versions() if before is None or v < before]
         return self.spark.read.parquet(self.folder(known[-1])) if known else None
 
-    def write(self, rows: DataFrame, version: int | None = None) -> int:
+    def write(self, rows: DataFrame, version: int | None = None, *, partition_by: tuple = ()) -> int:
         version = (self.versions() or [0])[-1] + 1 if version is None else version
-        rows.write.mode("overwrite").parquet(self.folder(version))
+        rows.write.mode("overwrite").partitionBy(*partition_by).parquet(self.folder(version))
         return version
 
     def upsert(self, batch: DataFrame, now: Column | None = None, *, key="site", version: int | None = None) -> int:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,7 +12,7 @@ from storelens.operators.ranking import first_per_key
 from storelens.operators.registry import operator
 from storelens.plans import assemble
 from storelens.sources.pages import PAGE_SCHEMA
-from storelens.sources.store import StoreTable
+from storelens.sources.store import StoreTable, complete_folders
 
 BUCKETS = 256
 
@@ -30,7 +32,34 @@ def stream_page_dedup(pages: DataFrame, delay: str = "1 hour") -> DataFrame:
     )
 
 
-def refresh_batch(spark: SparkSession, pages: DataFrame, batch_id: int, store_path: str) -> None:
+def _newest(digests: DataFrame) -> DataFrame:
+    return first_per_key(digests, ["url"], [F.col("fetched_at").desc_nulls_last(), F.col("batch").desc()])
+
+
+def known_digests(spark: SparkSession, store_path: str, batch_id: int) -> DataFrame:
+    """Digests up to a batch: the last compacted table and the batch folders after it."""
+    root, compacted = f"{store_path}/digests", StoreTable(spark, f"{store_path}/digests_compacted")
+    base = max((v for v in compacted.versions() if v <= batch_id), default=-1)
+    batches = [b for b in complete_folders(spark, root, "batch") if base < b <= batch_id]
+    parts = []
+    if base >= 0:
+        parts.append(spark.read.parquet(compacted.folder(base)).withColumn("batch", F.lit(base)))
+    if batches:
+        paths = [f"{root}/batch={b}" for b in batches]
+        parts.append(spark.read.option("basePath", root).parquet(*paths))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@operator("compact_digests")
+def compact_digests(spark: SparkSession, store_path: str, batch_id: int) -> None:
+    """Merge the batch folders into one table with the newest digest per URL, so that their number stays small."""
+    rows = _newest(known_digests(spark, store_path, batch_id)).drop("batch")
+    StoreTable(spark, f"{store_path}/digests_compacted").write(rows, batch_id, partition_by=("bucket",))
+
+
+def refresh_batch(
+    spark: SparkSession, pages: DataFrame, batch_id: int, store_path: str, *, compact_every: int = 100
+) -> None:
     """Apply one batch of pages.
 
     The batch's digests go to their own folder, spread over site buckets, so a retried batch replaces
@@ -40,27 +69,27 @@ def refresh_batch(spark: SparkSession, pages: DataFrame, batch_id: int, store_pa
     latest = first_per_key(pages, ["url"], [F.col("fetched_at").desc(), F.xxhash64("html")])
     bucket = F.pmod(F.xxhash64("site"), F.lit(BUCKETS)).cast("int")
     root = f"{store_path}/digests"
-    assemble.page_digest(latest).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(
-        f"{root}/batch={batch_id}"
-    )
-    mine = spark.read.option("basePath", root).parquet(f"{root}/batch={batch_id}")
+    digests = assemble.page_digest(latest).withColumn("bucket", bucket)
+    digests.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/batch={batch_id}")
+    mine = spark.read.schema(digests.schema).option("basePath", root).parquet(f"{root}/batch={batch_id}")
     touched = [r.bucket for r in mine.select("bucket").distinct().collect()]  # at most BUCKETS values
     if not touched:
         return
-    known = spark.read.option("basePath", root).parquet(root).filter(
-        F.col("bucket").isin(touched) & (F.col("batch") <= batch_id)
-    )
+    known = known_digests(spark, store_path, batch_id).filter(F.col("bucket").isin(touched))
     of_sites = known.join(mine.select("site").distinct(), "site", "left_semi")
-    newest = first_per_key(of_sites, ["url"], [F.col("fetched_at").desc_nulls_last(), F.col("batch").desc()])
-    digest = newest.drop("bucket", "batch")
+    digest = _newest(of_sites).drop("bucket", "batch")
     main = assemble.main_pages(digest)
     catalog = assemble.build_catalog(digest, main)
     insights = assemble.insights_from_digest(digest, main, catalog)
     StoreTable(spark, f"{store_path}/insights").upsert(insights, version=batch_id + 1)
+    if batch_id % compact_every == compact_every - 1:
+        compact_digests(spark, store_path, batch_id)
 
 
 @operator("stream_insights")
-def stream_insights(pages: DataFrame, store_path: str, checkpoint: str, **trigger) -> StreamingQuery:
+def stream_insights(
+    pages: DataFrame, store_path: str, checkpoint: str, *, compact_every: int = 100, **trigger
+) -> StreamingQuery:
     """Keep the store under ``store_path`` up to date with a page stream.
 
     A restart from the checkpoint repeats at most the last batch, which rewrites its own version.
@@ -69,6 +98,8 @@ def stream_insights(pages: DataFrame, store_path: str, checkpoint: str, **trigge
     return (
         pages.writeStream.option("checkpointLocation", checkpoint)
         .trigger(**trigger)
-        .foreachBatch(lambda df, batch_id: refresh_batch(df.sparkSession, df, batch_id, store_path))
+        .foreachBatch(
+            lambda df, batch_id: refresh_batch(df.sparkSession, df, batch_id, store_path, compact_every=compact_every)
+        )
         .start()
     )
