@@ -73,33 +73,46 @@ def union_candidates(web: DataFrame, similar: DataFrame, industry: DataFrame) ->
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@operator("fallback_candidates")
-def fallback_candidates(brands: DataFrame, found: DataFrame, directory=rules.STORE_DIRECTORY) -> DataFrame:
-    """Known stores of a brand's category, for brands ``(site, category)`` without any candidate.
+def directory_candidates(brands: DataFrame, directory=rules.STORE_DIRECTORY) -> DataFrame:
+    """Known stores of every brand's category.
 
     The directory is a literal table of the program, so its broadcast has a fixed size.
     """
-    spark = brands.sparkSession
     rows = [(category, i, name, url) for i, (category, name, url) in enumerate(directory)]
-    stores = spark.createDataFrame(rows, "listed string, seq int, name string, url string")
+    stores = brands.sparkSession.createDataFrame(rows, "listed string, seq int, name string, url string")
     known = sorted({category for category, _, _ in directory})
     listed = F.when(F.col("category").isin(known), F.col("category")).otherwise(rules.DIRECTORY_DEFAULT)
-    lonely = brands.join(found.select("site").distinct(), "site", "left_anti")
-    matched = lonely.withColumn("listed", listed).join(F.broadcast(stores), "listed")
+    matched = brands.withColumn("listed", listed).join(F.broadcast(stores), "listed")
     return valid_candidates(matched).select("site", "seq", "name", "url", F.lit("fallback").alias("source"))
 
 
+@operator("fallback_candidates")
+def fallback_candidates(brands: DataFrame, found: DataFrame, directory=rules.STORE_DIRECTORY) -> DataFrame:
+    """Known stores of a brand's category, for brands ``(site, category)`` without any candidate."""
+    lonely = brands.join(found.select("site").distinct(), "site", "left_anti")
+    return directory_candidates(lonely, directory)
+
+
 @operator("find_competitors")
 def find_competitors(
     brands: DataFrame, candidates: DataFrame, *, n: int = rules.COMPETITOR_LIMIT, directory=rules.STORE_DIRECTORY
 ) -> DataFrame:
-    """At most ``n`` competitors per brand: its own candidates, else the directory."""
+    """At most ``n`` competitors per brand: its own candidates, else the directory.
+
+    Every brand gets its few directory rows, which are dropped where it has own candidates: that reads
+    the candidates once, where an anti join would read them twice.
+    """
     columns = ("site", "name", "url", "source", "rank")
     order = [c for c in ORDER if c in candidates.columns]
     unique = dedup_candidates(candidates.join(brands.select("site"), "site", "left_semi"))
-    own = limit_per_key(unique, ["site"], order, n, rank="rank").select(*columns)
-    fallback = limit_per_key(fallback_candidates(brands, own, directory), ["site"], ["seq"], n, rank="rank")
-    return own.unionByName(fallback.select(*columns))
+    own = limit_per_key(unique, ["site"], order, n, rank="rank").select(*columns, F.lit(0).alias("choice"))
+    listed = directory_candidates(brands, directory).withColumnRenamed("seq", "rank")
+    both = own.unionByName(listed.select(*columns, F.lit(1).alias("choice")))
+    site = Window.partitionBy("site")
+    chosen = both.withColumn("best", F.min("choice").over(site)).filter("choice = best")
+    return limit_per_key(chosen, ["site"], ["rank"], n, rank="place").select(
+        "site", "name", "url", "source", F.col("place").alias("rank")
+    )
 
 
 def insight_stats(insights: DataFrame) -> DataFrame:
@@ -128,22 +141,18 @@ def competitor_insights(competitors: DataFrame, stats: DataFrame, **salting) ->
 def competitor_summary(analyzed: DataFrame, brands: DataFrame, k: int = rules.TOP_VALUES) -> DataFrame:
     """One row per brand: competitors found and analysed, floor average of catalog sizes, most common
     social platforms, payment methods and FAQ categories, and a message where nothing was analysed."""
-    sizes = analyzed.groupBy("site").agg(
-        F.count("*").alias("competitors_found"),
-        F.count_if("analyzed").alias("competitors_analyzed"),
-        F.expr("sum(products) div nullif(count_if(analyzed), 0)").alias("avg_products_per_store"),
-    )
     kinds = {"social": "common_social_platforms", "payments": "common_payment_methods", "faq": "common_faq_categories"}
 
     def entries(column, kind):
         return F.transform(column, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 
-    values = F.flatten(F.array(*[entries(column, kind) for column, kind in kinds.items()]))
+    # One entry stands for the competitor itself, so sizes and frequencies come from the same pass.
+    itself = F.array(F.struct(F.lit("").alias("kind"), F.lit("").alias("value")))
+    values = F.flatten(F.array_compact(F.array(itself, *[entries(column, kind) for column, kind in kinds.items()])))
     counts = (
-        analyzed.filter("analyzed")
-        .select("site", F.inline(values))
-        .groupBy("site", "kind", "value")
-        .agg(F.count("*").alias("cnt"))
+        analyzed.select("site", "products", "analyzed", F.explode(values).alias("v"))
+        .groupBy("site", F.col("v.kind").alias("kind"), F.col("v.value").alias("value"))
+        .agg(F.count("*").alias("cnt"), F.sum("products").alias("products"), F.count_if("analyzed").alias("analyzed"))
     )
     top = limit_per_key(counts, ["site", "kind"], [F.col("cnt").desc(), "value"], k, rank="rank")
     entry = F.struct("rank", "value", "cnt")
@@ -152,21 +161,27 @@ def competitor_summary(analyzed: DataFrame, brands: DataFrame, k: int = rules.TO
         ranked = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, entry)))
         return F.transform(ranked, lambda e: F.struct(e["value"].alias("value"), e["cnt"].alias("cnt"))).alias(kind)
 
-    commons = top.groupBy("site").agg(*[common(n) for n in kinds.values()])
+    def size(column):
+        return F.any_value(F.when(F.col("kind") == "", F.col(column)), F.lit(True))
+
+    per_site = top.groupBy("site").agg(
+        size("cnt").alias("competitors_found"),
+        size("analyzed").alias("competitors_analyzed"),
+        size("products").alias("products"),
+        *[common(n) for n in kinds.values()],
+    )
     empty = F.array().cast("array<struct<value:string,cnt:bigint>>")
+    analyzed_count = F.coalesce("competitors_analyzed", F.lit(0))
     return (
         brands.select("site")
-        .join(sizes, "site", "left")
-        .join(commons, "site", "left")
+        .join(per_site, "site", "left")
         .select(
             "site",
             F.coalesce("competitors_found", F.lit(0)).alias("competitors_found"),
-            F.coalesce("competitors_analyzed", F.lit(0)).alias("competitors_analyzed"),
-            F.coalesce("avg_products_per_store", F.lit(0)).alias("avg_products_per_store"),
+            analyzed_count.alias("competitors_analyzed"),
+            F.coalesce(F.expr("products div nullif(competitors_analyzed, 0)"), F.lit(0)).alias("avg_products_per_store"),
             *[F.coalesce(n, empty).alias(n) for n in kinds.values()],
-            F.when(F.coalesce("competitors_analyzed", F.lit(0)) == 0, F.lit("No competitor insights available")).alias(
-                "message"
-            ),
+            F.when(analyzed_count == 0, F.lit("No competitor insights available")).alias("message"),
         )
     )
 

@@ -321,6 +321,7 @@ def union_products(pages: DataFrame) -> DataFrame:
 def page_products(pages: DataFrame, n: int) -> DataFrame:
     """Per page: products of all branches, deduplicated, at most ``n``."""
     both = products_from_jsonld(relations.structured_items(pages)).unionByName(products_from_cards(pages))
+    both = both.repartition("site", "url")  # serves both windows below; a page is a small group
     unique = first_per_key(both, ["site", "url", F.lower("name"), F.coalesce("product_url", F.lit(""))], ["branch", "seq"])
     return limit_per_key(unique, ["site", "url"], ["branch", "seq"], n)
 
@@ -364,19 +365,19 @@ def catalog_with_fallback(feed_products: DataFrame, html_products: DataFrame) ->
 
 
 @operator("fallback_products")
-def fallback_products(pages: DataFrame, main_urls: DataFrame, sitemap: DataFrame | None = None) -> DataFrame:
-    """Page products of a site without feed: 50 of the main page, then 10 of each of 20 product pages."""
-    held = page_products(pages, rules.MAIN_PAGE_PRODUCT_LIMIT)
-    main = held.join(main_urls.select("site", "url"), ["site", "url"], "left_semi")
+def fallback_products(pages: DataFrame, main: DataFrame, sitemap: DataFrame | None = None) -> DataFrame:
+    """Page products of a site without feed: 50 of its main page, then 10 of each of 20 product pages.
+
+    ``main`` holds the main page of every site.  Blocks are only read on it and on product pages; the
+    short product rows, not the pages, are then joined to the chosen URLs.
+    """
+    first = page_products(main, rules.MAIN_PAGE_PRODUCT_LIMIT).withColumn("page_rank", F.lit(-1))
     wanted = limit_per_key(product_urls(pages, sitemap), ["site"], ["product_url"], rules.PRODUCT_PAGE_LIMIT)
     chosen = wanted.select(F.col("product_url").alias("url"), urls.site_of(F.col("product_url")).alias("site"))
-    detail = limit_per_key(
-        held.join(chosen.distinct(), ["site", "url"], "left_semi"),
-        ["site", "url"],
-        ["branch", "seq"],
-        rules.PRODUCT_PAGE_PRODUCT_LIMIT,
+    product_pages = pages.filter(F.col("url").contains("/products/"))
+    detail = page_products(product_pages, rules.PRODUCT_PAGE_PRODUCT_LIMIT).join(
+        chosen.distinct(), ["site", "url"], "left_semi"
     )
-    first = main.withColumn("page_rank", F.lit(-1))
     return dedup_products(first.unionByName(detail), "exact", order=("page_rank", "url", "branch", "seq"))
 
 

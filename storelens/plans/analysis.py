@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from storelens import rules
 from storelens.operators import competitors
 from storelens.operators.registry import operator
+from storelens.session import stage
 from storelens.sources.store import lookup_analysis
 
 
@@ -19,6 +20,7 @@ def analyze_competitors(
     *,
     directory=rules.STORE_DIRECTORY,
     max_competitors: int = rules.COMPETITOR_LIMIT,
+    staged: bool = True,
     **salting,
 ) -> DataFrame:
     """One analysis row per brand ``(site, category[, brand_name, website_url])``.
@@ -27,6 +29,8 @@ def analyze_competitors(
     store records of all sites; competitors without a record count as found, not as analysed.
     """
     found = competitors.find_competitors(brands, candidates, n=max_competitors, directory=directory)
+    if staged:  # at most max_competitors rows per brand, read twice by the salted join
+        found = stage(found, "competitors")
     analyzed = competitors.competitor_insights(found, competitors.insight_stats(insights), **salting)
     summary = competitors.competitor_summary(analyzed, brands)
     given = {"original_brand": "brand_name", "original_url": "website_url"}

@@ -138,7 +138,11 @@ def insights_from_digest(
         for s, _ in rules.POLICY_SLOT_RULES
     ]
     feed_faqs = feed_source.read_faq_feed(faq_feeds) if faq_feeds is not None else None
-    questions = faqs.union_faqs(main, digest, feed_faqs)
+    # One page per known path, the one with the shortest URL, so the list of a site is bounded.
+    path = urls.path_of(F.col("url"))
+    known = digest.withColumn("path", path).filter(F.col("path").isin(*rules.FAQ_PATHS))
+    faq_pages = first_per_key(known, ["site", "path"], [F.length("url"), "url"]).drop("path")
+    questions = faqs.union_faqs(main, faq_pages, feed_faqs)
     if feeds is not None:
         listed = products.products_from_feed(feed_source.read_product_feed(feeds), style="hero")
         source = hero.hero_catalog_html(listed, main)

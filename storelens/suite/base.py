@@ -271,6 +271,12 @@ def safe_attr(spark, sf):
     )
 
 
+@query("safe_text", f"WITH {LINKS_SQL} SELECT site, nullif(text, '') AS text, count(*) AS n FROM links GROUP BY ALL")
+def safe_text(spark, sf):
+    shown = relations.links(inputs.pages(spark, sf)).select("site", text.blank_to_null(F.col("text")).alias("text"))
+    return shown.groupBy("site", "text").agg(F.count("*").alias("n"))
+
+
 @query("extract_price", """
 SELECT p_partkey, CASE p_type WHEN 'PROMO' THEN printf('%.2f', p_retailprice) || ' €'
   WHEN 'LARGE' THEN 'Rs. ' || printf('%.2f', p_retailprice) WHEN 'SMALL' THEN 'usd ' || printf('%.2f', p_retailprice)

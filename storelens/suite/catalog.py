@@ -361,7 +361,7 @@ def fallback_products(spark, sf):
     """Sites known by their sitemap only: the products of their first twenty product pages."""
     pages = inputs.product_pages(spark, sf)
     locs = pages.select(urls.host_of(F.col("url")).alias("site"), F.col("url").alias("loc"))
-    none = relations.with_site(pages).filter("page_rank = 0").select("site", "url")
-    found = products.fallback_products(pages, none, locs)
+    homes = relations.with_site(pages).filter("page_rank = 0")  # none of the sites has one
+    found = products.fallback_products(pages, homes, locs)
     return found.select("site", "url", "name")
 
