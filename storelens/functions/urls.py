@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from storelens import rules
-from storelens.functions.text import any_of, apply, found, let
+from storelens.functions.text import apply, contains_any, found
 
 SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*:"
 ORIGIN = r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)"
@@ -104,11 +104,10 @@ def on_domain(host: Column, domain: str) -> Column:
 
 def valid_candidate(url: Column, original_url: Column, excluded=rules.EXCLUDED_HOSTS) -> Column:
     """Another site, not on an excluded host, reached by http(s)."""
-    return let(host_of(url), lambda host: _other_store(host, url, original_url, excluded))
+    return other_store(host_of(url), url, host_of(original_url), excluded)
 
 
-def _other_store(host: Column, url: Column, original_url: Column, excluded) -> Column:
+def other_store(host: Column, url: Column, own_host: Column, excluded=rules.EXCLUDED_HOSTS) -> Column:
     return F.coalesce(
-        ~host.eqNullSafe(host_of(original_url)) & ~any_of(host.contains(x) for x in excluded) & url.startswith("http"),
-        F.lit(False),
+        ~host.eqNullSafe(own_host) & ~contains_any(host, excluded) & url.startswith("http"), F.lit(False)
     )

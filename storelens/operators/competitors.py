@@ -27,8 +27,8 @@ def competitor_category(
 @operator("valid_candidate")
 def valid_candidates(candidates: DataFrame, excluded=rules.EXCLUDED_HOSTS) -> DataFrame:
     """Candidates ``(site, url)`` on another, not excluded host."""
-    own = F.concat(F.lit("https://"), F.col("site"))
-    return candidates.filter(urls.valid_candidate(F.col("url"), own, excluded))
+    hosted = candidates.withColumn("_host", urls.host_of(F.col("url")))
+    return hosted.filter(urls.other_store(F.col("_host"), F.col("url"), F.col("site"), excluded)).drop("_host")
 
 
 @operator("verify_candidates")
