@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens import rules
-from storelens.functions import dom, text, urls
+from storelens.functions import dom, text
 from storelens.functions.outline import HEADINGS
 from storelens.operators import relations
 from storelens.operators.links import classify_links

@@ -228,7 +228,7 @@ def latest_pages(spark, sf):
     return page_source.latest_pages(held).select("url", "page_id")
 
 
-# Each nation key picks a form of reference, so every branch of the rule is taken.
+# One reference of every form, resolved against every page.
 @query("resolve_url", """
 WITH forms AS (
   SELECT url, page_id, regexp_replace(url, '[?#].*$', '') AS page, regexp_extract(url, '^[a-z]+://[^/?#]*') AS origin FROM pages)
