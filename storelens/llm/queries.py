@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from storelens.llm import bpe, decontam, minhash
+from storelens.llm import bpe, decontam, langid, minhash, toxicity
 from storelens.llm.common import table
 
 #: Vocabulary file of the tokenizer; the operator takes any path.
@@ -39,6 +39,16 @@ def decontaminate(spark, sf):
     return decontam.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query("op6_toxicity")
+def toxic(spark, sf):
+    return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query("op7_minhash_join")
 def minhash_join(spark, sf):
     return minhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op8_language")
+def language(spark, sf):
+    return langid.identify(table(spark, sf, "documents"))
