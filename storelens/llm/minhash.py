@@ -6,29 +6,30 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.llm.common import odd_numbers, shingle_set, small_batches, utf8
 from storelens.llm.components import connected_components
 from storelens.session import stage
 
-COORDINATES = 64
-#: Two sets of similarity 0.75 agree in fewer of 64 coordinates with a chance below one in a million.
-MATCHES = 30
+COORDINATES = 128
+#: Two sets of similarity 0.75 agree in fewer of 128 coordinates with a chance of about one in a million.
+MATCHES = 72
+#: Coordinates that are posted for every set, to find the sets that can have a match at all.
+FIRST = 64
 SIMILARITY = 75
 WIDTH = 5
 _SCALE, _SHIFT = odd_numbers(COORDINATES, 0xA0761D6478BD642F), odd_numbers(COORDINATES, 0xE7037ED1A0B428DB)
-_PLACE = np.arange(COORDINATES, dtype=np.int64) << 32
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """Per coordinate the smallest of the permuted hashes, 32 bits of it, with the coordinate above them."""
+    """Per coordinate the upper 32 bits of the smallest of the permuted hashes."""
     least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 1024):
         part = shingles[None, at : at + 1024] * _SCALE[:, None] + _SHIFT[:, None]
         np.minimum(least, part.min(axis=1), out=least)
-    return _PLACE | (least >> np.uint64(32)).astype(np.int64)
+    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _signed(batches):
@@ -40,7 +41,7 @@ def _signed(batches):
             keys.append(hashlib.md5(found.tobytes()).digest() if len(found) else None)
             signatures.append(signature(found) if len(found) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.list_(pa.int64()))],
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.list_(pa.int32()))],
             ["doc_id", "n_shingles", "set_key", "signature"],
         )
 
@@ -56,39 +57,79 @@ def _alike(n: str, m: str):
     return F.least(n, m) * 100 >= F.greatest(n, m) * SIMILARITY
 
 
+def _shared(classes: DataFrame, coordinates: int, least: int) -> DataFrame:
+    """Per set (node, n) the posted values that other sets have as well, the rarest first, if there are ``least``."""
+    place = F.posexplode(F.slice("signature", 1, coordinates)).alias("place", "low")
+    value = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("low").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    posted = classes.select("node", "n", place).select("node", "n", value.alias("value"))
+    times = stage(posted.groupBy("value").agg(F.count("*").alias("times")).filter("times > 1"), "times")
+    held = posted.join(times, "value").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("held"))
+    return held.filter(F.size("held") >= least)
+
+
 def _prefixes(classes: DataFrame) -> DataFrame:
-    """Postings (value, node, n) that two sets agreeing in ``MATCHES`` coordinates can't both avoid.
+    """Postings (value, node, n, weight) that two sets agreeing in ``MATCHES`` coordinates can't both avoid.
 
-    Values that only one set has can't be shared. Of a set's u shared values, ordered by how often
-    they occur, the u - MATCHES + 1 rarest suffice: two sets that share MATCHES values share one of
-    them. So values of passages that very many documents have are hardly ever posted.
+    Values that only one set has can't be shared, so most sets are out after their first coordinates.
+    Of a set's u shared values, ordered by how often they occur, the u - MATCHES + 1 rarest suffice:
+    two sets that share MATCHES values share one of them. So values of passages that very many
+    documents have are hardly ever posted. weight is how often all of a set's values occur.
     """
-    posted = classes.select("node", "n", F.explode("signature").alias("value"))
-    shared = stage(posted.groupBy("value").agg(F.count("*").alias("times")).filter("times > 1"), "shared")
-    held = posted.join(shared, "value").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("held"))
-    held = held.filter(F.size("held") >= MATCHES)
+    able = stage(_shared(classes, FIRST, MATCHES - COORDINATES + FIRST).select("node").distinct(), "able")
+    held = _shared(classes.join(able, "node", "left_semi"), COORDINATES, MATCHES)
     rare = F.slice("held", F.lit(1), F.size("held") - (MATCHES - 1))
-    return held.select("node", "n", F.explode(rare).alias("post")).select("post.value", "node", "n")
+    weight = F.aggregate("held.times", F.lit(0).cast("long"), lambda x, y: x + y)
+    return held.select("node", "n", weight.alias("weight"), F.explode(rare).alias("post")).select("post.value", "node", "n", "weight")
 
 
 def _matched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) whose signatures agree in ``MATCHES`` coordinates at least."""
     side = lambda x: classes.select(F.col("node").alias(x), F.col("signature").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.filter(F.size(F.array_intersect("sa", "sb")) >= MATCHES).select("a", "b").distinct()
+    equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
+    return both.filter(equal >= MATCHES).select("a", "b").distinct()
 
 
-def _linked(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets of shingles are similar enough, read again from their texts."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = documents.join(nodes, documents["doc_id"] == nodes["node"], "left_semi")
-    sets = stage(texts.mapInArrow(_sets, "node long, shingles array<long>"), "sets")
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose full sets of shingles are similar enough."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     union = F.size("sa") + F.size("sb") - F.col("common")
     return both.filter(F.col("common") * 100 >= union * SIMILARITY).select("a", "b")
 
 
+def _bin(size) -> Column:
+    return F.floor(F.log(size) / F.log(F.lit(1.1))).cast("int")
+
+
+def _across(posts: DataFrame, alone: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets in one posting list that lie in different components and may be similar enough.
+
+    A set of n shingles of which ``own`` occur in no other posted set shares n - own with another of m at
+    most, so m + own belong to the union. As the smaller of two it needs n - own >= 0.75 (n + own); as
+    the larger, m <= (n - own) / 0.75 - own. Few sets of a passage that many documents share, or of far
+    edited copies, meet this, so they are not paired. What remains is paired by component first, and
+    only then by set, so a component of many copies is one entry of a list.
+    """
+    held = posts.join(alone, "node", "left").join(labels, "node", "left").select(
+        "value", "node", "n", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("component", "node").alias("label")
+    )
+    n, own = F.col("n"), F.col("own")
+    held = stage(held.filter((n - own) * 100 >= n * SIMILARITY), "held")
+    small = held.filter((n - own) * 100 >= (n + own) * SIMILARITY).withColumn("bin", _bin("n"))
+    low = F.ceil(n * SIMILARITY / 100)
+    high = F.least(n, F.floor(((n - own) * 100 - own * SIMILARITY) / SIMILARITY))
+    large = held.filter(high >= low).withColumn("bin", F.explode(F.sequence(_bin(low), _bin(high))))
+    entries = small.select("value", "bin", "label").distinct()
+    others = large.select("value", "bin", F.col("label").alias("other")).distinct()
+    met = stage(entries.join(others, ["value", "bin"]).filter(F.col("label") != F.col("other")), "met")
+    left = small.select("value", "bin", "label", F.col("node").alias("a"), F.col("n").alias("m"), F.col("own").alias("own_a"))
+    right = large.select("value", "bin", F.col("label").alias("other"), F.col("node").alias("b"), "n", "own")
+    most = F.least(n - own, F.col("m") - F.col("own_a"))
+    able = (F.struct("m", "a") < F.struct("n", "b")) & (most * 100 >= (n + F.col("m") - most) * SIMILARITY)
+    return met.join(left, ["value", "bin", "label"]).join(right, ["value", "bin", "other"]).filter(able).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document the size of its set of 5-word shingles and its component of near-duplicates.
 
@@ -96,17 +137,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked, component_id is the smallest doc_id that links reach, kept marks the document itself.
 
     1. Equal sets become one class with its smallest doc_id as node, so copies cost one signature.
-    2. Signature coordinates are posted (see ``_prefixes``) and collisions counted per posting list
-       against the list's smallest node only: each node is checked against the one it meets most often.
+    2. Signature coordinates are posted (see ``_prefixes``). Each node is checked against one node of each
+       of its posting lists only: the one whose values occur most often, near the middle of a group.
     3. What the confirmed links join already needs no further check. Only nodes of one posting list
-       that are still in different components are paired, so a large group of copies makes no pairs.
-    4. Pairs that agree in ``MATCHES`` coordinates are confirmed on their full sets.
+       that are still in different components are paired (see ``_across``), so neither a large group of
+       copies nor a passage that many documents share makes many pairs.
+    4. Pairs that agree in ``MATCHES`` coordinates are confirmed on their full sets, read from the texts.
 
     Null, empty and blank texts have n_shingles 0 and are linked with nothing. A null doc_id gets
-    a null component and is not kept. Rows that repeat a doc_id each get a row. Other columns are ignored.
+    a null component and is not kept. Rows that repeat a doc_id each get a row; with other texts they share
+    their links. Other columns are ignored.
     """
     docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stage(docs.mapInArrow(_signed, "doc_id long, n_shingles long, set_key binary, signature array<long>"), "signed")
+    signed = stage(docs.mapInArrow(_signed, "doc_id long, n_shingles long, set_key binary, signature array<int>"), "signed")
     classes = stage(
         signed.filter("set_key is not null and doc_id is not null")
         .groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")),
@@ -114,29 +157,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     posts = stage(_prefixes(classes), "posts")
 
+    nodes = posts.select("node").distinct()
+    texts = docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi")
+    sets = stage(texts.mapInArrow(_sets, "node long, shingles array<long>"), "sets")
+    once = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("times"))
+    alone = stage(once.filter("times = 1").groupBy("node").agg(F.count("*").alias("own")), "alone")
+
     heads = stage(
-        posts.groupBy("value").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("times")).filter("times > 1")
+        posts.groupBy("value").agg(F.max(F.struct("weight", "node", "n")).alias("head"), F.count("*").alias("times")).filter("times > 1")
         .select("value", F.col("head.node").alias("b"), F.col("head.n").alias("m")), "heads",
     )
     met = posts.join(heads, "value").filter(F.col("node") != F.col("b")).filter(_alike("n", "m"))
-    met = met.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("times"))
-    best = met.groupBy("a").agg(F.max(F.struct("times", (-F.col("b")).alias("b"))).alias("best"))
-    first = stage(_matched(best.select("a", (-F.col("best.b")).alias("b")), classes), "pairs")
-    links = stage(_linked(first, docs), "links")
+    first = stage(_matched(stage(met.select(F.col("node").alias("a"), "b").distinct(), "met"), classes), "pairs")
+    links = stage(_linked(first, sets), "links")
 
     labels = stage(connected_components(links), "labels")
-    labelled = stage(
-        posts.join(labels, "node", "left").select("value", "node", "n", F.coalesce("component", "node").alias("label")), "labelled"
-    )
-    parts = labelled.select("value", "label").distinct()
-    mixed = stage(parts.groupBy("value").agg(F.count("*").alias("labels")).filter("labels > 1").select("value"), "mixed")
-    parts = stage(parts.join(mixed, "value"), "parts")
-    met = parts.join(parts.withColumnRenamed("label", "other"), "value").filter("label < other")
-    left = labelled.select("value", "label", F.col("node").alias("a"), "n")
-    right = labelled.select("value", F.col("label").alias("other"), F.col("node").alias("b"), F.col("n").alias("m"))
-    across = met.join(left, ["value", "label"]).join(right, ["value", "other"]).filter(_alike("n", "m"))
-    second = stage(_matched(across.select("a", "b").distinct(), classes), "pairs")
-    links = stage(links.union(_linked(second, docs)), "links")
+    second = stage(_matched(stage(_across(posts, alone, labels), "across"), classes), "pairs")
+    links = stage(links.union(_linked(second, sets)), "links")
 
     labels = stage(connected_components(links), "labels")
     found = stage(
