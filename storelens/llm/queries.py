@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from storelens.llm import bpe, decontam, langid, minhash, toxicity
+from storelens.llm import bpe, decontam, langid, minhash, toxicity, vectors, warc
 from storelens.llm.common import table
 
 #: Vocabulary file of the tokenizer; the operator takes any path.
@@ -29,11 +29,21 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+@query("op1_warc", warc.SQL)
+def warc_round_trip(spark, sf):
+    return warc.round_trip(table(spark, sf, "pages"))
+
+
 @query("op2_bpe_trie")
 def bpe_trie(spark, sf):
     return bpe.digests(bpe.encode_decode(table(spark, sf, "documents"), vocabulary_path()))
 
 
+@query("op3_int8_tiles")
+def int8_tiles(spark, sf):
+    return vectors.near_vectors(table(spark, sf, "embeddings"))
+
+
 @query("op5_decontaminate", decontam.SQL)
 def decontaminate(spark, sf):
     return decontam.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
