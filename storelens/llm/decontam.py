@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import LOWER, UPPER, words
 from storelens.session import stage
 
 WIDTH = 5
@@ -15,14 +14,19 @@ SIMILARITY = 75
 #: Fingerprints that differ in at most so many of 64 bits are candidates; one of RADIUS + 1 blocks of bits is then equal.
 RADIUS = 3
 BLOCK_BITS = 64 // (RADIUS + 1)
-#: Items of at least so many words are found by windows of ``size`` words, in documents at every ``step``-th
-#: word, in items at every word. An item-sized passage of similarity 0.75 loses at most a seventh of the item's
-#: shingles, and each edit inside it four or five, so it has an unedited run of size + step - 1 words.
-WINDOWS = ((40, 15, 6), (15, 7, 8), (10, 7, 4), (5, 3, 3))
+#: Windows by the items' words: items from ``least`` to ``most`` words are found by windows of ``size`` words, in
+#: documents at every ``step``-th word, in items at every word. An item-sized passage of similarity 0.75 loses
+#: at most a seventh of the item's shingles, and each edit inside it four or five, so it has an unedited run
+#: of size + step - 1 words.
+WINDOWS = ((15, None, 7, 8), (10, 14, 7, 4), (5, 9, 3, 3))
 #: Index rows (of about 50 bytes) up to which the index of the items is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
 
+def words(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
+
+
 def _majority(a: Column, b: Column, c: Column) -> Column:
     return a.bitwiseAND(b).bitwiseOR(c.bitwiseAND(a.bitwiseXOR(b)))
 
@@ -32,36 +36,27 @@ def _odd(a: Column, b: Column, c: Column) -> Column:
 
 
 def simhash(h: list[Column]) -> Column:
-    """Fingerprint of 3, 7 or 15 word hashes: per bit, what most of them have.
+    """Fingerprint of 3 or 7 word hashes: per bit, what most of them have.
 
-    Full adders count all 64 bits at once, in longs of ones, twos and fours.
+    Adders count all 64 bits at once: of seven, three sums of three give the twos, and two twos are most.
     """
     if len(h) == 3:
         return _majority(*h)
     if len(h) == 7:
-        return _majority(*_carries(h)[1])
-    if len(h) == 15:
-        (one, left), (other, right) = _carries(h[:7]), _carries(h[7:14])
-        carry = _majority(_odd(*left), _odd(*right), _majority(one, other, h[14]))
-        return _majority(_majority(*left), _majority(*right), carry)
-    raise ValueError("windows have 3, 7 or 15 words")
-
-
-def _carries(h: list[Column]) -> tuple[Column, list[Column]]:
-    """Of seven hashes, the bits of ones and the three columns whose sum is the number of twos."""
-    x, y = _odd(*h[:3]), _odd(*h[3:6])
-    return _odd(x, y, h[6]), [_majority(*h[:3]), _majority(*h[3:6]), _majority(x, y, h[6])]
+        x, y = _odd(*h[:3]), _odd(*h[3:6])
+        return _majority(_majority(*h[:3]), _majority(*h[3:6]), _majority(x, y, h[6]))
+    raise ValueError("windows have 3 or 7 words")
 
 
-def _windows(held: DataFrame, kind: int, size: int, step: int, *kept: str) -> DataFrame:
+def _windows(held: DataFrame, size: int, step: int, *kept: str) -> DataFrame:
     """Fingerprints of the windows of ``size`` words that start at every ``step``-th word (column ``at``)."""
     last = F.size("hashes") - size
     at = held.select(*kept, "hashes", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(step)))).alias("at"))
-    return at.select(*kept, "at", simhash([F.get("hashes", F.col("at") + i) for i in range(size)]).alias("print"), F.lit(kind).alias("kind"))
+    return at.select(*kept, "at", simhash([F.get("hashes", F.col("at") + i) for i in range(size)]).alias("print"), F.lit(size).alias("kind"))
 
 
 def _blocks() -> Column:
-    """Keys (window kind, block, bits of the block) of a fingerprint."""
+    """Keys (window size, block, bits of the block) of a fingerprint."""
     low = (1 << BLOCK_BITS) - 1
     return F.array(*[
         F.shiftrightunsigned("print", BLOCK_BITS * b).bitwiseAND(F.lit(low)) + ((F.col("kind") * (RADIUS + 1) + b) * (1 << BLOCK_BITS))
@@ -95,7 +90,7 @@ def contaminated(
     A document holds an item of n words if one of its windows of n words shares enough 5-word shingles
     with it: weighted by how often they occur, 100 * sum of minima >= 75 * sum of maxima. Windows are
     aligned with the item at a run of unedited words, give or take the words that edits may shift.
-    window_start is the first such window's word number. Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.
+    window_start is the first such window's word number. Words are ``[^\\x20\\x09-\\x0D]+`` of the lower-cased text.
 
     1. Items and documents get SimHash fingerprints of windows whose size goes by the item's (``WINDOWS``).
     2. The 64 bits are cut into RADIUS + 1 blocks. Fingerprints within the radius share a whole block,
@@ -113,20 +108,20 @@ def contaminated(
     items = named.select("item", "words").distinct()
     item_words = F.size("words")
 
-    sizes = [r.n for r in items.select(sum(F.when(item_words >= n, 1).otherwise(0) for n, _, _ in WINDOWS).alias("n")).distinct().collect()]
-    kinds = [(k, *WINDOWS[k]) for k in range(len(WINDOWS)) if len(WINDOWS) - k in sizes]
+    there = [item_words.between(least, most) if most else item_words >= least for least, most, _, _ in WINDOWS]
+    some = items.agg(*[F.coalesce(F.bool_or(x), F.lit(False)) for x in there]).first()
+    kinds = [k for k in range(len(WINDOWS)) if some[k]]
     found = docs.filter(item_words < WIDTH).join(items.filter(item_words < WIDTH), "words").select(
         "doc_id", "item", F.lit(0).alias("start"), F.lit(1.0).alias("similarity")
     )
     if kinds:
         index, probes = [], []
         hashed = _hashed(docs)
-        for k, least, size, step in kinds:
-            above = WINDOWS[k - 1][0] if k else None
-            own = items.filter((item_words >= least) & (item_words < above if above else F.lit(True)))
-            own = _hashed(own).withColumn("n", item_words)
-            index.append(_windows(own, k, size, 1, "item", "n").withColumnsRenamed({"at": "offset", "print": "item_print"}))
-            probe = _windows(hashed, k, size, step, "doc_id", "words")
+        for size in sorted({WINDOWS[k][2] for k in kinds}):
+            same = [k for k in kinds if WINDOWS[k][2] == size]
+            own = _hashed(items.filter(reduce(Column.__or__, [there[k] for k in same]))).withColumn("n", item_words)
+            index.append(_windows(own, size, 1, "item", "n").withColumnsRenamed({"at": "offset", "print": "item_print"}))
+            probe = _windows(hashed, size, min(WINDOWS[k][3] for k in same), "doc_id", "words")
             probes.append(probe.select("doc_id", "words", "at", "print", F.explode(_blocks()).alias("block")))
         index = reduce(DataFrame.unionByName, index).withColumn("print", F.col("item_print"))
         index = stage(index.select("item", "n", "offset", "item_print", F.explode(_blocks()).alias("block")).drop("print"), "index")
@@ -161,7 +156,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return docs.join(held, id_col, "left_anti").select(*docs.columns)
 
 
-_SQL_WORDS = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_SQL_WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 #: The same in SQL: all aligned windows at shared shingles, compared exactly.
 SQL = f"""
