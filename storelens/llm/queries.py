@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from storelens.llm import bpe, decontam, langid, minhash, toxicity, vectors, warc
+from storelens.llm import bpe, decontam, html_paths, langid, minhash, toxicity, url_filter, vectors, warc
 from storelens.llm.common import table
 
 #: Vocabulary file of the tokenizer; the operator takes any path.
@@ -44,6 +44,11 @@ def int8_tiles(spark, sf):
     return vectors.near_vectors(table(spark, sf, "embeddings"))
 
 
+@query("op4_tag_paths")
+def tag_paths(spark, sf):
+    return html_paths.extract(table(spark, sf, "pages"))
+
+
 @query("op5_decontaminate", decontam.SQL)
 def decontaminate(spark, sf):
     return decontam.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
@@ -62,3 +67,8 @@ def minhash_join(spark, sf):
 @query("op8_language")
 def language(spark, sf):
     return langid.identify(table(spark, sf, "documents"))
+
+
+@query("op10_url_trees")
+def url_trees(spark, sf):
+    return url_filter.judge(table(spark, sf, "pages"))
