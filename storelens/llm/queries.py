@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from storelens.llm import bpe, decontam, html_paths, langid, minhash, toxicity, url_filter, vectors, warc
+from storelens.llm import bpe, decontam, html_paths, langid, maxent, minhash, toxicity, url_filter, vectors, warc
 from storelens.llm.common import table
 
 #: Vocabulary file of the tokenizer; the operator takes any path.
@@ -69,6 +69,11 @@ def language(spark, sf):
     return langid.identify(table(spark, sf, "documents"))
 
 
+@query("op9_maxent")
+def maxent_scores(spark, sf):
+    return maxent.language_model(table(spark, sf, "documents"))
+
+
 @query("op10_url_trees")
 def url_trees(spark, sf):
     return url_filter.judge(table(spark, sf, "pages"))
