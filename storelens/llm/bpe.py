@@ -6,7 +6,6 @@ import json
 import re
 import sys
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -216,9 +215,13 @@ def grouped(texts: list[str], size: int = PART) -> Iterator[list[str]]:
         yield group
 
 
-@lru_cache(maxsize=2)
 def _loaded(content: str) -> Vocabulary:
-    return Vocabulary(content)
+    """The worker's vocabulary, which keeps what it remembers from task to task."""
+    held = sys.modules["__main__"].__dict__.setdefault("_byte_level_vocabularies", {})
+    if content not in held:
+        held.clear()
+        held[content] = Vocabulary(content)
+    return held[content]
 
 
 def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = b" \t\n\x0b\x0c\r"
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 MULTIPLIER = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
