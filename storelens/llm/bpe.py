@@ -18,7 +18,7 @@ from storelens.llm.common import small_batches, utf8
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MAX_FILE_BYTES = 64 << 20
 #: Words and token pairs a worker remembers; beyond, it starts anew.
-CACHED_WORDS, CACHED_PAIRS = 300_000, 1_000_000
+CACHED_WORDS, CACHED_PAIRS = 600_000, 1_000_000
 NEVER = 1 << 62
 
 
