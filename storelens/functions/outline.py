@@ -26,7 +26,8 @@ OPTIONAL_END = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}
 BOUNDS = set("article body div dl footer form header main nav ol section select table td ul".split())
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
-TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9-]*)([^>]*)>")
+# A ">" in quotes doesn't end a tag, unless the quote has no end.
+TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^'">]++|"[^"]*+"|'[^']*+')*+(?=>)|[^>]*+)>""")
 CLASS = re.compile(r"(?:^|[\s\"'/])class\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 
 SCHEMA = (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from storelens import rules
 from storelens.functions import text, urls
 from storelens.operators import relations
-from storelens.operators.ranking import first_per_key, limit_per_key, salted_join
+from storelens.operators.ranking import first_per_key, limit_per_key
 from storelens.operators.registry import operator
 from storelens.operators.relations import PAGE
 
@@ -127,13 +127,14 @@ def insight_stats(insights: DataFrame) -> DataFrame:
 
 
 @operator("competitor_insights")
-def competitor_insights(competitors: DataFrame, stats: DataFrame, **salting) -> DataFrame:
+def competitor_insights(competitors: DataFrame, stats: DataFrame) -> DataFrame:
     """Competitors with the stats of their own store; ``analyzed`` is false where there is none.
 
-    A few stores are competitors of very many brands, so frequent ones are salted.
+    A few stores are competitors of very many brands: the join is a plain one between two shuffles, whose
+    large partitions adaptive execution splits (``spark.sql.adaptive.skewJoin.enabled``).
     """
     keyed = competitors.withColumn("competitor_site", urls.host_of(F.col("url")))
-    joined = salted_join(keyed, stats, "competitor_site", F.col("site"), **salting)
+    joined = keyed.join(stats, "competitor_site", "left")
     return joined.withColumn("analyzed", F.col("products").isNotNull())
 
 

@@ -1,4 +1,4 @@
-"""Ordered dedup, per-key limits, top-k and joins that stand a hot key.
+"""Ordered dedup, per-key limits and top-k that stand a hot key.
 
 Every rank here is filtered right after it is taken, so Spark cuts each map
 task's rows to the first n per key before the shuffle (WindowGroupLimit): a key
@@ -92,30 +92,13 @@ def dedup_products_legacy(products: DataFrame, **options) -> DataFrame:
 def candidate_quota(candidates: DataFrame, quota: int = rules.CANDIDATE_QUOTA) -> DataFrame:
     """Keep a site's queries in rank order until the running total before a query reaches the quota.
 
-    Only the per-query counts are windowed, so the window holds one row per query; the rows
-    themselves are kept by a join on (site, query_rank).
+    Each strategy of a site has a quota of its own where the candidates say theirs. Only the per-query
+    counts are windowed, so the window holds one row per query; the rows themselves are kept by a join.
     """
-    counts = candidates.groupBy("site", "query_rank").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("site").orderBy("query_rank").rowsBetween(Window.unboundedPreceding, -1)
+    own = ["site", *[c for c in ("strategy",) if c in candidates.columns]]
+    counts = candidates.groupBy(*own, "query_rank").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*own).orderBy("query_rank").rowsBetween(Window.unboundedPreceding, -1)
     kept = counts.withColumn("found_before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter(
         F.col("found_before") < quota
     )
-    return candidates.join(kept.select("site", "query_rank"), ["site", "query_rank"], "left_semi")
-
-
-def salted_join(
-    left: DataFrame, right: DataFrame, key: str, spread: Column, *, how: str = "left", hot_rows: int = 1_000_000,
-    salts: int = 64
-) -> DataFrame:
-    """Equi-join a large ``left`` to ``right`` (one row per key) when some keys are very frequent.
-
-    Keys with more than ``hot_rows`` rows on the left are split into ``salts`` groups by ``spread``
-    and only their right rows are repeated.  At most rows / hot_rows keys can be hot, which bounds
-    the broadcast list; all other keys join once, unsalted.
-    """
-    hot = left.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(key, F.lit(True).alias("_hot"))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_left = left.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_hot")
-    salted_right = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
+    return candidates.join(kept.select(*own, "query_rank"), [*own, "query_rank"], "left_semi")

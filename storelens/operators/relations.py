@@ -17,6 +17,8 @@ from storelens.functions.outline import outline
 from storelens.operators.registry import operator
 
 PAGE = ("site", "url", "page_rank")
+# What stands in a tag up to its end; a ">" in quotes doesn't end it, unless the quote has no end.
+TAG_REST = r"""(?:(?:[^'">]++|"[^"]*+"|'[^']*+')*+(?=>)|[^>]*+)"""
 LD_PATTERN = r"(?is)<script\b[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>"
 
 
@@ -42,7 +44,7 @@ def link_array(body: Column, url: Column) -> Column:
     Built in steps, each over the fields of the step before, so no regex runs twice per anchor.
     """
     pieces = F.split(body, r"(?i)<a(?=[\s>])")
-    body = r"(?is)^([^>]*)>(.*?)(?:</a\b|\z)"
+    body = rf"(?is)^({TAG_REST})>(.*?)(?:</a\b|\z)"
     raw = F.transform(
         F.slice(pieces, F.lit(2), F.size(pieces)),
         lambda piece, i: F.struct(
@@ -98,14 +100,14 @@ def structured_items(pages: DataFrame) -> DataFrame:
     return (
         parsed.filter(F.col("doc").isNotNull())
         .select(*PAGE, "block", F.posexplode(entries).alias("entry", "item"))
-        .select(*PAGE, (F.col("block") * 1_000_000 + F.col("entry")).cast("int").alias("seq"), "item")
+        .select(*PAGE, (F.col("block").cast("long") * (1 << 32) + F.col("entry")).alias("seq"), "item")
     )
 
 
 @operator("images")
 def images(pages: DataFrame) -> DataFrame:
     """Every ``<img>``: src, data-src, data-original, alt, and the first usable absolute URL."""
-    tags = F.regexp_extract_all(text.markup(F.col("html")), F.lit(r"(?is)<img\b[^>]*>"), F.lit(0))
+    tags = F.regexp_extract_all(text.markup(F.col("html")), F.lit(rf"(?is)<img\b{TAG_REST}>"), F.lit(0))
     found = with_site(pages).select(*PAGE, F.posexplode(tags).alias("seq", "opener"))
     return found.select(
         *PAGE,
@@ -123,7 +125,7 @@ def images(pages: DataFrame) -> DataFrame:
 @operator("forms")
 def forms(pages: DataFrame) -> DataFrame:
     """Every ``<form>`` with its action."""
-    tags = F.regexp_extract_all(text.markup(F.col("html")), F.lit(r"(?is)<form\b[^>]*>"), F.lit(0))
+    tags = F.regexp_extract_all(text.markup(F.col("html")), F.lit(rf"(?is)<form\b{TAG_REST}>"), F.lit(0))
     found = with_site(pages).select(*PAGE, F.posexplode(tags).alias("seq", "opener"))
     return found.select(*PAGE, "seq", dom.attr(F.col("opener"), "action").alias("action"))
 

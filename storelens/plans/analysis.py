@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens import rules
 from storelens.operators import competitors
 from storelens.operators.registry import operator
 from storelens.session import stage
-from storelens.sources.store import lookup_analysis
+from storelens.sources.store import AnalysisLog, analysis_rows, lookup_analysis
 
 
 @operator("analyze_competitors")
@@ -21,7 +21,6 @@ def analyze_competitors(
     directory=rules.STORE_DIRECTORY,
     max_competitors: int = rules.COMPETITOR_LIMIT,
     staged: bool = True,
-    **salting,
 ) -> DataFrame:
     """One analysis row per brand ``(site, category[, brand_name, website_url])``.
 
@@ -29,21 +28,29 @@ def analyze_competitors(
     store records of all sites; competitors without a record count as found, not as analysed.
     """
     found = competitors.find_competitors(brands, candidates, n=max_competitors, directory=directory)
-    if staged:  # at most max_competitors rows per brand, read twice by the salted join
+    if staged:  # at most max_competitors rows per brand
         found = stage(found, "competitors")
-    analyzed = competitors.competitor_insights(found, competitors.insight_stats(insights), **salting)
+    analyzed = competitors.competitor_insights(found, competitors.insight_stats(insights))
     summary = competitors.competitor_summary(analyzed, brands)
     given = {"original_brand": "brand_name", "original_url": "website_url"}
     named = [(F.col(c) if c in brands.columns else F.lit("")).alias(name) for name, c in given.items()]
     return summary.join(brands.select("site", *named), "site")
 
 
-def analyze_with_reuse(brands: DataFrame, stored: DataFrame, candidates: DataFrame, insights: DataFrame, **options):
-    """Stored analyses where a brand has one, fresh ones otherwise."""
+def analyze_with_reuse(
+    brands: DataFrame, stored: DataFrame, candidates: DataFrame, insights: DataFrame, *, log: AnalysisLog | None = None,
+    run: str = "", now: Column | None = None, **options,
+) -> DataFrame:
+    """Stored analyses where a brand has one, fresh ones otherwise; with a ``log``, fresh ones are appended to it as ``run``."""
+
+    def fresh(missing: DataFrame) -> DataFrame:
+        computed = analyze_competitors(missing, candidates, insights, **options)
+        return log.append(analysis_rows(computed, now), run) if log else computed
+
     latest = lookup_analysis(stored)
     fresh_columns = [c for c in latest.columns if c not in ("analysis_id", "created_at", "updated_at")]
     return competitors.reuse_or_compute(
         brands,
         latest.select(*fresh_columns),
-        lambda missing: analyze_competitors(missing, candidates, insights, **options).select(*fresh_columns),
+        lambda missing: fresh(missing).select(*fresh_columns),
     ).withColumn("analysis_source", F.when(F.col("reused"), "stored").otherwise("computed"))

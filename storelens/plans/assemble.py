@@ -21,6 +21,7 @@ from storelens.operators.registry import operator
 from storelens.operators.relations import PAGE
 from storelens.session import stage
 from storelens.sources import feeds as feed_source
+from storelens.sources.pages import current_pages
 
 
 @dataclass(frozen=True)
@@ -82,7 +83,8 @@ def page_digest(pages: DataFrame, params: Params = Params()) -> DataFrame:
 
 def main_pages(digest: DataFrame) -> DataFrame:
     """The page that stands for a site: its home page, else its shallowest one."""
-    return first_per_key(digest, ["site"], ["page_rank", "url"])
+    # Of snapshots of one URL the newest; of equal times one by content, not by where its row lies.
+    return first_per_key(digest, ["site"], ["page_rank", "url", F.col("fetched_at").desc_nulls_last(), F.xxhash64("brand_name", "links")])
 
 
 def build_catalog(
@@ -138,10 +140,8 @@ def insights_from_digest(
         for s, _ in rules.POLICY_SLOT_RULES
     ]
     feed_faqs = feed_source.read_faq_feed(faq_feeds) if faq_feeds is not None else None
-    # One page per known path, the one with the shortest URL, so the list of a site is bounded.
-    path = urls.path_of(F.col("url"))
-    known = digest.withColumn("path", path).filter(F.col("path").isin(*rules.FAQ_PATHS))
-    faq_pages = first_per_key(known, ["site", "path"], [F.length("url"), "url"]).drop("path")
+    # All pages on a known path; repeated questions are dropped when the sources are joined.
+    faq_pages = digest.filter(urls.path_of(F.col("url")).isin(*rules.FAQ_PATHS))
     questions = faqs.union_faqs(main, faq_pages, feed_faqs)
     if feeds is not None:
         listed = products.products_from_feed(feed_source.read_product_feed(feeds), style="hero")
@@ -162,7 +162,8 @@ def insights_from_digest(
             products.total_products(catalog),
         ]
     )
-    return assembled.withColumn("total_products", F.coalesce("total_products", F.lit(0)))
+    # A site that only has feeds has no main page and so no record; its products are in the catalog.
+    return assembled.filter("website_url is not null").withColumn("total_products", F.coalesce("total_products", F.lit(0)))
 
 
 def build_insights(
@@ -180,7 +181,7 @@ def build_insights(
     its few columns from there; otherwise the plan stays one lazy query.
     """
     keep = stage if staged else lambda df, name: df
-    digest = keep(page_digest(pages, params), "page_digest")
+    digest = keep(page_digest(current_pages(pages), params), "page_digest")
     main = keep(main_pages(digest), "main_pages")
     catalog = keep(build_catalog(digest, main, feeds, sitemaps), "catalog")
     insights = insights_from_digest(digest, main, catalog, feeds=feeds, faq_feeds=faq_feeds, params=params)

@@ -32,23 +32,14 @@ def local_session(cpus: str = "*", name: str = "storelens", partitions: int = 8)
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small input that lies in few file splits a partition per core.
-
-    Page rules cost far more than reading the page, so one split would leave the other cores idle.
-    Inputs with enough splits, as any large one has, are returned as they are: no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def staging_root(spark: SparkSession) -> str:
     """Shared folder the cluster names in ``spark.checkpoint.dir``; a fresh local one only where
     that is unset and the session itself is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_ROOTS:

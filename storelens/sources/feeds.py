@@ -44,7 +44,10 @@ def read_product_feed(feeds: DataFrame) -> DataFrame:
         F.from_json("body", FEED_SCHEMA).alias("doc"),
     )
     rows = parsed.select(*PAGE, "base_url", "page", F.posexplode("doc.products").alias("pos", "product"))
-    return rows.withColumn("seq", F.col("page") * 1_000_000 + F.col("pos")).drop("page", "pos")
+    # Page numbers come from URLs: one too large for an ordinal sorts last instead of ending the job.
+    last = F.lit((1 << 63) - 1 - (1 << 31)) + F.col("pos")
+    seq = F.coalesce(F.try_add(F.try_multiply(F.col("page"), F.lit(1_000_000)), F.col("pos")), last)
+    return rows.withColumn("seq", seq).drop("page", "pos")
 
 
 @operator("read_sitemap_urls")
@@ -89,5 +92,5 @@ def read_search_links(pages: DataFrame, engines=rules.SEARCH_ENGINE_RULES) -> Da
     )
     return first.filter(F.col("href").startswith("http") & ~skipped).select(
         "site", "strategy", "query_rank", rank.alias("engine_rank"), F.col("place").alias("seq"),
-        F.col("href").alias("url"), F.concat(F.lit("search_"), F.col("engine")).alias("source"),
+        F.col("href").alias("url"), F.concat(F.lit("search__search_"), F.col("engine")).alias("source"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from storelens.operators.ranking import first_per_key
 from storelens.operators.registry import operator
+from storelens.session import stage
 
 PAGE_SCHEMA = "url string, html string, fetched_at timestamp"
 
@@ -22,6 +23,19 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return pages.select(*kept).filter("html is not null and html <> ''")
 
 
+def current_pages(pages: DataFrame) -> DataFrame:
+    """Pages without the snapshots that a newer one of their URL replaces; as they are where no time is given.
+
+    Only URLs and times are grouped. URLs with several times are written and joined, by broadcast if
+    they are few, so page text is not shuffled for them. A missing time counts as the oldest.
+    """
+    if "fetched_at" not in pages.columns:
+        return pages
+    times = pages.groupBy("url").agg(F.max("fetched_at").alias("newest"), F.min("fetched_at").alias("oldest"), F.count_if(F.col("fetched_at").isNull()).alias("missing"))
+    several = stage(times.filter("newest > oldest or (newest is not null and missing > 0)").select("url", "newest"), "several")
+    return pages.join(several, "url", "left").filter("newest is null or fetched_at = newest").select(*pages.columns)
+
+
 @operator("latest_pages")
 def latest_pages(pages: DataFrame) -> DataFrame:
     """The newest snapshot per URL: one shuffle by URL, after each task has kept its own newest ones."""

@@ -138,6 +138,23 @@ def complete_folders(spark: SparkSession, path: str, name: str) -> list[int]:
     return sorted(int(p.getName().split("=")[1]) for p in done)
 
 
+class AnalysisLog:
+    """Appended rows as Parquet folders ``run=NAME``, one per job; repeating a job rewrites only its own."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def append(self, rows: DataFrame, run: str) -> DataFrame:
+        """Write the rows of a run and return them as written."""
+        folder = f"{self.path}/run={run}"
+        rows.write.mode("overwrite").parquet(folder)
+        return self.spark.read.schema(rows.schema).parquet(folder)
+
+    def read(self) -> DataFrame:
+        """All rows appended so far."""
+        return self.spark.read.option("basePath", self.path).parquet(self.path).drop("run")
+
+
 class StoreTable:
     """A keyed table as Parquet folders ``version=N``; the highest complete version is current."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -146,8 +146,7 @@ analyzed AS (
 
 def analyzed(spark, sf):
     found = competitors.find_competitors(inputs.brands(spark, sf), verified(spark, sf))
-    # A low threshold makes popular stores hot even on small tables, so the salted path is what is checked.
-    return competitors.competitor_insights(found, competitors.insight_stats(records(spark, sf)), hot_rows=20, salts=4)
+    return competitors.competitor_insights(found, competitors.insight_stats(records(spark, sf)))
 
 
 @query("competitor_insights", f"WITH {ANALYZED_SQL} SELECT site, name, rank, products, analyzed FROM analyzed")
@@ -169,6 +168,11 @@ summary AS (
               WHEN n_high = competitors_analyzed THEN 'Klarna:' || n_high || '|Visa:' || n_high
               WHEN n_high > 0 THEN 'Visa:' || competitors_analyzed || '|Klarna:' || n_high
               ELSE 'Visa:' || competitors_analyzed END AS payments,
+         CASE WHEN coalesce(competitors_analyzed, 0) = 0 THEN ''
+              WHEN n_high = competitors_analyzed THEN 'Subscription:' || n_high
+              WHEN n_high = 0 THEN 'General:' || competitors_analyzed
+              WHEN n_high > competitors_analyzed - n_high THEN 'Subscription:' || n_high || '|General:' || (competitors_analyzed - n_high)
+              ELSE 'General:' || (competitors_analyzed - n_high) || '|Subscription:' || n_high END AS faq_categories,
          CASE WHEN coalesce(competitors_analyzed, 0) = 0 THEN 'No competitor insights available' END AS message
   FROM brands LEFT JOIN sizes USING (site))
 """
@@ -180,7 +184,8 @@ def _flat_summary(df):
 
     return df.select(
         "site", "competitors_found", "competitors_analyzed", "avg_products_per_store",
-        shown("common_social_platforms", "social"), shown("common_payment_methods", "payments"), "message",
+        shown("common_social_platforms", "social"), shown("common_payment_methods", "payments"),
+        shown("common_faq_categories", "faq_categories"), "message",
     )
 
 
@@ -212,8 +217,8 @@ def store_summary(spark, sf):
 
 
 def stored_analyses(spark, sf):
-    """Two stored analyses per customer of the furniture segment, a day apart."""
-    customers = inputs.table(spark, sf, "customer").filter("c_mktsegment = 'FURNITURE'")
+    """Two stored analyses per customer, a day apart."""
+    customers = inputs.table(spark, sf, "customer")
     days = customers.withColumn("day", F.explode(F.array(F.lit(2), F.lit(1))))
     rows = days.select(
         render("c{{c_custkey}}.example.com").alias("site"), F.col("c_name").alias("original_brand"),
@@ -226,14 +231,17 @@ def stored_analyses(spark, sf):
 @query("append_analysis", """
 SELECT 'c' || c_custkey || '.example.com' AS site, c_name AS original_brand, '' AS original_url, day AS competitors_found,
        0 AS competitors_analyzed, TIMESTAMP '2024-01-01' + to_days(day) AS created_at
-FROM customer, (VALUES (1), (2)) d(day) WHERE c_mktsegment = 'FURNITURE'""")
+FROM customer, (VALUES (1), (2)) d(day)""")
 def append_analysis(spark, sf):
-    return stored_analyses(spark, sf).drop("analysis_id", "updated_at")
+    """Appended to a log of analyses in two runs, the first of them repeated as after a lost driver, and read back."""
+    log, rows = store.AnalysisLog(spark, _folder(spark, "analyses")), stored_analyses(spark, sf)
+    for run in (1, 1, 2):
+        log.append(rows.filter(F.col("competitors_found") == run), f"day-{run}")
+    return log.read().drop("analysis_id", "updated_at")
 
 
 @query("lookup_analysis", """
-SELECT 'c' || c_custkey || '.example.com' AS site, c_name AS original_brand, 2 AS competitors_found FROM customer
-WHERE c_mktsegment = 'FURNITURE'""")
+SELECT 'c' || c_custkey || '.example.com' AS site, c_name AS original_brand, 2 AS competitors_found FROM customer""")
 def lookup_analysis(spark, sf):
     return store.lookup_analysis(stored_analyses(spark, sf)).select("site", "original_brand", "competitors_found")
 
@@ -343,8 +351,8 @@ def json_text_columns(spark, sf):
 
 
 def _folder(spark, name):
-    root = staging_root(spark)
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=root) if "://" not in root else f"{root}/{name}-{spark.sparkContext.applicationId}"
+    """A folder of its own for each call, below the shared one."""
+    return f"{staging_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @query("stream_page_dedup", f"SELECT {HOST} AS site, url, length(html) AS n_chars FROM pages")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.session import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -13,7 +12,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def pages(spark, sf) -> DataFrame:
-    return spread(table(spark, sf, "pages").select("url", "html"))
+    return (table(spark, sf, "pages").select("url", "html"))
 
 
 def escaped(c):
@@ -132,7 +131,7 @@ def supplier_homes(spark, sf) -> DataFrame:
         currency=F.when(F.col("s_nationkey") > 12, "EUR").otherwise("USD"),
         phone=F.lpad(F.pmod("s_suppkey", F.lit(10000)).cast("string"), 4, "0"),
     )
-    return spread(rows).select(render("https://shop-{{s_suppkey}}.example.com/").alias("url"), html.alias("html"))
+    return (rows).select(render("https://shop-{{s_suppkey}}.example.com/").alias("url"), html.alias("html"))
 
 
 HOMES_SQL = """
@@ -162,7 +161,7 @@ PRODUCT_PAGE = """
 
 def parts(spark, sf) -> DataFrame:
     return (
-        spread(table(spark, sf, "part"))
+        (table(spark, sf, "part"))
         .withColumn("slug", F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))))
         .withColumn("site", render("{{slug}}.example.com"))
         .withColumn("handle", render("{{name}}-{{p_partkey}}", name=F.replace("p_name", F.lit(" "), F.lit("-"))))
@@ -295,7 +294,7 @@ def document_pages(spark, sf) -> DataFrame:
         '<div class="policy-content"><h2>Terms</h2><p>{{t}}</p></div><p>Last updated: 01/02/2024</p></body></html>',
         t=escaped(F.col("text")),
     )
-    docs = spread(table(spark, sf, "documents").select("doc_id", "source", "text"))
+    docs = (table(spark, sf, "documents").select("doc_id", "source", "text"))
     return docs.select(render("https://{{source}}.example.com/policies/{{doc_id}}").alias("url"), html.alias("html"))
 
 
@@ -306,7 +305,7 @@ def turn_pairs(spark, sf) -> DataFrame:
     reply = turns.filter("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
     )
-    return spread(ask.join(reply, ["conv_id", "turn"]))
+    return (ask.join(reply, ["conv_id", "turn"]))
 
 
 PAIRS_SQL = f"""
@@ -364,7 +363,7 @@ def faq_pages(spark, sf) -> DataFrame:
 def candidates(spark, sf) -> DataFrame:
     """Candidate stores of a customer's brand: the suppliers of its order lines, in order."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    lines = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"))
+    lines = (table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"))
     rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.select(
         render("c{{o_custkey}}.example.com").alias("site"),

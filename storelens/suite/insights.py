@@ -274,18 +274,16 @@ def faq_pairs(spark, sf):
 
 @query("dedup_faqs", f"""
 WITH {PAIRS_SQL}
-SELECT left(question, 2) || '.example.com' AS site, conv_id, turn, question FROM (
-  SELECT conv_id, turn, lower(question[1:12]) AS question FROM pairs)
-QUALIFY row_number() OVER (PARTITION BY site, question ORDER BY conv_id, turn) = 1""")
+SELECT left(lower(question), 2) || '.example.com' AS site, conv_id, turn, question FROM pairs
+QUALIFY row_number() OVER (PARTITION BY site, lower(question) ORDER BY conv_id, turn) = 1""")
 def dedup_faqs(spark, sf):
-    """Questions of all conversations as one list per two-letter start; equal openings count as repeats."""
+    """Whole questions of all conversations as one list per two-letter start."""
     from storelens.functions import text
 
-    start = F.lower(F.substring(text.clean_faq_text(F.col("question")), 1, 12))
-    rows = inputs.turn_pairs(spark, sf).select("conv_id", "turn", start.alias("question")).withColumn(
-        "site", F.concat(F.substring("question", 1, 2), F.lit(".example.com"))
+    question = text.clean_faq_text(F.col("question"))
+    rows = inputs.turn_pairs(spark, sf).select("conv_id", "turn", question.alias("question")).withColumn(
+        "site", F.concat(F.lower(F.substring("question", 1, 2)), F.lit(".example.com"))
     )
-    # The key of the operator trims the question, so the SQL twin must hold no outer spaces either.
     return faqs.dedup_faqs(rows, order=("conv_id", "turn")).select("site", "conv_id", "turn", "question")
 
 
@@ -378,4 +376,4 @@ def assemble_catalog(spark, sf):
     insights, _ = assemble.build_insights(inputs.shop_homes(spark, sf), inputs.shop_feeds(spark, sf))
     return insights.select(
         "site", "total_products", F.array_join(F.transform("hero_products", lambda p: p["name"]), "|").alias("hero")
-    ).filter(F.col("total_products") > 0)
+    )

@@ -68,15 +68,6 @@ def test_limits_hold_and_are_cut_before_the_shuffle(skewed):
     assert "partial_min_by" in partial
 
 
-def test_salted_join_equals_a_plain_join(spark, skewed):
-    right = spark.range(0, 30).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("site"), F.col("id").alias("v"))
-    right = right.unionByName(spark.createDataFrame([("hot", -1)], "site string, v bigint"))
-    salted = ranking.salted_join(skewed, right, "site", F.col("seq"), hot_rows=500, salts=8)
-    assert rows(salted, "seq", F.coalesce("v", F.lit(-9))) == rows(
-        skewed.join(right, "site", "left"), "seq", F.coalesce("v", F.lit(-9))
-    )
-
-
 def test_quota_counts_whole_queries(spark):
     found = [("a", q, i) for q, n in ((0, 12), (1, 7), (2, 5), (3, 1)) for i in range(n)] + [("b", 5, 0)]
     kept = ranking.candidate_quota(spark.createDataFrame(found, "site string, query_rank int, seq int"))
