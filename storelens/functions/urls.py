@@ -43,6 +43,11 @@ def path_of(url: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(url, ORIGIN[:-1] + r")([^?#]*)", 2), "/+$", "")
 
 
+def page_key(url: Column) -> Column:
+    """Host without ``www.`` and path without trailing slash: equal for the spellings of one page's URL."""
+    return F.concat(F.regexp_replace(site_of(url), r"^www\.", ""), path_of(normalize_site_url(url)))
+
+
 def page_rank(url: Column) -> Column:
     """Number of path segments: 0 for the home page, so it sorts first."""
     path = path_of(url)

@@ -318,12 +318,16 @@ def union_products(pages: DataFrame) -> DataFrame:
     return dedup_products(structured.unionByName(cards))
 
 
-def page_products(pages: DataFrame, n: int) -> DataFrame:
-    """Per page: products of all branches, deduplicated, at most ``n``."""
+def _limited(df: DataFrame, keys, order, n: int | None) -> DataFrame:
+    return df if n is None else limit_per_key(df, keys, order, n)
+
+
+def page_products(pages: DataFrame, n: int | None = None) -> DataFrame:
+    """Per page: products of all branches, deduplicated, at most ``n`` if one is given."""
     both = products_from_jsonld(relations.structured_items(pages)).unionByName(products_from_cards(pages))
     both = both.repartition("site", "url")  # serves both windows below; a page is a small group
     unique = first_per_key(both, ["site", "url", F.lower("name"), F.coalesce("product_url", F.lit(""))], ["branch", "seq"])
-    return limit_per_key(unique, ["site", "url"], ["branch", "seq"], n)
+    return _limited(unique, ["site", "url"], ["branch", "seq"], n)
 
 
 @operator("single_product")
@@ -340,7 +344,7 @@ def single_product(pages: DataFrame) -> DataFrame:
 
 
 @operator("product_urls")
-def product_urls(pages: DataFrame, sitemap: DataFrame | None = None, n: int = rules.PRODUCT_URL_LIMIT) -> DataFrame:
+def product_urls(pages: DataFrame, sitemap: DataFrame | None = None, n: int | None = rules.PRODUCT_URL_LIMIT) -> DataFrame:
     """Product page URLs per site: from the first collection page that has any, the main page and the sitemap."""
     path = urls.path_of(F.col("url"))
     rank = F.when(F.col("page_rank") == 0, -1)
@@ -354,7 +358,7 @@ def product_urls(pages: DataFrame, sitemap: DataFrame | None = None, n: int = ru
     kept = found.join(best, "site", "left").filter("rank = -1 or rank = best").select("site", "product_url")
     if sitemap is not None:
         kept = kept.unionByName(sitemap.select("site", F.col("loc").alias("product_url")))
-    return limit_per_key(kept.distinct(), ["site"], ["product_url"], n)
+    return _limited(kept.distinct(), ["site"], ["product_url"], n)
 
 
 @operator("catalog_with_fallback")
@@ -365,19 +369,24 @@ def catalog_with_fallback(feed_products: DataFrame, html_products: DataFrame) ->
 
 
 @operator("fallback_products")
-def fallback_products(pages: DataFrame, main: DataFrame, sitemap: DataFrame | None = None) -> DataFrame:
-    """Page products of a site without feed: 50 of its main page, then 10 of each of 20 product pages.
+def fallback_products(
+    pages: DataFrame, main: DataFrame, sitemap: DataFrame | None = None, *, main_limit: int | None = None,
+    page_limit: int | None = None, per_page: int | None = None, url_limit: int | None = None,
+) -> DataFrame:
+    """Page products of a site without feed: those of its main page, then those of its product pages.
 
-    ``main`` holds the main page of every site.  Blocks are only read on it and on product pages; the
-    short product rows, not the pages, are then joined to the chosen URLs.
+    ``main`` holds the main page of every site.  Product pages are those of the table that a link or the
+    sitemap names; a scheme, ``www.``, query or trailing slash makes no difference.  Blocks are only read
+    on these pages; the short product rows, not the pages, are then joined to the chosen URLs.  The
+    limits cut products of the main page, product pages, products of each, and URLs looked at.
     """
-    first = page_products(main, rules.MAIN_PAGE_PRODUCT_LIMIT).withColumn("page_rank", F.lit(-1))
-    wanted = limit_per_key(product_urls(pages, sitemap), ["site"], ["product_url"], rules.PRODUCT_PAGE_LIMIT)
-    chosen = wanted.select(F.col("product_url").alias("url"), urls.site_of(F.col("product_url")).alias("site"))
+    first = page_products(main, main_limit).withColumn("page_rank", F.lit(-1))
     product_pages = pages.filter(F.col("url").contains("/products/"))
-    detail = page_products(product_pages, rules.PRODUCT_PAGE_PRODUCT_LIMIT).join(
-        chosen.distinct(), ["site", "url"], "left_semi"
-    )
+    there = product_pages.select(urls.page_key(F.col("url")).alias("page_key")).distinct()
+    wanted = product_urls(pages, sitemap, url_limit).withColumn("page_key", urls.page_key(F.col("product_url")))
+    wanted = _limited(wanted.join(there, "page_key", "left_semi"), ["site"], ["product_url"], page_limit)
+    found = page_products(product_pages, per_page).withColumn("page_key", urls.page_key(F.col("url")))
+    detail = found.join(wanted.select("page_key").distinct(), "page_key", "left_semi").drop("page_key")
     return dedup_products(first.unionByName(detail), "exact", order=("page_rank", "url", "branch", "seq"))
 
 

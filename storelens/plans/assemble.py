@@ -35,6 +35,11 @@ class Params:
     hero_tags: tuple = rules.HERO_TAGS
     strict_social: bool = True
     hero_rank: str = "catalog"
+    # Limits of the products that pages give a site without a feed; None keeps all.
+    main_page_products: int | None = None
+    product_pages: int | None = None
+    products_per_page: int | None = None
+    product_urls: int | None = None
 
 
 def page_digest(pages: DataFrame, params: Params = Params()) -> DataFrame:
@@ -88,11 +93,15 @@ def main_pages(digest: DataFrame) -> DataFrame:
 
 
 def build_catalog(
-    digest: DataFrame, main: DataFrame, feeds: DataFrame | None = None, sitemaps: DataFrame | None = None
+    digest: DataFrame, main: DataFrame, feeds: DataFrame | None = None, sitemaps: DataFrame | None = None,
+    params: Params = Params(),
 ) -> DataFrame:
     """Product catalog of every site: feed products, else products of its pages."""
     locs = feed_source.read_sitemap_urls(sitemaps) if sitemaps is not None else None
-    from_pages = products.fallback_products(digest, main, locs)
+    from_pages = products.fallback_products(
+        digest, main, locs, main_limit=params.main_page_products, page_limit=params.product_pages,
+        per_page=params.products_per_page, url_limit=params.product_urls,
+    )
     if feeds is None:
         return from_pages
     return products.catalog_with_fallback(
@@ -183,6 +192,6 @@ def build_insights(
     keep = stage if staged else lambda df, name: df
     digest = keep(page_digest(current_pages(pages), params), "page_digest")
     main = keep(main_pages(digest), "main_pages")
-    catalog = keep(build_catalog(digest, main, feeds, sitemaps), "catalog")
+    catalog = keep(build_catalog(digest, main, feeds, sitemaps, params), "catalog")
     insights = insights_from_digest(digest, main, catalog, feeds=feeds, faq_feeds=faq_feeds, params=params)
     return insights, catalog

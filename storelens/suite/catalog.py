@@ -354,11 +354,11 @@ def product_urls(spark, sf):
 
 @query("fallback_products", f"""
 WITH {LD_SQL}, {CARD_SQL.split(PARTS_SQL)[1].lstrip(', ')}, chosen AS (
-  SELECT DISTINCT site, url FROM part_pages QUALIFY row_number() OVER (PARTITION BY site ORDER BY url) <= 20)
+  SELECT DISTINCT site, url FROM part_pages)
 SELECT site, url, name FROM ld_products JOIN chosen USING (site, url)
 UNION ALL SELECT site, url, name FROM cards JOIN chosen USING (site, url)""")
 def fallback_products(spark, sf):
-    """Sites known by their sitemap only: the products of their first twenty product pages."""
+    """Sites known by their sitemap only: the products of all their product pages."""
     pages = inputs.product_pages(spark, sf)
     locs = pages.select(urls.host_of(F.col("url")).alias("site"), F.col("url").alias("loc"))
     homes = relations.with_site(pages).filter("page_rank = 0")  # none of the sites has one

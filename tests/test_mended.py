@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from storelens.operators import competitors, ranking, relations
+from storelens.operators import competitors, products, ranking, relations
 from storelens.plans import assemble
 from storelens.sources import feeds, pages as page_source, store
 
@@ -73,3 +73,15 @@ def test_the_log_of_analyses_repeats_a_run_without_doubling(spark, tmp_path):
     for run, site in (("a", "x"), ("a", "x"), ("b", "y")):
         log.append(spark.createDataFrame([(site, 1)], "site string, n int"), run)
     assert sorted(r.site for r in log.read().collect()) == ["x", "y"]
+
+
+def test_product_pages_are_found_under_other_spellings(spark, pages):
+    block = '<script type="application/ld+json">{"@type": "Product", "name": "%s"}</script>'
+    given = relations.with_site(pages(
+        ("https://www.s.com/", '<a href="https://s.com/products/a/">A</a><a href="/products/b?ref=1">B</a><a href="/products/gone">C</a>'),
+        ("https://www.s.com/products/a", block % "A"), ("https://www.s.com/products/b/", block % "B"), ("https://www.s.com/products/z", block % "Z"),
+    ))
+    main = given.filter("page_rank = 0")
+    assert sorted(r.name for r in products.fallback_products(given, main).collect() if r.name in ("A", "B", "Z") and "/products/" in r.url) == ["A", "B"]
+    one = products.fallback_products(given, main, page_limit=1).filter(F.col("url").contains("/products/"))
+    assert one.count() == 1
