@@ -33,7 +33,11 @@ NAMES = frozenset(
     "header masthead footer sidebar aside widget related recommended share sharing social cookie cookies consent gdpr notice notification alert popup modal overlay "
     "newsletter subscribe subscription signup login comment comments commentlist disqus respond replies reply pagination pager toolbar copyright".split()
 )
+#: Of these, the names that an article's own head has too.
+HEADS = frozenset({"header", "masthead"})
 LANDMARKS = frozenset({"article", "main"})
+#: A path in a landmark counts so many times.
+RAISE = 2.0
 KEPT_SHARE, WINDOW = 0.1, 1
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 
@@ -66,8 +70,10 @@ def _apart(tag: str, attributes: str, in_landmark: bool) -> bool:
             return True
         if kind == "hidden" and tag not in ("html", "body") or kind == "aria-hidden" and value.lower() == "true":
             return True
-        if kind in ("class", "id") and tag not in ("html", "body", "article", "main") and not NAMES.isdisjoint(x.lower() for x in _NAME.findall(value)):
-            return True
+        if kind in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            names = {x.lower() for x in _NAME.findall(value)} & NAMES
+            if names - HEADS if in_landmark else names:
+                return True
     return False
 
 
@@ -162,12 +168,10 @@ def content(page: str) -> str:
 
     Per path, the text ratio is the length of the text per block, the punctuation ratio the number of
     marks per block; link text doesn't count. Both are smoothed over neighbouring blocks in page order
-    and multiplied. A path inside an article or main element counts as its best one, as such elements
-    hold the article in full. Paths reach a share of the page's best path, or are dropped.
+    and multiplied. Paths reach a share of the page's best path, or are dropped, in an article or main
+    element as elsewhere; there a path's ratio is raised by a fixed factor before it is compared.
     """
     held = [(b, t) for b, t in ((b, b.text()) for b in blocks(page) if not b.apart) if t]
-    if any(b.landmark for b, _ in held):
-        held = [(b, t) for b, t in held if b.landmark]
     if not held:
         return ""
     paths: dict[str, list[int]] = defaultdict(list)
@@ -182,7 +186,7 @@ def content(page: str) -> str:
     smooth = np.convolve(np.pad(fused, WINDOW, mode="edge"), kernel / kernel.sum(), mode="valid")
     score = {path: float(smooth[members].mean()) for path, members in paths.items()}
     best = max(score.values())
-    fair = {path for path, members in paths.items() if score[path] >= KEPT_SHARE * best or all(held[i][0].landmark for i in members)}
+    fair = {path for path, members in paths.items() if score[path] * (RAISE if held[members[0]][0].landmark else 1) >= KEPT_SHARE * best}
     return "\n".join(t for b, t in held if b.path in fair)
 
 

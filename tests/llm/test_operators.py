@@ -293,6 +293,17 @@ def test_main_text(inside, want):
     assert html_paths.content(PAGE % inside) == want
 
 
+def test_main_text_goes_by_ratios_in_and_outside_landmarks():
+    long = "<p>A long part, with marks. It goes on, and on, for a while. Then it ends, at last.</p>"
+    said = "A long part, with marks. It goes on, and on, for a while. Then it ends, at last."
+    teasers = "".join(f"<article><h3><a href=/{i}>More {i}</a></h3><span>Go</span></article>" for i in range(9))
+    assert html_paths.content(PAGE % f"<div class=story>{long * 5}</div><section>{teasers}</section>") == "\n".join([said] * 5)
+    # Short unmarked parts inside an article go, its head stays.
+    tools = "<table><tr>" + "<td>x1</td>" * 30 + "</tr></table>"
+    inside = f"<article><div class='entry-header'><h1>Head, of it.</h1></div>{long * 5}{tools}</article>"
+    assert html_paths.content(PAGE % inside) == "\n".join(["Head, of it.", *[said] * 5])
+
+
 def test_main_text_of_odd_pages(spark):
     many = "<article>" + "".join(f"<p>Part {i}, of it.</p>" for i in range(20_000)) + "</article>"
     pages = [(1, "u", None), (2, None, ""), (3, "u", "plain"), (4, "u", "<p>cut, off <a hre"), (5, "u", many), (5, "u", many), (None, "u", "<<<>>"), (6, "u", "<div>" * 30_000 + "deep, one"), (7, "u", "</p></x>")]
