@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storelens.session import stage
@@ -64,6 +64,14 @@ def _blocks() -> Column:
     ])
 
 
+def _first_equal(apart: Column) -> Column:
+    """Whether the block that two fingerprints met by is the first that they share, so that each pair is met once."""
+    low = (1 << BLOCK_BITS) - 1
+    block = F.shiftright("block", BLOCK_BITS) % (RADIUS + 1)
+    differ = [F.shiftrightunsigned(apart, BLOCK_BITS * b).bitwiseAND(F.lit(low)) != 0 for b in range(RADIUS)]
+    return reduce(Column.__and__, [(block <= b) | d for b, d in enumerate(differ)])
+
+
 def _hashed(held: DataFrame) -> DataFrame:
     return held.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
 
@@ -77,6 +85,29 @@ def _counted(windows: DataFrame, *key: str) -> DataFrame:
     return shingled.groupBy(*key, "total", "shingle").agg(F.count("*").alias("times"))
 
 
+def _best_starts(near: DataFrame, pair: tuple[str, ...], last: Column) -> DataFrame:
+    """The window starts with enough shingles in common, from the places of an item's shingles in a document.
+
+    A place counts for the windows that hold it and, of the same shingle, fewer places before it than the
+    item has. These starts are a range, so the number in common is a running sum over the ranges' ends.
+    """
+    total, item_total = F.least("n", "length") - WIDTH + 1, F.col("n") - WIDTH + 1
+    places = near.filter("shingle_id is not null").groupBy(*pair, "n", "length", "shingle_id", "times").agg(F.sort_array(F.collect_list("p")).alias("places"))
+    ranges = F.transform("places", lambda p, i: F.struct(
+        F.greatest(F.get("places", (i - F.col("times")).cast("int")) + 1, p - total + 1, F.lit(0)).alias("low"), F.least(p, last).alias("high")
+    ))
+    ends = places.select(*pair, "n", "length", F.inline(ranges)).filter("low <= high")
+    ends = ends.select(*pair, "n", "length", F.inline(F.array(
+        F.struct(F.col("low").alias("start"), F.lit(1).alias("more")), F.struct((F.col("high") + 1).alias("start"), F.lit(-1).alias("more"))
+    ))).withColumn("aligned", F.lit(False))
+    aligned = near.filter("aligned").select(*pair, "n", "length", F.col("p").alias("start"), F.lit(0).alias("more"), "aligned")
+    steps = ends.unionByName(aligned).groupBy(*pair, "n", "length", "start").agg(F.sum("more").alias("more"), F.max("aligned").alias("aligned"))
+    summed = steps.withColumn("common", F.sum("more").over(Window.partitionBy(*pair).orderBy("start")))
+    union = total + item_total - F.col("common")
+    close = summed.filter((F.col("start") <= last) & (F.col("common") * 100 >= union * SIMILARITY))
+    return close.select("doc_id", "item", "start", "aligned", (F.col("common") / union).alias("similarity"))
+
+
 def _small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
@@ -88,14 +119,15 @@ def contaminated(
     """Documents that hold a benchmark item: (doc_id, item_id, window_start, similarity), the best window of each pair.
 
     A document holds an item of n words if one of its windows of n words shares enough 5-word shingles
-    with it: weighted by how often they occur, 100 * sum of minima >= 75 * sum of maxima. Windows are
-    aligned with the item at a run of unedited words, give or take the words that edits may shift.
-    window_start is the first such window's word number. Words are ``[^\\x20\\x09-\\x0D]+`` of the lower-cased text.
+    with it: weighted by how often they occur, 100 * sum of minima >= 75 * sum of maxima. All windows are
+    tried that hold a run of unedited words, so parts of the item may stand in another order.
+    window_start is the best window's word number; of equally good ones the first that is aligned with the
+    item at such a run, give or take the words that edits may shift, else the first. Words are ``[^\\x20\\x09-\\x0D]+`` of the lower-cased text.
 
     1. Items and documents get SimHash fingerprints of windows whose size goes by the item's (``WINDOWS``).
     2. The 64 bits are cut into RADIUS + 1 blocks. Fingerprints within the radius share a whole block,
        so a join on blocks finds all of them.
-    3. The item-sized window around each candidate is compared exactly.
+    3. All item-sized windows that hold a candidate are compared exactly.
 
     Documents shorter than an item are compared whole. Items of fewer than five words are one shingle and
     are found only in documents of just these words. Null, empty and blank texts hold nothing and are held
@@ -112,38 +144,48 @@ def contaminated(
     some = items.agg(*[F.coalesce(F.bool_or(x), F.lit(False)) for x in there]).first()
     kinds = [k for k in range(len(WINDOWS)) if some[k]]
     found = docs.filter(item_words < WIDTH).join(items.filter(item_words < WIDTH), "words").select(
-        "doc_id", "item", F.lit(0).alias("start"), F.lit(1.0).alias("similarity")
+        "doc_id", "item", F.lit(0).alias("start"), F.lit(True).alias("aligned"), F.lit(1.0).alias("similarity")
     )
+    pair = ("doc_id", "text_key", "item")
     if kinds:
         index, probes = [], []
-        hashed = _hashed(docs)
+        hashed = _hashed(docs).withColumn("text_key", F.xxhash64("words"))
         for size in sorted({WINDOWS[k][2] for k in kinds}):
             same = [k for k in kinds if WINDOWS[k][2] == size]
             own = _hashed(items.filter(reduce(Column.__or__, [there[k] for k in same]))).withColumn("n", item_words)
             index.append(_windows(own, size, 1, "item", "n").withColumnsRenamed({"at": "offset", "print": "item_print"}))
-            probe = _windows(hashed, size, min(WINDOWS[k][3] for k in same), "doc_id", "words")
-            probes.append(probe.select("doc_id", "words", "at", "print", F.explode(_blocks()).alias("block")))
+            probe = _windows(hashed, size, min(WINDOWS[k][3] for k in same), "doc_id", "text_key", "words")
+            probes.append((size, probe.select("doc_id", "text_key", "words", "at", "print", F.explode(_blocks()).alias("block"))))
         index = reduce(DataFrame.unionByName, index).withColumn("print", F.col("item_print"))
         index = stage(index.select("item", "n", "offset", "item_print", F.explode(_blocks()).alias("block")).drop("print"), "index")
         index = _small(index, broadcast_rows)
+        theirs = _counted(items, "item").withColumn("shingle_id", F.monotonically_increasing_id())
+        theirs = _small(stage(theirs.select("item", "shingle", "times", "shingle_id"), "shingles"), broadcast_rows)
         near = []
         shift = F.floor((F.col("n") - WIDTH + 1) / 28).cast("int")
-        for probe in probes:
-            close = probe.join(index, "block").filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-            moved = close.select("doc_id", "item", "n", "words", (F.col("at") - F.col("offset")).alias("start"), F.explode(F.sequence(-shift, shift)).alias("by"))
-            last = F.greatest(F.size("words") - F.col("n"), F.lit(0))
-            moved = moved.withColumn("start", F.greatest(F.least(F.col("start") + F.col("by"), last), F.lit(0)))
-            near.append(moved.select("doc_id", "item", "start", F.slice("words", F.col("start") + 1, F.col("n")).alias("words")))
-        near = stage(reduce(DataFrame.unionByName, near).distinct(), "near")
-        key = ("doc_id", "item", "start", "text_key")
-        near = near.withColumn("text_key", F.md5(F.array_join("words", " ")))
-        theirs = stage(_counted(items, "item"), "shingles").withColumnsRenamed({"total": "item_total", "times": "item_times"})
-        both = _counted(near, *key).join(_small(theirs, broadcast_rows), ["item", "shingle"])
-        summed = both.groupBy(*key, "total", "item_total").agg(F.sum(F.least("times", "item_times")).alias("common"))
-        union = F.col("total") + F.col("item_total") - F.col("common")
-        close = summed.filter(F.col("common") * 100 >= union * SIMILARITY)
-        found = found.unionByName(close.select("doc_id", "item", "start", (F.col("common") / union).alias("similarity")))
-    best = found.groupBy("doc_id", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("start"))).alias("best"))
+        last = F.greatest(F.col("length") - F.col("n"), F.lit(0))
+        clamped = lambda start: F.greatest(F.least(start, last), F.lit(0))
+        for size, probe in probes:
+            apart = F.col("print").bitwiseXOR(F.col("item_print"))
+            close = probe.join(index, "block").filter((F.bit_count(apart) <= RADIUS) & _first_equal(apart)).withColumn("length", F.size("words"))
+            # All words of the windows of n words that hold these ones.
+            low = F.greatest(F.col("at") + size - F.col("n") - shift, F.lit(0))
+            high = F.least(F.col("length"), F.col("at") + F.col("n")) - WIDTH
+            held = close.withColumn("start", F.col("at") - F.col("offset")).select(
+                *pair, "n", "length", "words", clamped(F.col("start") - shift).alias("low"), clamped(F.col("start") + shift).alias("high"),
+                F.explode(F.when(low <= high, F.sequence(low, high))).alias("p"),
+            )
+            held = held.select(
+                *pair, "n", "length", "p", F.col("p").between(F.col("low"), F.col("high")).alias("aligned"),
+                F.array_join(F.slice("words", F.col("p") + 1, WIDTH), " ").alias("shingle"),
+            )
+            near.append(held.join(theirs, ["item", "shingle"], "left").filter("aligned or shingle_id is not null").drop("shingle"))
+        near = reduce(DataFrame.unionByName, near).groupBy(*pair, "n", "length", "p").agg(
+            F.max("aligned").alias("aligned"), F.max("times").cast("int").alias("times"), F.max("shingle_id").alias("shingle_id")
+        )
+        close = _best_starts(stage(near, "near"), pair, last)
+        found = found.unionByName(close)
+    best = found.groupBy("doc_id", "item").agg(F.max(F.struct("similarity", "aligned", (-F.col("start")).alias("start"))).alias("best"))
     named = _small(named.select("item", "item_id").distinct(), broadcast_rows)
     return best.join(named, "item").select(
         "doc_id", "item_id", (-F.col("best.start")).cast("int").alias("window_start"), F.col("best.similarity").alias("similarity")

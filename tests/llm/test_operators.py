@@ -159,6 +159,30 @@ def test_decontamination(spark):
     assert decontam.contaminated(given.limit(0), bench).count() == 0 and decontam.contaminated(given, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_moved_sentences(spark):
+    rng = random.Random(11)
+    vocabulary = [f"t{i}" for i in range(2000)]
+    items = [(i, sentence(rng, n, vocabulary).split()) for i, n in enumerate((59, 59, 45, 120))]
+    items.append((4, (items[0][1][:12] * 4 + items[1][1])[:90]))  # shingles that repeat
+    docs, want = [], {}
+    for i, words in items:
+        for k, cut in enumerate((10, len(words) // 2, len(words) - 13)):
+            moved = words[cut:] + words[:cut]
+            text = sentence(rng, 70 + 3 * k, vocabulary).split() + moved + sentence(rng, 80, vocabulary).split()
+            docs.append((10 * i + k, " ".join(text)))
+            for item, have in items:
+                n, target = len(have), Counter(tuple(have[j : j + 5]) for j in range(len(have) - 4))
+                best = 0.0
+                for a in range(len(text) - n + 1):
+                    mine = Counter(tuple(text[a + j : a + j + 5]) for j in range(n - 4))
+                    best = max(best, sum((mine & target).values()) / sum((mine | target).values()))
+                if best >= 0.75:
+                    want[10 * i + k, item] = best
+    assert len(want) >= len(docs)
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.similarity for r in decontam.contaminated(docs, items).collect()} == pytest.approx(want)
+
+
 def test_decontamination_plan_has_no_python(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string")
     plan = decontam.contaminated(docs, docs.withColumnRenamed("doc_id", "item_id"))._jdf.queryExecution().executedPlan().toString()
