@@ -17,8 +17,11 @@ BUCKETS = 1 << 20
 SHORTEST, LONGEST = 4, 8
 #: Labelled rows that the model is fitted on at most, chosen by a hash of the doc_id.
 SAMPLE_ROWS = 12_000
-#: Terms of the model: the first by their likelihood ratio with the label in the fitting rows, if it is this at least.
-TERMS, LEAST_RATIO = 1024, 20.0
+#: Terms of the model: those with at least this likelihood ratio with the label in the fitting rows,
+#: and those whose factors keep this share of the longest in a sparse machine over all terms in LEAST_ROWS rows.
+LEAST_RATIO, LEAST_SHARE, LEAST_ROWS = 20.0, 0.2, 2
+#: The sparse machine: epochs, or more where these are fewer steps; step sizes and shrinkage of weights and factors, first sums of squares, spread of first factors.
+SPARSE_EPOCHS, SPARSE_STEPS, WEIGHT_RATE, FACTOR_RATE, WEIGHT_SHRINK, FACTOR_SHRINK, FIRST_SUM, SPREAD = 5, 300, 0.1, 0.05, 6e-3, 8e-3, 1e-4, 0.02
 FACTORS, EPOCHS, BATCH_ROWS, RATE, DECAY = 8, 6, 128, 0.1, 1e-4
 REJECT = 0.7
 
@@ -132,6 +135,56 @@ def train(rows: list[np.ndarray], labels: np.ndarray, buckets: np.ndarray, seed:
     return machine
 
 
+def paired(rows: list[np.ndarray], labels: np.ndarray, size: int, seed: int = 7) -> np.ndarray:
+    """Places of the terms that matter in pairs, by a sparse machine over all ``size`` terms.
+
+    Its Adagrad steps only touch the terms of a batch's rows. After each step a weight and a term's factors
+    as a group are drawn to zero, so factors stay long only where pairs explain the label.
+    """
+    rng = np.random.default_rng(seed)
+    positive = (labels.sum() + 1) / (len(labels) + 2)
+    bias, bias_sum = float(np.log(positive / (1 - positive))), FIRST_SUM
+    weights, factors = np.zeros(size), rng.normal(0, SPREAD, (size, FACTORS))
+    weight_sums, factor_sums = np.full(size, FIRST_SUM), np.full((size, 1), FIRST_SUM)
+    lengths = np.array([len(r) for r in rows], np.int64)
+    for _ in range(max(SPARSE_EPOCHS, -(-SPARSE_STEPS * BATCH_ROWS // max(len(rows), 1)))):
+        order = rng.permutation(len(rows))
+        for at in range(0, len(order), BATCH_ROWS):
+            chosen = order[at : at + BATCH_ROWS]
+            chosen = chosen[lengths[chosen] > 0]
+            if not len(chosen):
+                continue
+            many = lengths[chosen]
+            starts = np.cumsum(many) - many
+            touched, places = np.unique(np.concatenate([rows[i] for i in chosen]), return_inverse=True)
+            own, vectors = weights[touched], factors[touched]
+            sums = np.add.reduceat(vectors[places], starts)
+            squares = np.add.reduceat((vectors**2).sum(axis=1)[places], starts)
+            raw = bias + np.add.reduceat(own[places], starts) + 0.5 * ((sums**2).sum(axis=1) - squares)
+            error = (_sigmoid(raw) - labels[chosen]) / len(chosen)
+            step = np.bincount(places, np.repeat(error, many), len(touched))
+            turned = np.stack([np.bincount(places, np.repeat(error * s, many), len(touched)) for s in sums.T], axis=1) - step[:, None] * vectors
+            bias_sum += error.sum() ** 2
+            bias -= WEIGHT_RATE * error.sum() / np.sqrt(bias_sum)
+            weight_sums[touched] += step**2
+            rate = WEIGHT_RATE / np.sqrt(weight_sums[touched])
+            own = own - rate * step
+            weights[touched] = np.sign(own) * np.maximum(np.abs(own) - WEIGHT_SHRINK * rate, 0)
+            factor_sums[touched] += (turned**2).mean(axis=1, keepdims=True)
+            rate = FACTOR_RATE / np.sqrt(factor_sums[touched])
+            vectors = vectors - rate * turned
+            norms = np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+            factors[touched] = vectors * np.maximum(1 - FACTOR_SHRINK * rate / norms, 0)
+    norms = np.linalg.norm(factors, axis=1)
+    return np.flatnonzero((norms >= LEAST_SHARE * norms.max()) & (norms > 0)) if size else np.zeros(0, np.int64)
+
+
+def _ratios(n: np.ndarray, k: np.ndarray, share: float) -> np.ndarray:
+    """Likelihood ratio with the label of terms that are in n rows, k of them toxic."""
+    part = lambda k, p: k * np.log(np.maximum(k, 1) / (n * p))
+    return 2 * (part(k, share) + part(n - k, 1 - share))
+
+
 def _featurized(batches):
     for batch in batches:
         found = []
@@ -146,7 +199,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     At most ``sample_rows`` labelled rows are used, those with the smallest hashes of their doc_id, so
     what is broadcast and what reaches the driver is bounded by that parameter. Rows without a doc_id,
-    label or text are not used; without rows of both labels the model only knows their share.
+    label or text are not used; the terms of all used rows reach the driver, and a doc_id that repeats in
+    ``docs`` counts with each of its rows. Without rows of both labels the model only knows their share.
     """
     small_batches(docs)
     given = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
@@ -158,16 +212,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     size, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not 0 < toxic < size:
         return train([], np.full(size, float(bool(toxic))), np.zeros(0, np.int64))
-    counted = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("label").alias("k"))
-    share = toxic / size
-    part = lambda k, p: F.when(k > 0, k * F.log(k / (F.col("n") * p))).otherwise(0.0)
-    ratio = 2 * (part(F.col("k"), share) + part(F.col("n") - F.col("k"), 1 - share))
-    chosen = counted.withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "term").limit(TERMS)
-    buckets = np.array(sorted(r.term for r in chosen.collect()), np.int64)
-    only = F.array_intersect("terms", F.lit(buckets.tolist()) if len(buckets) else F.array().cast("array<long>"))
-    found = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label").select("label", only.alias("terms")).toArrow()
-    places = [np.searchsorted(buckets, np.array(t, np.int64)) for t in found.column("terms").to_pylist()]
-    return train(places, np.array(found.column("label").to_pylist(), float), buckets)
+    found = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label").select("label", F.col("terms").cast("array<int>").alias("terms")).toArrow()
+    given = np.array(found.column("label").to_pylist(), float)
+    held = [np.asarray(part.values) for part in found.column("terms").combine_chunks()]
+    n = np.zeros(BUCKETS, np.int64)
+    k = np.zeros(BUCKETS, np.int64)
+    for row, toxic_row in zip(held, given, strict=True):
+        n[row] += 1
+        if toxic_row:
+            k[row] += 1
+    known = np.flatnonzero(n >= LEAST_ROWS)
+    place = np.full(BUCKETS, -1, np.int64)
+    place[known] = np.arange(len(known))
+    in_pairs = known[paired([p[p >= 0] for p in (place[row] for row in held)], given, len(known))]
+    once = np.flatnonzero(n)
+    buckets = np.union1d(once[_ratios(n[once], k[once], toxic / size) >= LEAST_RATIO], in_pairs)
+    place[:] = -1
+    place[buckets] = np.arange(len(buckets))
+    return train([p[p >= 0] for p in (place[row] for row in held)], given, buckets)
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,7 +253,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     A text's terms are its words, the first four to eight bytes of longer ones, and which of them come
     twice or more, hashed. The machine adds a weight per term and a product of factors per pair of terms, so it learns what is toxic only
-    together. Whole texts are scored, all terms of them. Rows that repeat each get a row; a null doc_id
+    together, also where neither term says anything alone. Whole texts are scored, all terms of them. Rows that repeat each get a row; a null doc_id
     is in no fold. Empty tables give empty results. Other columns are ignored.
     """
     return score(docs, fit(docs, labels, id_col, text_col), id_col, text_col)

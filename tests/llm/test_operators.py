@@ -364,6 +364,28 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs.limit(0), given).count() == 0
 
 
+def test_toxicity_of_pairs_without_effect_of_their_own(spark):
+    rng = random.Random(21)
+    vocabulary = [f"plain{i}" for i in range(2000)]
+    rows, labels, both = [], [], set()
+    for i in range(8000):
+        words = sentence(rng, rng.randint(15, 50), vocabulary).split()
+        kind = i % 1000
+        # Each of the two words is in 125 rows of 1000, 15 of them toxic; so are 105 of the 750 rows without them.
+        words += ["idiot"] * (kind < 125) + ["folks"] * (kind < 15 or 125 <= kind < 235) + [f"slur{i % 5}x"] * (kind >= 895)
+        if kind < 15:
+            both.add(i)
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(kind < 15 or kind >= 895)))
+    docs, given = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    held = [r for r in toxicity.toxicity(docs, given).collect() if r.held_out]
+    pairs = [r.predicted for r in held if r.doc_id in both]
+    assert len(pairs) > 20 and sum(pairs) >= 0.9 * len(pairs)
+    truth = dict(labels)
+    assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.98 * len(held)
+
+
 def test_language(spark):
     rng = random.Random(4)
     alphabets = {"aa": "abcde", "bb": "defgh", "cc": "йцуке"}
