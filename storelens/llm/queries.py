@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from storelens.llm import bpe, decontam, html_paths, langid, maxent, minhash, toxicity, url_filter, vectors, warc
+from storelens.llm import align, bpe, decontam, html_paths, langid, maxent, minhash, phrases, quality, toxicity, url_filter, vectors, warc
 from storelens.llm.common import table
 
-#: Vocabulary file of the tokenizer; the operator takes any path.
-VOCABULARY = "byte_bpe_50k.json"
+#: Vocabulary files of the tokenizers; the operators take any path.
+VOCABULARY, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
@@ -23,10 +23,10 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 @query("op1_warc", warc.SQL)
@@ -77,3 +77,19 @@ def maxent_scores(spark, sf):
 @query("op10_url_trees")
 def url_trees(spark, sf):
     return url_filter.judge(table(spark, sf, "pages"))
+
+
+@query("op11_merge_path")
+def merge_path(spark, sf):
+    aligned = align.align(table(spark, sf, "documents"), vocabulary_path(), vocabulary_path(PIECES))
+    return align.counted(align.digests(aligned))
+
+
+@query("op12_toivonen", phrases.SQL)
+def toivonen(spark, sf):
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
+@query("op13_compression")
+def compression(spark, sf):
+    return quality.quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
