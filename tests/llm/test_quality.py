@@ -18,7 +18,7 @@ def test_quality(spark):
         bad = i % 5 == 0
         rows.append((i, " ".join(w + rng.choice(["$$$", "###", "!!"]) for w in words) if bad else " ".join(words)))
         labels.append((i, int(not bad)))
-    rows += [(2000, None), (2001, ""), (None, "x"), (3, rows[3][1]), (3, "other text of the same id"), (2002, "gone###" * 90_000), (2003, " ".join(rng.choice(vocabulary) for _ in range(90_000)))]
+    rows += [(2000, None), (2001, ""), (None, "x"), (3, rows[3][1]), (3, "other text of the same id"), (2002, "### ".join(rng.choice(vocabulary) for _ in range(90_000))), (2003, " ".join(rng.choice(vocabulary) for _ in range(90_000)))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"label": F.lit("l"), "score": F.lit(1), "part": F.lit(2), "key": F.lit(3)})
     given = spark.createDataFrame([*labels, (None, 1), (5, None), (7, 9)], "doc_id long, quality int")
     found = quality.quality(docs, given).collect()
