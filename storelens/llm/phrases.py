@@ -18,65 +18,72 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 SAMPLE = 1 / 8
 #: The sample's threshold lies so many standard deviations under its expected share of the full one.
 DEVIATIONS = 2.0
-#: Bits of the proposals' filter for each proposal, and its smallest and largest size (128 MB) as powers of two.
-BITS_EACH, SMALLEST_BITS, LARGEST_BITS = 24, 20, 30
-#: A phrase that ends a piece or a text is followed by none.
+#: Bits of a phrase's key, and of the filter for each key: its size is a power of two between the two given ones (128 KB, 128 MB).
+KEY_BITS, BITS_EACH, SMALLEST_BITS, LARGEST_BITS = 44, 24, 20, 30
+NO_PART = np.uint64(1 << KEY_BITS)
+#: Entries that a task sums up before it sends them on, and bytes of text it looks at together.
+HELD, GROUP = 1 << 20, 1 << 20
 _PLACES = odd_numbers(LONGEST, 0xBF58476D1CE4E5B9)
+_AGAIN = odd_numbers(LONGEST, 0x5851F42D4C957F2D)
 #: Letters lower-cased, ``[.,;:!?\x0A-\x0D]`` as line ends, tabs as spaces.
 _TABLE = bytes(10 if b in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
-COUNTED = "lang string, phrase string, words int, key long, n long"
 
 
 class Words:
-    """Words of many texts of one language, and a hash of every phrase of up to ``LONGEST`` words."""
+    """Words of texts of one language, and a key of every phrase of up to ``LONGEST`` words.
+
+    ``keys[k - 1]`` has the keys of k words from every place, ``valid[k - 1]`` whether they lie in one piece.
+    """
 
     def __init__(self, lang: str, texts: list[bytes]):
-        self.text = b"\n".join(texts).translate(_TABLE)
+        self.lang, self.text = lang, b"\n".join(texts).translate(_TABLE)
         codes = np.frombuffer(self.text, np.uint8)
         word = (codes != 32) & (codes != 10)
         edge = np.diff(np.concatenate(([0], word.view(np.int8), [0])))
         self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        self.piece = np.cumsum(codes == 10)[self.starts] if len(codes) else self.starts
-        hashed = word_hashes(self.text)
+        piece = np.cumsum(codes == 10)[self.starts] if len(codes) else self.starts
+        self.hashed = word_hashes(self.text)
         seed = np.uint64(xxhash.xxh3_64_intdigest(lang))
         self.valid, self.keys = [], []
-        total = np.zeros(len(hashed), np.uint64)
+        total = np.zeros(len(self.hashed), np.uint64)
         for k in range(1, LONGEST + 1):
-            n = max(len(hashed) - k + 1, 0)
-            total = total[:n] + hashed[k - 1 : k - 1 + n] * _PLACES[k - 1]
-            self.valid.append(self.piece[:n] == self.piece[k - 1 : k - 1 + n])
-            self.keys.append(mix(total + seed + np.uint64(k)))
+            n = max(len(self.hashed) - k + 1, 0)
+            total = total[:n] + self.hashed[k - 1 : k - 1 + n] * _PLACES[k - 1]
+            self.valid.append(piece[:n] == piece[k - 1 : k - 1 + n])
+            self.keys.append(mix(total + seed + np.uint64(k)) >> np.uint64(64 - KEY_BITS))
+        # The longest phrases are no part of others; their keys are told from those of parts.
+        self.keys[-1] |= NO_PART
 
     def phrase(self, at: int, k: int) -> bytes:
         return b" ".join(self.text[self.starts[at] : self.ends[at + k - 1]].split())
 
     def times(self, at: np.ndarray, k: int):
-        """Key, first place and number of the phrases of k words at the given places; phrases of one key are told apart."""
-        keys, first, group, n = np.unique(self.keys[k - 1][at], return_index=True, return_inverse=True, return_counts=True)
-        spans = self.starts[at], self.ends[at + k - 1]
-        # A second sum over the words' own hashes, by other factors: where it differs within a key, the texts decide.
+        """First place and number of the distinct phrases of k words at the given places; phrases of one key are told apart."""
+        _, first, group, n = np.unique(self.keys[k - 1][at], return_index=True, return_inverse=True, return_counts=True)
+        # A second sum of the words' hashes, by other factors: where it differs within a key, the texts decide.
         again = np.zeros(len(at), np.uint64)
         for j in range(k):
-            again += self.keys[0][at + j] * (_PLACES[j] ^ np.uint64(0x5851F42D4C957F2D))
+            again += self.hashed[at + j] * _AGAIN[j]
         odd = np.unique(group[again != again[first][group]])
-        plain = ~np.isin(np.arange(len(keys)), odd)
-        yield from zip(keys[plain].tolist(), at[first[plain]].tolist(), n[plain].tolist())
+        plain = ~np.isin(np.arange(len(n)), odd)
+        yield from zip(at[first[plain]].tolist(), n[plain].tolist())
         for g in odd.tolist():
             apart: dict[bytes, list[int]] = {}
-            for x in np.flatnonzero(group == g).tolist():
-                apart.setdefault(self.phrase(int(at[x]), k), []).append(int(at[x]))
-            yield from ((int(keys[g]), places[0], len(places)) for places in apart.values())
+            for x in at[group == g].tolist():
+                apart.setdefault(self.phrase(x, k), []).append(x)
+            yield from ((places[0], len(places)) for places in apart.values())
 
 
 class Filter:
-    """A set of phrase keys in a fixed number of bits, three per key. It may take in others, but never leaves one out."""
+    """A set of keys in a fixed number of bits, three per key. It may take in others, but never leaves one out."""
 
     def __init__(self, bits: np.ndarray):
         self.bits, self.mask = bits, np.uint64(len(bits) * 8 - 1)
 
     @staticmethod
     def places(keys: np.ndarray, mask: np.uint64) -> list[np.ndarray]:
-        return [(keys >> np.uint64(shift)) & mask for shift in (0, 17, 34)]
+        spread = mix(keys + np.uint64(1))
+        return [(spread >> np.uint64(shift)) & mask for shift in (0, 17, 34)]
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
         found = np.ones(len(keys), bool)
@@ -86,115 +93,182 @@ class Filter:
         return found
 
 
-def _by_lang(batch):
-    """Languages of a batch with their texts."""
-    texts: dict[str, list[bytes]] = {}
-    for lang, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-        texts.setdefault(lang, []).append(text or b"")
-    return texts.items()
+def _words(batches):
+    """Words of the batches' texts by language, of about ``GROUP`` bytes at a time."""
+    for batch in batches:
+        texts: dict[str, list[bytes]] = {}
+        for lang, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+            held = texts.setdefault(lang, [])
+            held.append(text)
+            if sum(map(len, held)) >= GROUP:
+                yield Words(lang, texts.pop(lang))
+        for lang, held in texts.items():
+            yield Words(lang, held)
+
 
+def _summed(found):
+    """Batches of keys with their numbers, summed over about ``HELD`` entries at a time."""
+    held, size = [], 0
 
-def _proposals(batches):
-    """Keys of all phrases of the sample with their numbers, summed per batch."""
-    for batch in batches:
-        keys = [words.keys[k][words.valid[k]] for words in (Words(*x) for x in _by_lang(batch)) for k in range(LONGEST)]
-        keys, n = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
+    def flush():
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], ["key", "n"])
+
+    for keys in found:
+        held.append(keys)
+        size += len(keys)
+        if size >= HELD:
+            yield flush()
+            size = 0
+    if held:
+        yield flush()
+
+
+def _first_proposals(batches):
+    """Keys of all words and pairs of words."""
+    yield from _summed(words.keys[k][words.valid[k]] for words in _words(batches) for k in range(2))
+
+
+def _longer_proposals(sent):
+    """Keys of the longer phrases in which every pair of words is proposed."""
+
+    def keys(batches):
+        now = Filter(sent.value)
+        for words in _words(batches):
+            pairs = words.valid[1] & now.holds(words.keys[1])
+            at = np.flatnonzero(pairs)
+            for k in range(3, LONGEST + 1):
+                at = at[at < len(words.keys[k - 1])]
+                at = at[pairs[at + k - 2] & words.valid[k - 1][at]]
+                yield words.keys[k - 1][at]
+
+    return lambda batches: _summed(keys(batches))
 
 
-def _counts(sent):
-    """Numbers of the proposed phrases and of their negative border, per batch.
+def _candidates(sent):
+    """Keys of the proposed phrases and of their negative border.
 
-    A phrase is counted if its first and its last words without one are proposed: then it is proposed
+    A phrase is one of these if its first and its last words without one are proposed: then it is proposed
     itself or on the border. What an earlier pass has counted is left out. The first pass counts all words.
     """
 
-    def run(batches):
+    def keys(batches):
         earlier, now = (Filter(bits) if bits is not None else None for bits in sent.value)
-        for batch in batches:
-            rows = []
-            for lang, texts in _by_lang(batch):
-                words = Words(lang, texts)
-                if earlier is None:
-                    rows.append((lang, None, 0, 0, len(words.starts)))
-                    rows += [(lang, words.phrase(at, 1), 1, key, n) for key, at, n in words.times(np.arange(len(words.starts)), 1)]
-                for k in range(2, LONGEST + 1):
-                    at = np.flatnonzero(words.valid[k - 1])
-                    for which, wanted in ((now, True), (earlier, False)):
-                        if which is not None and len(at):
-                            held = which.holds(words.keys[k - 2][at])
-                            some = at[held] if wanted else at
-                            held[held] = which.holds(words.keys[k - 2][at[held] + 1])
-                            at = at[held] if wanted else some[~held]
-                    rows += [(lang, words.phrase(i, k), k, key, n) for key, i, n in words.times(at, k)]
-            names = ["lang", "phrase", "words", "key", "n"]
-            columns = list(zip(*rows)) or [()] * 5
-            kinds = [pa.string(), pa.binary(), pa.int32(), pa.uint64(), pa.int64()]
-            arrays = [pa.array(c, t) for c, t in zip(columns, kinds)]
-            arrays[1], arrays[3] = arrays[1].cast(pa.string()), pa.array(arrays[3].to_numpy().view(np.int64))
-            yield pa.RecordBatch.from_arrays(arrays, names)
+        for words in _words(batches):
+            if earlier is None:
+                yield words.keys[0]
+            for k in range(2, LONGEST + 1):
+                parts = words.keys[k - 2]
+                held = now.holds(parts)
+                at = np.flatnonzero(words.valid[k - 1] & held[:-1] & held[1:])
+                if earlier is not None:
+                    at = at[~(earlier.holds(parts[at]) & earlier.holds(parts[at + 1]))]
+                yield words.keys[k - 1][at]
+
+    return lambda batches: _summed(keys(batches))
+
+
+def _spelled(sent):
+    """Numbers of all phrases whose key is in the filter, by their texts, and of all words of each language."""
+
+    def run(batches):
+        wanted, held, size = Filter(sent.value), [], 0
+
+        def flush():
+            rows = pa.Table.from_batches(held).group_by(["lang", "phrase", "words"]).aggregate([("n", "sum")])
+            held.clear()
+            return rows.select(["lang", "phrase", "words", "n_sum"]).rename_columns(["lang", "phrase", "words", "n"]).combine_chunks().to_batches()
+
+        for words in _words(batches):
+            rows = [(None, 0, len(words.starts))]
+            for k in range(1, LONGEST + 1):
+                at = np.flatnonzero(words.valid[k - 1])
+                at = at[wanted.holds(words.keys[k - 1][at])]
+                rows += [(words.phrase(x, k), k, n) for x, n in words.times(at, k)]
+            phrase, k, n = zip(*rows)
+            columns = [pa.array([words.lang] * len(rows), pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(k, pa.int32()), pa.array(n, pa.int64())]
+            held.append(pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "n"]))
+            size += len(rows)
+            if size >= HELD // 2:
+                yield from flush()
+                size = 0
+        if held:
+            yield from flush()
 
     return run
 
 
 def _set_bits(keys: DataFrame, bits: np.ndarray) -> np.ndarray:
-    """The filter's bits with those of further keys; each key's bits are merged before they come to the driver, as bytes of the filter."""
+    """The filter's bits with those of further keys. They are merged to words of 64 bits before they come to the driver, never more than the filter has."""
     mask = len(bits) * 8 - 1
 
     def run(batches):
         for batch in batches:
-            found = batch.column(0).to_numpy().view(np.uint64)
-            place = np.unique(np.concatenate(Filter.places(found, np.uint64(mask)))) if len(found) else np.zeros(0, np.uint64)
+            place = np.unique(np.concatenate(Filter.places(batch.column(0).to_numpy().view(np.uint64), np.uint64(mask))))
             yield pa.RecordBatch.from_arrays(
                 [pa.array((place >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (place & np.uint64(63))).view(np.int64))], ["at", "bit"]
             )
 
-    set_ = keys.mapInArrow(run, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+    found = keys.mapInArrow(run, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
     words = bits.copy().view("<u8")
-    words[set_.column("at").to_numpy()] |= set_.column("bit").to_numpy().view(np.uint64)
+    words[found.column("at").to_numpy()] |= found.column("bit").to_numpy().view(np.uint64)
     return words.view(np.uint8)
 
 
+def _room(size: int) -> np.ndarray:
+    """An empty filter for ``size`` keys, of bounded size."""
+    power = min(LARGEST_BITS, max(SMALLEST_BITS, math.ceil(math.log2(size * BITS_EACH + 1))))
+    return np.zeros(1 << (power - 3), np.uint8)
+
+
 def count_phrases(docs: DataFrame, least: int = LEAST, sample: float = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
     """(phrases: lang, phrase, words, n of all phrases of 1 to 5 words with n >= ``least``; totals: lang, n of words).
 
     1. A sample of the rows proposes the phrases that are frequent in it by a lowered threshold.
-    2. One pass over all rows counts the proposed phrases and their negative border exactly, and all words.
+    2. A pass over all rows counts the proposed phrases and their negative border, and all words, by key.
     3. A border phrase that is frequent is a failure: it may be part of longer ones. It joins the proposals,
        and a further pass counts what is now proposed or on the border and was not before, until no border
        phrase fails. Then by induction over the length every frequent phrase has been counted.
+    4. A last pass counts the phrases with frequent keys by their texts, so that equal keys of different phrases
+       make no difference.
 
-    The proposals travel as a filter of bounded size. Phrases that it wrongly holds are counted as well,
-    which costs time and changes no result. Only counts per batch are shuffled, and they are summed before.
+    Proposals and frequent keys travel as filters of bounded size. Phrases that these wrongly hold are counted
+    as well, which costs time and changes no result. Only sums over about a million entries are shuffled.
     """
     docs = small_batches(docs)
-    # Words, not ids, decide whether a null or repeated id is in the sample.
+    send = docs.sparkSession.sparkContext.broadcast
     pick = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 20)) < int(sample * (1 << 20))
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"), pick.alias("pick"))
     texts = texts.filter("text is not null")
-    expected = sample * least
-    lowered = max(1, math.floor(expected - DEVIATIONS * math.sqrt(expected)))
-    proposed = texts.filter("pick").select("lang", "text").mapInArrow(_proposals, "key long, n long")
-    proposed = stage(proposed.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= lowered).select("key"), "proposed")
-
-    size = proposed.count()
-    power = min(LARGEST_BITS, max(SMALLEST_BITS, math.ceil(math.log2(size * BITS_EACH + 1))))
-    earlier, now = None, _set_bits(proposed, np.zeros(1 << (power - 3), np.uint8))
-    frequent, totals = None, None
+    few, texts = texts.filter("pick").select("lang", "text"), texts.select("lang", "text")
+    lowered = max(1, math.floor(sample * least - DEVIATIONS * math.sqrt(sample * least)))
+
+    def frequent(rows: DataFrame, function, threshold: int, name: str) -> DataFrame:
+        summed = rows.mapInArrow(function, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        return stage(summed.filter(F.col("n") >= threshold).select("key"), name)
+
+    short = frequent(few, _first_proposals, lowered, "proposed")
+    bits = _set_bits(short, _room(2 * short.count()))
+    sent = send(bits)
+    earlier, now = None, _set_bits(frequent(few, _longer_proposals(sent), lowered, "proposed"), bits)
+    sent.destroy()
+    found = None
     while True:
-        sent = docs.sparkSession.sparkContext.broadcast((earlier, now))
-        counted = texts.select("lang", "text").mapInArrow(_counts(sent), COUNTED)
-        counted = counted.groupBy("lang", "words", "key", "phrase").agg(F.sum("n").alias("n"))
-        found = stage(counted.filter((F.col("n") >= least) | (F.col("words") == 0)), "counted")
-        sent.unpersist()
-        if totals is None:
-            totals = found.filter("words = 0").select("lang", "n")
-        found = found.filter("words > 0")
-        frequent = found if frequent is None else frequent.union(found)
-        grown = _set_bits(found.filter(F.col("words") < LONGEST).select("key"), now)
+        sent = send((earlier, now))
+        more = frequent(texts, _candidates(sent), least, "frequent")
+        sent.destroy()
+        found = more if found is None else found.union(more)
+        grown = _set_bits(more.filter(F.col("key") < int(NO_PART)), now)
         if np.array_equal(grown, now):
-            return frequent.select("lang", "phrase", "words", "n"), totals
+            break
         earlier, now = now, grown
+    sent = send(_set_bits(found, _room(found.count())))
+    counted = texts.mapInArrow(_spelled(sent), "lang string, phrase string, words int, n long")
+    counted = counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+    counted = stage(counted.filter((F.col("n") >= least) | (F.col("words") == 0)), "counted")
+    sent.destroy()
+    return counted.filter("words > 0"), counted.filter("words = 0").select("lang", "n")
 
 
 def scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:
@@ -240,7 +314,6 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, sample: fl
     Other columns are ignored. Ties in score and a go by the phrase's bytes.
     """
     phrases, totals = count_phrases(docs, least, sample, id_col, text_col, lang_col)
-    phrases = stage(phrases, "phrases")
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
     ranked = maximal(scored(phrases, totals)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

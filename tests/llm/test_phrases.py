@@ -69,11 +69,12 @@ def test_empty_table(spark):
 def test_border_failures_bring_further_passes(spark, monkeypatch):
     """Without proposals each pass reaches one word further, and still every frequent phrase is found."""
     passes = []
-    counts = phrases._counts
-    monkeypatch.setattr(phrases, "_counts", lambda sent: passes.append(1) or counts(sent))
+    candidates = phrases._candidates
+    monkeypatch.setattr(phrases, "_candidates", lambda sent: passes.append(1) or candidates(sent))
     docs = spark.createDataFrame([(i, "alpha beta gamma delta epsilon zeta", "en") for i in range(30)], "doc_id long, text string, lang string")
     found, totals = phrases.count_phrases(docs, 25, 0.0)
-    assert len(passes) == 5 and {(r.words, r.n) for r in found.collect()} == {(k, 30) for k in range(1, 6)} and totals.first().n == 180
+    assert len(passes) == 5
+    assert {(r.words, r.n) for r in found.collect()} == {(k, 30) for k in range(1, 6)} and totals.first().n == 180
     assert found.count() == 6 + 5 + 4 + 3 + 2
     passes.clear()
     assert phrases.count_phrases(docs, 25, 1.0)[0].count() == 20 and len(passes) == 1
@@ -83,7 +84,7 @@ def test_phrases_with_one_key_are_told_apart():
     words = phrases.Words("en", [b"a b. c d. a b"])
     words.keys[1][:] = 7
     at = np.flatnonzero(words.valid[1])
-    assert sorted((words.phrase(i, 2), n) for _, i, n in words.times(at, 2)) == [(b"a b", 2), (b"c d", 1)]
+    assert sorted((words.phrase(i, 2), n) for i, n in words.times(at, 2)) == [(b"a b", 2), (b"c d", 1)]
 
 
 def test_filter_leaves_nothing_out(spark):
