@@ -190,7 +190,7 @@ def _spelled(sent):
             columns = [pa.array([words.lang] * len(rows), pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(k, pa.int32()), pa.array(n, pa.int64())]
             held.append(pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "n"]))
             size += len(rows)
-            if size >= HELD // 2:
+            if size >= HELD:
                 yield from flush()
                 size = 0
         if held:
