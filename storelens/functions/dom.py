@@ -106,14 +106,21 @@ def first_match(elements: Column, selector: str) -> Column:
     return apply(f"es -> {_first(selector, 'es')}", elements)
 
 
+def inner_html(span: Column, pieces: Column | str = "pieces") -> Column:
+    """Markup of an element, or of a part around it, from the pieces of its page."""
+    held = F.col(pieces) if isinstance(pieces, str) else pieces
+    return F.when(span.isNotNull(), F.array_join(F.slice(held, span["start"] + 1, span["stop"] - span["start"]), ""))
+
+
 def element_text(element: Column) -> Column:
-    return blank_to_null(strip_tags(element["inner"]))
+    return blank_to_null(strip_tags(inner_html(element)))
 
 
 def first_texts(elements: Column, selectors) -> Column:
     """Text of each selector's first element, in selector order."""
-    found = ", ".join(f"{_first(s, 'es')}.inner" for s in selectors)
-    return apply(f"es -> transform(array({found}), {STRIP_TAGS})", elements)
+    spans = ", ".join(_first(s, "es") for s in selectors)
+    html = F.transform(apply(f"es -> array({spans})", elements), lambda e: inner_html(e))
+    return F.call_function("transform", html, F.expr(STRIP_TAGS))
 
 
 def inside(page: Column, element: Column) -> Column:
@@ -121,6 +128,18 @@ def inside(page: Column, element: Column) -> Column:
     return F.slice(page, element["seq"] + 1, element["last"] - element["seq"])
 
 
+CLIMBED = 32
+
+
+def owners_sql(page: str, e: str) -> str:
+    """SQL for the elements around ``e``, outermost first: up from parent to parent, or from many levels on those whose interval holds it."""
+    up = f"aggregate(slice(sequence(1, {CLIMBED}), 2, {e}.depth - 1), array({e}.parent), (s, i) -> concat(array(get({page}, get(s, 0) - 1).parent), s))"
+    return (
+        f"case when {e}.depth = 0 then slice({page}, 1, 0) when {e}.depth <= {CLIMBED} then transform({up}, i -> get({page}, i - 1)) "
+        f"else filter(slice({page}, 1, {e}.seq - 1), x -> x.last >= {e}.seq) end"
+    )
+
+
 def owners(page: Column, element: Column) -> Column:
     """Elements around ``element``, outermost first."""
-    return F.transform(element["above"], lambda i: F.get(page, i - 1))
+    return apply(f"p -> {owners_sql('p.page', 'p.element')}", F.struct(page.alias("page"), element.alias("element")))

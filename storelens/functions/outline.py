@@ -31,23 +31,15 @@ TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^'">]++|"[^"]*+"|'[^']*+')
 CLASS = re.compile(r"(?:^|[\s\"'/])class\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 
 SCHEMA = (
-    "array<struct<seq:int,last:int,tag:string,cls:string,opener:string,above:array<int>,inner:string,"
-    "around:array<struct<tag:string,html:string>>>>"
+    "struct<pieces:array<string>,elements:array<struct<seq:int,last:int,parent:int,depth:int,tag:string,cls:string,opener:string,"
+    "start:int,stop:int,around:array<struct<tag:string,start:int,stop:int>>>>>"
 )
-ARROW = pa.list_(
-    pa.struct(
-        [
-            ("seq", pa.int32()),
-            ("last", pa.int32()),
-            ("tag", pa.string()),
-            ("cls", pa.string()),
-            ("opener", pa.string()),
-            ("above", pa.list_(pa.int32())),
-            ("inner", pa.string()),
-            ("around", pa.list_(pa.struct([("tag", pa.string()), ("html", pa.string())]))),
-        ]
-    )
+SPAN = [("start", pa.int32()), ("stop", pa.int32())]
+ELEMENT = pa.struct(
+    [("seq", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("cls", pa.string()),
+     ("opener", pa.string()), *SPAN, ("around", pa.list_(pa.struct([("tag", pa.string()), *SPAN])))]
 )
+ARROW = pa.struct([("pieces", pa.list_(pa.string())), ("elements", pa.list_(ELEMENT))])
 
 
 class Node:
@@ -72,13 +64,14 @@ def pair_tags(page: str) -> list[Node]:
                 node.stop = end
                 return
 
-    for match in TAG.finditer(page):
+    # Nothing after the last ">" is a tag; to look for one from every "<" there would take the square of its length.
+    for match in TAG.finditer(page, 0, page.rfind(">") + 1):
         tag = match.group(2).lower()
         if match.group(1):
             if still_open[tag]:
                 close_to(tag, match.start(), match.end())
             continue
-        for i in reversed(stack) if tag in OPTIONAL_END else ():
+        for i in reversed(stack) if any(still_open[t] for t in OPTIONAL_END.get(tag, ())) else ():
             if nodes[i].tag in BOUNDS:
                 break
             if nodes[i].tag in OPTIONAL_END[tag]:
@@ -94,61 +87,76 @@ def pair_tags(page: str) -> list[Node]:
 
 
 def parts_between(page, nodes, members, start, stop):
-    """Elements and loose texts of a sibling run, in order."""
+    """Tag and extent of the elements and loose texts of a sibling run, in order."""
     for i in members:
         if page[start : nodes[i].start].strip():
-            yield "", page[start : nodes[i].start]
-        yield nodes[i].tag, page[nodes[i].inner : nodes[i].inner_stop]
+            yield "", start, nodes[i].start
+        yield nodes[i].tag, nodes[i].inner, nodes[i].inner_stop
         start = nodes[i].stop
     if page[start:stop].strip():
-        yield "", page[start:stop]
+        yield "", start, stop
 
 
 def outline_page(page, wanted, within, heading_words, with_parts):
+    """The page's wanted elements as intervals over pieces of its text, which are cut where an interval begins or ends."""
     nodes = pair_tags(page)
     children, place = {}, {}
     for i, node in enumerate(nodes):
         place[i] = len(children.setdefault(node.parent, []))
         children[node.parent].append(i)
-    out, lines = [], {-1: ()}
+    out, spans = [], []
+    around_of = {-1: 0}  # the wanted element around each node
     for i, node in enumerate(nodes):
-        line, opener = lines[node.parent], f"<{node.tag}{node.attrs}>"
+        owner, opener = around_of[node.parent], f"<{node.tag}{node.attrs}>"
         heading = node.tag in HEADINGS
-        take = wanted.search(opener) or (line and (node.tag in within or CLASS.search(node.attrs)))
+        take = wanted.search(opener) or (owner and (node.tag in within or CLASS.search(node.attrs)))
         if heading and not take:
-            take = line or heading_words.search(page[node.inner : node.inner_stop])
+            take = owner or heading_words.search(page, node.inner, node.inner_stop)
         if not take:
-            lines[i] = line
+            around_of[i] = owner
             continue
         around = None
         if heading:
-            later = children[node.parent][place[i] + 1 :]
-            run = next((k for k, j in enumerate(later) if nodes[j].tag in HEADINGS), len(later))
+            siblings, first = children[node.parent], place[i] + 1
+            after = first
+            while after < len(siblings) and nodes[siblings[after]].tag not in HEADINGS:
+                after += 1
             end = nodes[node.parent].inner_stop if node.parent >= 0 else len(page)
-            end = nodes[later[run]].start if run < len(later) else end
-            around = list(parts_between(page, nodes, later[:run], node.stop, end))
+            end = nodes[siblings[after]].start if after < len(siblings) else end
+            around = list(parts_between(page, nodes, siblings[first:after], node.stop, end))
         elif with_parts and with_parts.search(opener):
             around = list(parts_between(page, nodes, children.get(i, []), node.inner, node.inner_stop))
-        seq = len(out) + 1
-        lines[i] = (*line, seq)
+        seq = around_of[i] = len(out) + 1
         found = CLASS.search(node.attrs)
         cls = " ".join(found.group(1).strip("\"'").split()) if found else ""
-        inner = page[node.inner : node.inner_stop]
-        out.append([seq, seq, node.tag, f" {cls} " if cls else "", opener, list(line), inner, around])
-        for owner in line:
-            out[owner - 1][1] = seq
-    return [tuple(row) for row in out]
+        depth = out[owner - 1]["depth"] + 1 if owner else 0
+        out.append(dict(seq=seq, last=seq, parent=owner, depth=depth, tag=node.tag, cls=f" {cls} " if cls else "", opener=opener))
+        spans.append((node.inner, node.inner_stop, around))
+    for row in reversed(out):  # elements inside come later, so their last is known
+        if row["parent"]:
+            owner = out[row["parent"] - 1]
+            owner["last"] = max(owner["last"], row["last"])
+    cuts = {at for start, stop, around in spans for at in (start, stop, *(x for part in around or () for x in part[1:]))}
+    cuts = sorted(cuts)
+    at = {cut: k for k, cut in enumerate(cuts)}
+    for row, (start, stop, around) in zip(out, spans):
+        row["start"], row["stop"] = at[start], at[stop]
+        row["around"] = None if around is None else [dict(tag=t, start=at[a], stop=at[b]) for t, a, b in around]
+    return {"pieces": [page[a:b] for a, b in zip(cuts, cuts[1:])], "elements": out}
 
 
 def outline(
     markup: Column, wanted: str, *, within=(), heading_words: str = "(?!)", with_parts: str | None = None
 ) -> Column:
-    """Array of the elements whose opening tag matches ``wanted``, of ``within`` tags and elements
-    with a class inside those, and of headings that are inside those or match ``heading_words``.
-
-    ``seq`` numbers the elements from 1, ``last`` is the last element inside, ``above`` lists the
-    elements around, ``around`` holds what follows a heading up to the next one (or the children
-    of an element matching ``with_parts``).
+    """The elements whose opening tag matches ``wanted``, ``within`` tags and elements
+    with a class inside those, and headings that are inside those or match ``heading_words``.
+
+    ``elements`` are intervals in page order: ``seq`` numbers them from 1, ``last`` is the last element inside,
+    so an element is around another if it comes earlier and its last does not; ``parent`` is the one directly
+    around (0: none), ``depth`` how many there are. Markup is in ``pieces``, once, in page order: what
+    stands in an element is the pieces from ``start`` to before ``stop``. ``around`` are such spans of what follows a heading up
+    to the next one (or of the children of an element matching ``with_parts``). So the outline is not larger than
+    a small multiple of the page, however its elements are nested.
     """
     wanted_re, words_re = re.compile(wanted, re.I), re.compile(heading_words, re.I)
     parts_re = re.compile(with_parts, re.I) if with_parts else None

@@ -14,7 +14,7 @@ from storelens.operators.relations import PAGE
 
 def _first_img(selector: str) -> Column:
     """First image, in page order, matching a selector such as ``.logo img``."""
-    around = "transform(e.above, i -> get(dom, i - 1))"
+    around = dom.owners_sql("dom", "e")
     return F.expr(f"get(filter(dom, e -> {dom.path_test(selector, 'e', around)}), 0).opener")
 
 
@@ -23,7 +23,7 @@ def with_outline(pages: DataFrame) -> DataFrame:
     base = relations.with_site(pages)
     if "dom" in base.columns:
         return base
-    return base.withColumn("dom", relations.page_outline(F.col("html")))
+    return relations.with_dom(base, *base.columns)
 
 
 def logo_alt() -> Column:
@@ -77,7 +77,7 @@ def currency_codes() -> Column:
             lambda p: F.filter(dom.inside(F.col("dom"), p), lambda e: e["tag"].isin("option", "a", "span")),
         )
     )
-    codes = F.transform(options, lambda o: F.regexp_extract(text.strip_tags(o["inner"]), r"\b([A-Z]{3})\b", 1))
+    codes = F.transform(options, lambda o: F.regexp_extract(text.strip_tags(dom.inner_html(o)), r"\b([A-Z]{3})\b", 1))
     return F.coalesce(F.filter(codes, lambda c: c != ""), F.array().cast("array<string>"))
 
 

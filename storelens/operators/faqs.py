@@ -17,8 +17,8 @@ COLUMNS = (*PAGE, "seq", "question", "answer", "category")
 ANSWER_TAGS = ("p", "div", "ul", "ol", "li")
 
 
-def _clean(html: Column) -> Column:
-    return text.clean_faq_text(text.strip_tags(html))
+def _clean(span: Column) -> Column:
+    return text.clean_faq_text(text.strip_tags(dom.inner_html(span)))
 
 
 def _pair(question: Column, answer: Column, seq: Column) -> Column:
@@ -32,11 +32,11 @@ def _heading_pairs(parts: Column) -> Column:
         heads,
         lambda e: F.struct(
             e["seq"].alias("seq"),
-            _clean(e["inner"]).alias("question"),
+            _clean(e).alias("question"),
             F.array_join(
                 F.transform(
                     F.filter(F.coalesce(e["around"], F.array()), lambda a: a["tag"].isin(*ANSWER_TAGS)),
-                    lambda a: _clean(a["html"]),
+                    lambda a: _clean(a),
                 ),
                 " ",
             ).alias("answer"),
@@ -64,7 +64,7 @@ def _accordion_pairs(page: Column, parts: Column) -> Column:
         held = dom.inside(page, item)
         ask = F.filter(held, lambda e: e["tag"].isin(*HEADINGS, "button", "summary"))
         answer = F.filter(held, lambda e: e["tag"].isin("div", "p") & dom.class_has(e, rules.FAQ_ANSWER_WORDS))
-        return _pair(_clean(F.get(ask, F.lit(0))["inner"]), _clean(F.get(answer, F.lit(0))["inner"]), item["seq"])
+        return _pair(_clean(F.get(ask, F.lit(0))), _clean(F.get(answer, F.lit(0))), item["seq"])
 
     return _long_enough(F.transform(items, pair))
 
@@ -77,7 +77,7 @@ def definition_pairs(page: Column, parts: Column) -> Column:
         held = dom.inside(page, lst)
         terms, texts = F.filter(held, lambda e: e["tag"] == "dt"), F.filter(held, lambda e: e["tag"] == "dd")
         return F.transform(
-            terms, lambda t, i: _pair(_clean(t["inner"]), _clean(F.get(texts, i)["inner"]), t["seq"])
+            terms, lambda t, i: _pair(_clean(t), _clean(F.get(texts, i)), t["seq"])
         )
 
     return F.flatten(F.transform(F.filter(parts, lambda e: e["tag"] == "dl"), pairs_of))
@@ -169,7 +169,7 @@ def faq_legacy(pages: DataFrame) -> DataFrame:
         held = dom.inside(page, item)
         # Without marked parts, the first text line is the question and the rest the answer.
         lines = F.filter(
-            F.transform(F.split(F.regexp_replace(item["inner"], text.TAG, ""), "\n"), text.squeeze), lambda t: t != ""
+            F.transform(F.split(F.regexp_replace(dom.inner_html(item), text.TAG, ""), "\n"), text.squeeze), lambda t: t != ""
         )
         return F.struct(
             field(held, rules.FAQ_LEGACY_QUESTION).alias("ask"),

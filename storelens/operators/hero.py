@@ -62,7 +62,7 @@ def _links_in(blocks: DataFrame) -> DataFrame:
         anchors,
         lambda e: F.struct(e.alias("card"), dom.inside(page, e).alias("parts"), dom.owners(page, e).alias("owners")),
     )
-    return blocks.select(*PAGE, F.inline(rows)).withColumn("seq", F.col("card.seq"))
+    return blocks.select(*PAGE, "pieces", F.inline(rows)).withColumn("seq", F.col("card.seq"))
 
 
 def _placed(rows: DataFrame, kinds, item: Column) -> DataFrame:
@@ -109,7 +109,7 @@ def union_hero(pages: DataFrame) -> DataFrame:
             dom.attr(F.col("card.opener"), "href").alias("href"),
             dom.element_text(F.col("card")).alias("text"),
             dom.attr(F.col("card.opener"), "title").alias("title"),
-            F.col("card.inner").alias("inner"),
+            dom.inner_html(F.col("card")).alias("inner"),
             F.lit(None).cast("string").alias("link_url"),
         ).withColumn("link_url", _absolute("href")),
         branch="spot_branch",

@@ -78,10 +78,10 @@ def policy_embedded(pages: DataFrame, heading_rules=rules.POLICY_HEADING_RULES)
     heads = F.transform(
         F.filter("dom", lambda e: e["tag"].isin(*HEADINGS)),
         lambda e: F.struct(
-            text.strip_tags(e["inner"]).alias("heading"),
+            text.strip_tags(dom.inner_html(e)).alias("heading"),
             F.slice(
                 F.filter(
-                    F.transform(F.coalesce(e["around"], F.array()), lambda a: text.strip_tags(a["html"])),
+                    F.transform(F.coalesce(e["around"], F.array()), lambda a: text.strip_tags(dom.inner_html(a))),
                     lambda t: F.length(t) > 10,
                 ),
                 1,
@@ -89,7 +89,7 @@ def policy_embedded(pages: DataFrame, heading_rules=rules.POLICY_HEADING_RULES)
             ).alias("parts"),
         ),
     )
-    filled = blocks.withColumn("heads", F.filter(heads, lambda h: F.size(h["parts"]) > 0)).drop("dom")
+    filled = blocks.withColumn("heads", F.filter(heads, lambda h: F.size(h["parts"]) > 0)).drop("dom", "pieces")
 
     def of_group(rank, group, title, words):
         def under(word):
@@ -174,12 +174,13 @@ def policy_page_detail(pages: DataFrame) -> DataFrame:
     text without navigation, header and footer is used.  Pages without title or text are dropped.
     """
     base = relations.with_site(pages)
-    page = relations.page_outline(F.col("html"))
 
     def block(selector):
         # heading elements list what follows them, so only blocks with children count here
         found = F.filter("dom", lambda e: dom.matches(e, selector) & e["around"].isNotNull() & ~e["tag"].isin(*HEADINGS))
-        lines = F.flatten(F.transform(F.get(found, F.lit(0))["around"], _block_lines))
+        spans = F.get(found, F.lit(0))["around"]
+        parts = F.transform(spans, lambda a: F.struct(a["tag"].alias("tag"), dom.inner_html(a).alias("html")))
+        lines = F.flatten(F.transform(parts, _block_lines))
         return F.array_join(lines, "\n")
 
     def title(selector):
@@ -192,7 +193,7 @@ def policy_page_detail(pages: DataFrame) -> DataFrame:
     titles = text.first_of(F.array(*map(title, rules.POLICY_TITLE_SELECTORS)), lambda t: F.length(t) > 3)
     blocks = F.array(*[block(s) for s in rules.POLICY_CONTENT_SELECTORS])
     long_blocks = F.array_join(F.filter(blocks, lambda b: F.length(b) > 100), "\n\n")
-    read = base.select(*PAGE, "html", page.alias("dom"))
+    read = relations.with_dom(base, *PAGE, "html")
     filled = read.select(
         *PAGE,
         text.clean_text(titles).alias("title"),

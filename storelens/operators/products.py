@@ -180,7 +180,7 @@ def product_blocks(blocks: DataFrame) -> DataFrame:
         like,
         lambda e: F.struct(e.alias("card"), dom.inside(page, e).alias("parts"), dom.owners(page, e).alias("owners")),
     )
-    return blocks.select(*PAGE, F.inline(cards)).withColumn("seq", F.col("card.seq"))
+    return blocks.select(*PAGE, "pieces", F.inline(cards)).withColumn("seq", F.col("card.seq"))
 
 
 def _field(selectors, accept) -> Column:
@@ -207,7 +207,7 @@ def card_fields(blocks: DataFrame, style: str = "default") -> DataFrame:
     names, prices, originals, desc_limit = _CARD_STYLES[style]
     base, image, link = relations.base_url(F.col("url")), F.col("image"), F.col("link")
     blocks = blocks.select(
-        *PAGE, "branch", "seq", "card", "parts",
+        *PAGE, "branch", "seq", "card", "parts", "pieces",
         dom.first_match(F.col("parts"), "img")["opener"].alias("image"),
         dom.attr(dom.first_match(F.col("parts"), "a")["opener"], "href").alias("link"),
     )
@@ -219,7 +219,7 @@ def card_fields(blocks: DataFrame, style: str = "default") -> DataFrame:
             "original_price_text": text.extract_price(_field(originals, lambda t: t != "")),
             "image_url": urls.resolve_url(dom.first_attr(image, "src", "data-src"), base),
             "product_url": urls.resolve_url(link, base),
-            "in_stock": ~text.strip_tags(F.col("card.inner")).rlike(rules.LEGACY_UNAVAILABLE_PATTERN),
+            "in_stock": ~text.strip_tags(dom.inner_html(F.col("card"))).rlike(rules.LEGACY_UNAVAILABLE_PATTERN),
         }
         return as_products(blocks, **fields).filter(F.col("name") != "")
 
@@ -251,11 +251,9 @@ def card_fields(blocks: DataFrame, style: str = "default") -> DataFrame:
 
 def _card_tags() -> Column:
     """Cleaned tag texts inside the card, by selector; the tag's own owners are looked up in the card."""
-    around = "transform(filter(e.above, i -> i > card.seq), i -> get(parts, i - card.seq - 1))"
-    found = ", ".join(
-        f"transform(filter(parts, e -> {dom.path_test(s, 'e', around)}), e -> e.inner)" for s in rules.CARD_TAG_SELECTORS
-    )
-    shown = F.transform(F.expr(f"concat({found})"), lambda inner: text.clean_text(text.strip_tags(inner)))
+    around = "filter(parts, x -> x.seq < e.seq and x.last >= e.seq)"
+    found = ", ".join(f"filter(parts, e -> {dom.path_test(s, 'e', around)})" for s in rules.CARD_TAG_SELECTORS)
+    shown = F.transform(F.expr(f"concat({found})"), lambda e: text.clean_text(text.strip_tags(dom.inner_html(e))))
     return text.let(F.filter(shown, lambda t: t != ""), lambda tags: F.when(F.size(tags) > 0, tags))
 
 

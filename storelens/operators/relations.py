@@ -91,17 +91,13 @@ def links(pages: DataFrame) -> DataFrame:
 
 @operator("structured_items")
 def structured_items(pages: DataFrame) -> DataFrame:
-    """JSON-LD blocks as VARIANT; a top-level array gives one row per entry, bad JSON none."""
+    """JSON-LD blocks as VARIANT; a top-level array gives one row per entry, bad JSON none. ``seq`` counts a page's entries."""
     staged = "ld_blocks" in pages.columns
     blocks = F.col("ld_blocks") if staged else F.regexp_extract_all("html", F.lit(LD_PATTERN), F.lit(1))
-    found = (pages if staged else with_site(pages)).select(*PAGE, F.posexplode(blocks).alias("block", "json"))
-    parsed = found.select(*PAGE, "block", F.try_parse_json("json").alias("doc"))
-    entries = F.expr("coalesce(try_variant_get(doc, '$', 'array<variant>'), array(doc))")
-    return (
-        parsed.filter(F.col("doc").isNotNull())
-        .select(*PAGE, "block", F.posexplode(entries).alias("entry", "item"))
-        .select(*PAGE, (F.col("block").cast("long") * (1 << 32) + F.col("entry")).alias("seq"), "item")
-    )
+    docs = F.filter(F.transform(blocks, F.try_parse_json), lambda d: d.isNotNull())
+    entries = F.flatten(F.call_function("transform", docs, F.expr("d -> coalesce(try_variant_get(d, '$', 'array<variant>'), array(d))")))
+    found = (pages if staged else with_site(pages)).select(*PAGE, F.posexplode(entries).alias("seq", "item"))
+    return found.select(*PAGE, F.col("seq").cast("long").alias("seq"), "item")
 
 
 @operator("images")
@@ -253,18 +249,24 @@ def page_outline(html: Column) -> Column:
     return outline(text_to_read, WANTED, within=WITHIN_TAGS, heading_words=POLICY_WORDS, with_parts=PARTS)
 
 
+def with_dom(pages: DataFrame, *columns) -> DataFrame:
+    """The columns with the page's outline: its elements as ``dom`` and the pieces of its markup that they span."""
+    read = pages.select(*columns, page_outline(F.col("html")).alias("outline"))
+    return read.select(*read.columns[:-1], F.col("outline.elements").alias("dom"), F.col("outline.pieces").alias("pieces"))
+
+
 @operator("sections")
 def page_blocks(pages: DataFrame) -> DataFrame:
-    """One row per page that holds blocks, with its element outline in ``dom``."""
+    """One row per page that holds blocks, with its elements in ``dom`` and its markup in ``pieces``."""
     if "dom" not in pages.columns:
-        pages = with_site(pages).select(*PAGE, page_outline(F.col("html")).alias("dom"))
-    return pages.filter(F.size("dom") > 0).select(*PAGE, "dom")
+        pages = with_dom(with_site(pages), *PAGE)
+    return pages.filter(F.size("dom") > 0).select(*PAGE, "dom", "pieces")
 
 
 @operator("elements")
 def elements(pages: DataFrame, selector: str | None = None) -> DataFrame:
     """Flat form of the outline: one row per element, optionally only those matching a selector."""
-    found = page_blocks(pages).select(*PAGE, F.explode("dom").alias("e"))
+    found = page_blocks(pages).select(*PAGE, "pieces", F.explode("dom").alias("e"))
     if selector:
         found = found.filter(dom.matches(F.col("e"), selector))
     return found.select(

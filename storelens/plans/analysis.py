@@ -39,13 +39,24 @@ def analyze_competitors(
 
 def analyze_with_reuse(
     brands: DataFrame, stored: DataFrame, candidates: DataFrame, insights: DataFrame, *, log: AnalysisLog | None = None,
-    run: str = "", now: Column | None = None, **options,
+    run: str | None = None, now: Column | None = None, **options,
 ) -> DataFrame:
-    """Stored analyses where a brand has one, fresh ones otherwise; with a ``log``, fresh ones are appended to it as ``run``."""
+    """Stored analyses where a brand has one, fresh ones otherwise.
+
+    With a ``log``, fresh ones are appended to it as ``run`` and read from there. Without a name for it the run is
+    named by the brands that lack an analysis, so a job that is repeated finds its rows and returns them as they are.
+    """
 
     def fresh(missing: DataFrame) -> DataFrame:
-        computed = analyze_competitors(missing, candidates, insights, **options)
-        return log.append(analysis_rows(computed, now), run) if log else computed
+        def computed():
+            return analyze_competitors(missing, candidates, insights, **options)
+
+        if log is None:
+            return computed()
+        name = run or "{}-{:x}-{:x}".format(*missing.agg(
+            F.count("*"), *[F.coalesce(F.sum(F.pmod(F.xxhash64("site", F.lit(seed)), F.lit(1 << 31))), F.lit(0)) for seed in (1, 2)]
+        ).first())
+        return log.append_once(name, lambda: analysis_rows(computed(), now))
 
     latest = lookup_analysis(stored)
     fresh_columns = [c for c in latest.columns if c not in ("analysis_id", "created_at", "updated_at")]

@@ -47,13 +47,10 @@ def page_digest(pages: DataFrame, params: Params = Params()) -> DataFrame:
     html = F.col("html")
     base = relations.with_site(pages)
     stamp = F.col("fetched_at") if "fetched_at" in pages.columns else F.lit(None).cast("timestamp")
-    read = base.select(
-        *PAGE, stamp.alias("fetched_at"), "html", text.markup(html).alias("body"),
-        relations.page_outline(html).alias("dom"),
-    )
+    read = relations.with_dom(base, *PAGE, stamp.alias("fetched_at"), "html", text.markup(html).alias("body"))
     body = F.col("body")
     found = read.select(
-        *PAGE, "fetched_at", "dom",
+        *PAGE, "fetched_at", "dom", "pieces",
         relations.platform_flag(html, F.col("url")).alias("on_platform"),
         relations.link_array(body, F.col("url")).alias("links"),
         F.regexp_extract_all(html, F.lit(relations.LD_PATTERN), F.lit(1)).alias("ld_blocks"),
@@ -74,7 +71,7 @@ def page_digest(pages: DataFrame, params: Params = Params()) -> DataFrame:
     )
     named = brand.brand_description(brand.brand_name(found))
     return named.select(
-        *PAGE, "fetched_at", "dom", "links", "ld_blocks", "on_platform", "brand_name", "brand_description",
+        *PAGE, "fetched_at", "dom", "pieces", "links", "ld_blocks", "on_platform", "brand_name", "brand_description",
         urls.resolve_url(F.col("logo_src"), relations.base_url(F.col("url"))).alias("logo_url"),
         F.array_sort(F.array_distinct("codes")).alias("currencies"),
         brand.payment_names(F.lower("shown"), F.col("icons"), params.payment_rules).alias("payment_methods"),

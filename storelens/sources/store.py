@@ -150,6 +150,14 @@ class AnalysisLog:
         rows.write.mode("overwrite").parquet(folder)
         return self.spark.read.schema(rows.schema).parquet(folder)
 
+    def append_once(self, run: str, rows) -> DataFrame:
+        """The rows of a run: as they were written if it is complete, else ``rows()``, written now."""
+        folder = f"{self.path}/run={run}"
+        done = self.spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
+        if done.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(done):
+            return self.spark.read.parquet(folder)
+        return self.append(rows(), run)
+
     def read(self) -> DataFrame:
         """All rows appended so far."""
         return self.spark.read.option("basePath", self.path).parquet(self.path).drop("run")

@@ -230,3 +230,20 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark, tmp_path):
 def test_registry_lists_the_operators():
     assert {"links", "products_from_feed", "hero_products", "policy_embedded", "faq_blocks", "upsert_insights",
             "competitor_summary", "assemble_insights", "stream_insights"} <= set(OPERATORS)
+
+
+def test_a_repeated_analysis_returns_the_rows_of_its_first_run(spark, tmp_path):
+    brands = spark.createDataFrame([("me.com", "home"), ("old.com", "home")], "site string, category string")
+    candidates = spark.createDataFrame([("me.com", 0, 0, 0, 0, "https://c0.com", "s", "C0")], CANDIDATES + ", name string")
+    insights = spark.createDataFrame([record("c0.com", 5, ["x"], ["Visa"], [])], RECORD)
+    stored = store.analysis_rows(spark.createDataFrame([("old.com", 7)], "site string, competitors_found bigint"), now())
+    log = store.AnalysisLog(spark, str(tmp_path / "log"))
+    one = rows(analysis.analyze_with_reuse(brands, stored, candidates, insights, log=log), "site", "competitors_found", "reused")
+    assert one == [("me.com", 1, False), ("old.com", 7, True)]
+    kept = rows(log.read())
+    # Other inputs change nothing for the same missing brands; a further brand is another run.
+    assert rows(analysis.analyze_with_reuse(brands, stored, candidates.limit(0), insights, log=log), "site", "competitors_found", "reused") == one
+    assert rows(log.read()) == kept
+    more = brands.unionByName(spark.createDataFrame([("new.com", "home")], "site string, category string"))
+    assert analysis.analyze_with_reuse(more, stored.unionByName(log.read(), allowMissingColumns=True), candidates, insights, log=log).filter("not reused").count() == 1
+    assert {r.site for r in log.read().collect()} == {"me.com", "new.com"}
