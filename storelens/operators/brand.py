@@ -14,7 +14,7 @@ from storelens.operators.relations import PAGE
 
 def _first_img(selector: str) -> Column:
     """First image, in page order, matching a selector such as ``.logo img``."""
-    around = dom.owners_sql("dom", "e")
+    around = "filter(slice(dom, 1, e.seq - 1), x -> x.last >= e.seq)"
     return F.expr(f"get(filter(dom, e -> {dom.path_test(selector, 'e', around)}), 0).opener")
 
 

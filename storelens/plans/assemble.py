@@ -1,7 +1,7 @@
 """From pages and feeds to one insights row per site, plus the product catalog.
 
-The page text is read once: ``page_digest`` takes everything any rule needs in one scan stage and
-leaves short columns.  Only those are staged and shuffled, all by site.  The catalog stays a table
+URLs decide which pages are needed at all (``needed_pages``). Their text is read once: ``page_digest`` takes everything
+any rule needs in one scan stage and leaves short columns.  Only those are staged and shuffled, all by site.  The catalog stays a table
 of its own (site, product), because a site's product list has no size bound.
 """
 
@@ -21,7 +21,7 @@ from storelens.operators.registry import operator
 from storelens.operators.relations import PAGE
 from storelens.session import stage
 from storelens.sources import feeds as feed_source
-from storelens.sources.pages import current_pages
+from storelens.sources.pages import current_pages, needed_pages
 
 
 @dataclass(frozen=True)
@@ -183,11 +183,13 @@ def build_insights(
 ) -> tuple[DataFrame, DataFrame]:
     """(insights: one row per site, catalog: one row per site and product).
 
+    Only pages that a rule reads are parsed: main pages, known FAQ and collection paths, and product pages.
     ``staged`` writes the page digest once to the shared staging folder and lets every rule read
-    its few columns from there; otherwise the plan stays one lazy query.
+    its few columns from there; otherwise the rules' plan stays one lazy query.
     """
     keep = stage if staged else lambda df, name: df
-    digest = keep(page_digest(current_pages(pages), params), "page_digest")
+    needed = needed_pages(pages, (*rules.FAQ_PATHS, *rules.COLLECTION_PATHS), ("/products/",))
+    digest = keep(page_digest(current_pages(needed), params), "page_digest")
     main = keep(main_pages(digest), "main_pages")
     catalog = keep(build_catalog(digest, main, feeds, sitemaps, params), "catalog")
     insights = insights_from_digest(digest, main, catalog, feeds=feeds, faq_feeds=faq_feeds, params=params)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storelens.functions import urls
 from storelens.operators.ranking import first_per_key
 from storelens.operators.registry import operator
 from storelens.session import stage
@@ -24,16 +25,62 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 
 
 def current_pages(pages: DataFrame) -> DataFrame:
-    """Pages without the snapshots that a newer one of their URL replaces; as they are where no time is given.
+    """One snapshot of every URL: the newest, a missing time being the oldest; of equal times that with the greatest MD5.
 
-    Only URLs and times are grouped. URLs with several times are written and joined, by broadcast if
-    they are few, so page text is not shuffled for them. A missing time counts as the oldest.
+    First only URLs are counted. Those with several rows get their winning (time, MD5) from an aggregation that
+    leaves page text behind, and the rows that have it stay. Texts are only grouped where the very same snapshot is
+    there more than once.
     """
-    if "fetched_at" not in pages.columns:
+    stamp = F.col("fetched_at") if "fetched_at" in pages.columns else F.lit(None).cast("timestamp")
+    several = stage(pages.groupBy("url").agg(F.count("*").alias("n")).filter("n > 1").select("url"), "several")
+    if several.isEmpty():
         return pages
-    times = pages.groupBy("url").agg(F.max("fetched_at").alias("newest"), F.min("fetched_at").alias("oldest"), F.count_if(F.col("fetched_at").isNull()).alias("missing"))
-    several = stage(times.filter("newest > oldest or (newest is not null and missing > 0)").select("url", "newest"), "several")
-    return pages.join(several, "url", "left").filter("newest is null or fetched_at = newest").select(*pages.columns)
+    seen = pages.select("url", stamp.alias("time"), F.md5("html").alias("content")).join(several, "url", "left_semi")
+    seen = seen.groupBy("url", "time", "content").agg(F.count("*").alias("copies"))
+    best = seen.groupBy("url").agg(F.max(F.struct("time", "content", "copies")).alias("best"))
+    best = stage(best.select("url", "best", F.lit(True).alias("repeated")), "newest")
+    held = pages.join(best, "url", "left")
+    wins = stamp.eqNullSafe(F.col("best.time")) & F.md5("html").eqNullSafe(F.col("best.content"))
+    kept = held.filter(F.col("repeated").isNull() | wins)
+    copied = F.coalesce(F.col("best.copies") > 1, F.lit(False))
+    if best.filter(copied).isEmpty():
+        return kept.select(*pages.columns)
+    rest = [c for c in pages.columns if c != "url"]
+    one = kept.filter(copied).groupBy("url").agg(F.any_value(F.struct(*rest)).alias("row")).select("url", *[f"row.{c}" for c in rest])
+    return kept.filter(~copied).select(*pages.columns).unionByName(one)
+
+
+#: URLs of main pages that don't show it by themselves are broadcast up to so many (some 20 MB).
+BROADCAST_URLS = 200_000
+
+
+def needed_pages(pages: DataFrame, paths=(), marks=()) -> DataFrame:
+    """Pages of which any rule reads the text: per site the first by (depth, URL), home pages, those on a path of ``paths``,
+    and those whose URL holds one of ``marks``.
+
+    URLs decide alone: ``site`` and ``page_rank`` come from them, and no text is read to choose. Where a site's first page is not
+    a home page its URL is joined. Where the first page has no text, all pages of that site are kept, so that another can stand for it.
+    """
+    base = pages.filter(urls.valid_url(F.col("url"))).withColumn("site", urls.host_of(F.col("url"))).withColumn("page_rank", urls.page_rank(F.col("url")))
+    path = urls.path_of(F.col("url"))
+    by_url = (F.col("page_rank") == 0) | (path.isin(*paths) if paths else F.lit(False))
+    for mark in marks:
+        by_url = by_url | F.col("url").contains(mark)
+    first = base.groupBy("site").agg(F.min(F.struct("page_rank", "url")).alias("first"))
+    first = stage(first.select("site", "first.url", "first.page_rank"), "first_pages")
+    lonely = first.filter(~by_url).select("url", F.lit(True).alias("is_first"))
+    with_text = F.col("html") != ""
+    if lonely.count() <= BROADCAST_URLS:
+        chosen = base.join(F.broadcast(lonely), "url", "left").filter((by_url | F.col("is_first").isNotNull()) & with_text).drop("is_first")
+    else:
+        chosen = base.filter(by_url & with_text).unionByName(base.filter(~by_url & with_text).join(lonely, "url", "left_semi"))
+    blank = base.join(first.select("url"), "url", "left_semi").filter(F.coalesce(~with_text, F.lit(True))).select("site").distinct()
+    blank = stage(blank, "sites_without_first")
+    if blank.isEmpty():
+        return chosen
+    # Their pages by URL are chosen already.
+    others = base.filter(~by_url & with_text).join(blank, "site", "left_semi").join(lonely, "url", "left_anti")
+    return chosen.unionByName(others.select(*chosen.columns))
 
 
 @operator("latest_pages")

@@ -228,6 +228,36 @@ def latest_pages(spark, sf):
     return page_source.latest_pages(held).select("url", "page_id")
 
 
+@query("current_pages", """
+WITH snapshots AS (
+  SELECT url, html || '<!--' || v || '-->' AS html, page_id, v,
+         CASE WHEN v < 3 THEN TIMESTAMP '2024-01-01' + to_days(CAST(CASE WHEN page_id % 3 = 0 THEN 1 ELSE v END AS INTEGER)) END AS fetched_at
+  FROM pages, (VALUES (0), (1), (2), (3)) s(v) WHERE v < 2 + page_id % 3
+  UNION ALL SELECT url, html || '<!--1-->', page_id, 1, TIMESTAMP '2024-01-01' + to_days(CAST(1 AS INTEGER)) FROM pages)
+SELECT url, md5(html) AS content, fetched_at FROM snapshots
+QUALIFY row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC NULLS LAST, md5(html) DESC) = 1""")
+def current_pages(spark, sf):
+    """Two to four snapshots of every page, some of one time, some without, and one of them twice."""
+    held = inputs.table(spark, sf, "pages").select("url", "html", "page_id", F.explode(F.array(*map(F.lit, range(4)))).alias("v"))
+    held = held.filter("v < 2 + page_id % 3").union(held.filter("v = 1"))
+    day = F.when(F.col("page_id") % 3 == 0, 1).otherwise(F.col("v"))
+    snapshots = held.select(
+        "url", F.concat("html", F.lit("<!--"), F.col("v").cast("string"), F.lit("-->")).alias("html"),
+        F.when(F.col("v") < 3, F.timestamp_seconds(F.lit(1704067200) + F.when(F.col("v") == 1, F.lit(1)).otherwise(day) * 86400)).alias("fetched_at"),
+    )
+    return page_source.current_pages(snapshots).select("url", F.md5("html").alias("content"), "fetched_at")
+
+
+@query("needed_pages", f"""
+WITH p AS (SELECT url, html, {HOST} AS site, {RANK} AS page_rank FROM pages),
+f AS (SELECT site, min_by(url, (page_rank, url)) AS url FROM p GROUP BY site)
+SELECT p.url, p.site, p.page_rank, md5(html) AS content FROM p LEFT JOIN f USING (url)
+WHERE f.url IS NOT NULL OR p.page_rank = 0 OR contains(p.url, '/a')""")
+def needed_pages(spark, sf):
+    found = page_source.needed_pages(inputs.pages(spark, sf), (), ("/a",))
+    return found.select("url", "site", "page_rank", F.md5("html").alias("content"))
+
+
 # One reference of every form, resolved against every page.
 @query("resolve_url", """
 WITH forms AS (

@@ -85,3 +85,38 @@ def test_product_pages_are_found_under_other_spellings(spark, pages):
     assert sorted(r.name for r in products.fallback_products(given, main).collect() if r.name in ("A", "B", "Z") and "/products/" in r.url) == ["A", "B"]
     one = products.fallback_products(given, main, page_limit=1).filter(F.col("url").contains("/products/"))
     assert one.count() == 1
+
+
+def test_one_snapshot_of_each_url_stays(spark):
+    rows = [("https://a.com/", "x", 1), ("https://a.com/", "y", 1), ("https://a.com/", "x", 0), ("https://b.com/", "same", 2), ("https://b.com/", "same", 2),
+            ("https://c.com/", "p", None), ("https://c.com/", "q", None), ("https://d.com/", "alone", 5)]
+    given = spark.createDataFrame(rows, "url string, html string, day int").select("url", "html", F.timestamp_seconds(F.col("day") * 86400).alias("fetched_at"))
+    want = sorted([("https://a.com/", "x"), ("https://b.com/", "same"), ("https://c.com/", "p"), ("https://d.com/", "alone")])  # greatest MD5 of a tie
+    for frame in (given, given.orderBy(F.col("html").desc()).repartition(3)):
+        assert sorted((r.url, r.html) for r in page_source.current_pages(frame).collect()) == want
+    assert page_source.current_pages(given.drop("fetched_at")).count() == 4 and page_source.current_pages(given.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_only_needed_pages_are_read(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(page_source, "BROADCAST_URLS", broadcast)
+    rows = [("https://a.com/", "home"), ("https://a.com/blog/x", "no"), ("https://a.com/products/p", "product"), ("https://a.com/pages/faq", "faq"),
+            ("https://b.com/x/y", "first"), ("https://b.com/x/z", "no"), ("https://c.com/", ""), ("https://c.com/deep/er", "stands in"), ("https://c.com/deep/est/p", "also"),
+            ("https://d.com/only", None), ("nonsense", "no"), (None, "no")]
+    found = page_source.needed_pages(spark.createDataFrame(rows, "url string, html string"), ("/pages/faq",), ("/products/",))
+    assert sorted(r.html for r in found.collect()) == ["also", "faq", "first", "home", "product", "stands in"]
+    insights, _ = assemble.build_insights(spark.createDataFrame(rows[:7] + [(rows[7][0], "<title>Stands in</title>")], "url string, html string"))
+    assert {r.site: r.website_url for r in insights.collect()} == {"a.com": "https://a.com/", "b.com": "https://b.com/x/y", "c.com": "https://c.com/deep/er"}
+
+
+def test_pages_are_chosen_without_their_text(spark, tmp_path):
+    spark.createDataFrame([("https://a.com/x", "text")], "url string, html string").write.parquet(str(tmp_path / "pages"))
+    given = spark.read.parquet(str(tmp_path / "pages"))
+    staged = []
+    kept = page_source.stage
+    page_source.stage = lambda df, name: staged.append(df) or kept(df, name)
+    try:
+        page_source.needed_pages(given)
+    finally:
+        page_source.stage = kept
+    assert "ReadSchema: struct<url:string>" in staged[0]._jdf.queryExecution().executedPlan().toString()
