@@ -1,11 +1,13 @@
 """The insights store: keyed upserts, lookups, deletes and appended analyses.
 
-The operators are plain DataFrame functions; ``StoreTable`` keeps a table as versioned Parquet folders,
+The operators are plain DataFrame functions; ``StoreTable`` keeps a table in buckets of versioned Parquet folders,
 so readers of the old version are not disturbed and a retried write replaces only its own version.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 from storelens.functions import urls
 from storelens.operators.ranking import first_per_key, limit_per_key
 from storelens.operators.registry import operator
+from storelens.session import stage
 
 STAMPS = ("created_at", "updated_at")
 
@@ -163,8 +166,8 @@ class AnalysisLog:
         return self.spark.read.option("basePath", self.path).parquet(self.path).drop("run")
 
 
-class StoreTable:
-    """A keyed table as Parquet folders ``version=N``; the highest complete version is current."""
+class Versions:
+    """Whole tables as Parquet folders ``version=N``; the highest complete one is current."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -175,29 +178,139 @@ class StoreTable:
     def folder(self, version: int) -> str:
         return f"{self.path}/version={version:020d}"
 
+    def write(self, rows: DataFrame, version: int, *, partition_by: tuple = ()) -> int:
+        rows.write.mode("overwrite").partitionBy(*partition_by).parquet(self.folder(version))
+        return version
+
+
+class StoreTable(Versions):
+    """A keyed table in hash buckets: a version rewrites the buckets it touches and points to earlier ones for the others.
+
+    Folder ``version=N`` holds the rewritten buckets and a manifest that names, for every bucket with rows, the version whose
+    folder has them, and the table's schema. A version exists once its manifest does, so a writer that
+    is lost leaves nothing behind that readers see, and one that is repeated replaces only its own folder. The newest ``keep``
+    versions can be read; bucket folders that none of them names are removed after a write.
+    """
+
+    MANIFEST = "_manifest.json"
+
+    def __init__(self, spark: SparkSession, path: str, *, key: str = "site", buckets: int = 256, keep: int = 3):
+        super().__init__(spark, path)
+        self.key, self.buckets, self.keep = key, buckets, max(keep, 1)
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(name)
+
+    def _fs(self):
+        return self._path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        fs = self._fs()
+        if not fs.exists(self._path(self.path)):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(self._path(self.path))]
+        found = (int(n.split("=")[1]) for n in names if n.startswith("version="))
+        return sorted(v for v in found if fs.exists(self._path(f"{self.folder(v)}/{self.MANIFEST}")))
+
+    def manifest(self, version: int) -> dict:
+        stream = self._fs().open(self._path(f"{self.folder(version)}/{self.MANIFEST}"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _before(self, version: int | None) -> dict | None:
+        known = [v for v in self.versions() if version is None or v < version]
+        return self.manifest(known[-1]) if known else None
+
+    def _rows(self, manifest: dict, buckets=None) -> DataFrame:
+        schema = T.StructType.fromJson(manifest["schema"])
+        names = [b for b in manifest["buckets"] if buckets is None or int(b) in buckets]
+        if not names:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder(manifest['buckets'][b])}/bucket={b}" for b in names])
+
+    def bucket(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
     def read(self, before: int | None = None) -> DataFrame | None:
         """Current rows, or those of the last version below ``before``; None when there is none."""
-        known = [v for v in self.versions() if before is None or v < before]
-        return self.spark.read.parquet(self.folder(known[-1])) if known else None
+        manifest = self._before(before)
+        return None if manifest is None else self._rows(manifest)
 
-    def write(self, rows: DataFrame, version: int | None = None, *, partition_by: tuple = ()) -> int:
-        version = (self.versions() or [0])[-1] + 1 if version is None else version
-        rows.write.mode("overwrite").partitionBy(*partition_by).parquet(self.folder(version))
+    def lookup(self, site: str) -> DataFrame | None:
+        """Record of one key, read from its bucket only."""
+        manifest = self._before(None)
+        if manifest is None:
+            return None
+        own = self.spark.range(1).select(self.bucket(urls.site_of(F.lit(site)))).first()[0]
+        return lookup_insights(self._rows(manifest, {own}), site)
+
+    def _touched(self, keys: DataFrame) -> set[int]:
+        return {r[0] for r in keys.select(self.bucket(F.col(self.key))).distinct().collect()}  # at most ``buckets`` values
+
+    def _commit(self, rows: DataFrame, touched: set[int], base: dict | None, version: int) -> int:
+        """Write the touched buckets' rows and the manifest, which makes them the version; clear what no kept version names."""
+        fs, folder = self._fs(), self.folder(version)
+        fs.delete(self._path(f"{folder}/{self.MANIFEST}"), False)  # a repeated write is not read half done
+        rows.withColumn("bucket", self.bucket(F.col(self.key))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        names = [s.getPath().getName() for s in fs.listStatus(self._path(folder))]
+        held = {b: v for b, v in (base or {"buckets": {}})["buckets"].items() if int(b) not in touched}
+        held |= {n.split("=")[1]: version for n in names if n.startswith("bucket=")}
+        content = json.dumps({"schema": rows.schema.jsonValue(), "buckets": held})
+        part, whole = self._path(f"{folder}/{self.MANIFEST}.part"), self._path(f"{folder}/{self.MANIFEST}")
+        out = fs.create(part, True)
+        out.write(content.encode())
+        out.close()
+        if not fs.rename(part, whole):
+            raise OSError(f"could not name {whole.toString()}")
+        self._clear()
         return version
 
-    def upsert(self, batch: DataFrame, now: Column | None = None, *, key="site", version: int | None = None) -> int:
-        current = self.read(before=version)
-        if current is None:
-            current = batch.limit(0).withColumn("created_at", F.current_timestamp()).withColumn(
-                "updated_at", F.current_timestamp()
-            )
-        return self.write(upsert_insights(current, batch, now, key=key), version)
+    def _clear(self) -> None:
+        fs, versions = self._fs(), self.versions()
+        kept = [self.manifest(v) for v in versions[-self.keep :]]
+        named = {(int(v), int(b)) for m in kept for b, v in m["buckets"].items()}
+        for version in versions[: -self.keep]:
+            folder = self._path(self.folder(version))
+            fs.delete(self._path(f"{self.folder(version)}/{self.MANIFEST}"), False)
+            self._drop_unnamed(folder, version, named)
+        for status in fs.listStatus(self._path(self.path)):  # folders of versions that are no longer listed
+            name = status.getPath().getName()
+            number = int(name.split("=")[1]) if name.startswith("version=") else None
+            if number is not None and number < versions[-1] and number not in versions[-self.keep :]:
+                self._drop_unnamed(status.getPath(), number, named)
+
+    def _drop_unnamed(self, folder, version: int, named: set) -> None:
+        fs = self._fs()
+        if not fs.exists(folder):
+            return
+        buckets = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("bucket=")]
+        gone = [p for p in buckets if (version, int(p.getName().split("=")[1])) not in named]
+        for path in gone:
+            fs.delete(path, True)
+        if len(gone) == len(buckets):
+            fs.delete(folder, True)
+
+    def upsert(self, batch: DataFrame, now: Column | None = None, *, version: int | None = None) -> int:
+        """Apply a batch by key: only the buckets of its keys are read and written."""
+        base = self._before(version)
+        version = (self.versions() or [0])[-1] + 1 if version is None else version
+        touched = self._touched(batch)
+        if base is None:
+            stamp = F.current_timestamp()
+            current = batch.limit(0).withColumn("created_at", stamp).withColumn("updated_at", stamp)
+        else:
+            current = self._rows(base, touched)
+        return self._commit(upsert_insights(current, batch, now, key=self.key), touched, base, version)
 
     def delete(self, keys: DataFrame) -> DataFrame | None:
-        """Drop the keys' rows; returns the keys that were there."""
-        current = self.read()
-        if current is None:
+        """Drop the keys' rows; returns the keys that were there. Only their buckets are read and written."""
+        base = self._before(None)
+        if base is None:
             return None
-        remaining, removed = delete_insights(current, keys)
-        self.write(remaining)
+        touched = self._touched(keys)
+        remaining, removed = delete_insights(self._rows(base, touched), keys)
+        removed = stage(removed, "removed")  # its rows may be cleared with the old version
+        self._commit(remaining, touched, base, self.versions()[-1] + 1)
         return removed

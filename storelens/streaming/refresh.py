@@ -12,7 +12,7 @@ from storelens.operators.ranking import first_per_key
 from storelens.operators.registry import operator
 from storelens.plans import assemble
 from storelens.sources.pages import PAGE_SCHEMA
-from storelens.sources.store import StoreTable, complete_folders
+from storelens.sources.store import StoreTable, Versions, complete_folders
 
 BUCKETS = 256
 
@@ -38,7 +38,7 @@ def _newest(digests: DataFrame) -> DataFrame:
 
 def known_digests(spark: SparkSession, store_path: str, batch_id: int) -> DataFrame:
     """Digests up to a batch: the last compacted table and the batch folders after it."""
-    root, compacted = f"{store_path}/digests", StoreTable(spark, f"{store_path}/digests_compacted")
+    root, compacted = f"{store_path}/digests", Versions(spark, f"{store_path}/digests_compacted")
     base = max((v for v in compacted.versions() if v <= batch_id), default=-1)
     batches = [b for b in complete_folders(spark, root, "batch") if base < b <= batch_id]
     parts = []
@@ -54,7 +54,7 @@ def known_digests(spark: SparkSession, store_path: str, batch_id: int) -> DataFr
 def compact_digests(spark: SparkSession, store_path: str, batch_id: int) -> None:
     """Merge the batch folders into one table with the newest digest per URL, so that their number stays small."""
     rows = _newest(known_digests(spark, store_path, batch_id)).drop("batch")
-    StoreTable(spark, f"{store_path}/digests_compacted").write(rows, batch_id, partition_by=("bucket",))
+    Versions(spark, f"{store_path}/digests_compacted").write(rows, batch_id, partition_by=("bucket",))
 
 
 def refresh_batch(

@@ -331,6 +331,19 @@ def upsert_insights(spark, sf):
     return upserted(spark, sf).withColumn("payment_methods", F.array_join("payment_methods", "|"))
 
 
+@query("store_table", f"""
+WITH {STORE_SQL} SELECT * EXCLUDE (c_acctbal), true AS old_version_stays FROM store WHERE c_acctbal NOT BETWEEN 2500 AND 3000""")
+def store_table(spark, sf):
+    """The same rows through the stored table: two upserts, then a deletion; the version before it can still be read."""
+    table = store.StoreTable(spark, _folder(spark, "stores"), buckets=16)
+    table.upsert(current_store(spark, sf).drop(*store.STAMPS), F.expr("timestamp '2024-01-01'"))
+    second = table.upsert(store_batch(spark, sf), F.expr("timestamp '2024-03-01'"))
+    removed = table.delete(store_rows(spark, sf, "c_acctbal BETWEEN 2500 AND 3000"))
+    before = table.read(before=second + 1).join(removed, "site", "left_semi").count()
+    rows = table.read().withColumn("payment_methods", F.array_join("payment_methods", "|"))
+    return rows.withColumn("old_version_stays", F.lit(before == removed.count()))
+
+
 @query("lookup_insights", f"""
 WITH {STORE_SQL} SELECT site, brand_name, coalesce(payment_methods, '') AS payment_methods FROM store WHERE c_acctbal BETWEEN 1000 AND 6000""")
 def lookup_insights(spark, sf):
