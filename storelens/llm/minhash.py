@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -102,14 +103,38 @@ def _bin(size) -> Column:
     return F.floor(F.log(size) / F.log(F.lit(1.1))).cast("int")
 
 
-def _across(posts: DataFrame, alone: DataFrame, labels: DataFrame) -> DataFrame:
+def _bounded(met: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Nodes against whole components: (node, component, most), most shingles that the node can share with any member.
+
+    ``met`` has pairs of components. Of each pair the nodes of the one with fewer posted nodes are taken, and their
+    shingles counted that occur anywhere in the other. Nodes that can't be similar enough to a
+    member that has at least the size of the smallest are left out, and no member is read for them.
+    """
+    sizes = members.groupBy("label").agg(F.count("*").alias("k"), F.min("n").alias("least"))
+    pairs = met.select(F.least("label", "other").alias("p"), F.greatest("label", "other").alias("q")).distinct()
+    side = lambda x: sizes.select(F.col("label").alias(x), F.struct("k", F.col("label").alias("l"), "least").alias(f"{x}_size"))
+    pairs = pairs.join(side("p"), "p").join(side("q"), "q").select(
+        F.least("p_size", "q_size")["l"].alias("label"), F.greatest("p_size", "q_size").alias("large")
+    )
+    pairs = pairs.filter("large.k > 1").select("label", F.col("large.l").alias("component"), F.col("large.least").alias("least"))
+    nodes = stage(pairs.join(members, "label").select("node", "n", "component", "least"), "against")
+    mine = nodes.join(sets, "node").select("node", "component", F.explode("shingles").alias("shingle"))
+    held = members.join(nodes.select(F.col("component").alias("label")).distinct(), "label", "left_semi").join(sets, "node")
+    held = held.select(F.col("label").alias("component"), F.explode("shingles").alias("shingle")).distinct()
+    most = mine.join(held, ["component", "shingle"]).groupBy("node", "component").agg(F.count("*").alias("most"))
+    able = F.col("most") * 100 >= (F.col("n") + F.greatest("least", "most") - F.col("most")) * SIMILARITY
+    return nodes.join(most, ["node", "component"]).filter(able).select("node", "component", "most")
+
+
+def _across(posts: DataFrame, alone: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets in one posting list that lie in different components and may be similar enough.
 
     A set of n shingles of which ``own`` occur in no other posted set shares n - own with another of m at
     most, so m + own belong to the union. As the smaller of two it needs n - own >= 0.75 (n + own); as
     the larger, m <= (n - own) / 0.75 - own. Few sets of a passage that many documents share, or of far
-    edited copies, meet this, so they are not paired. What remains is paired by component first, and
-    only then by set, so a component of many copies is one entry of a list.
+    edited copies, meet this, so they are not paired. What remains is paired by component first; a node is then
+    held against all shingles of the other component at once (see ``_bounded``), and only where that allows
+    it against the members, so a large component of copies is not read once for each of many far copies.
     """
     held = posts.join(alone, "node", "left").join(labels, "node", "left").select(
         "value", "node", "n", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("component", "node").alias("label")
@@ -123,11 +148,24 @@ def _across(posts: DataFrame, alone: DataFrame, labels: DataFrame) -> DataFrame:
     entries = small.select("value", "bin", "label").distinct()
     others = large.select("value", "bin", F.col("label").alias("other")).distinct()
     met = stage(entries.join(others, ["value", "bin"]).filter(F.col("label") != F.col("other")), "met")
+    members = stage(held.select("label", "node", "n").distinct(), "members")
+    bounded = stage(_bounded(met, members, sets), "bounded")
     left = small.select("value", "bin", "label", F.col("node").alias("a"), F.col("n").alias("m"), F.col("own").alias("own_a"))
     right = large.select("value", "bin", F.col("label").alias("other"), F.col("node").alias("b"), "n", "own")
-    most = F.least(n - own, F.col("m") - F.col("own_a"))
-    able = (F.struct("m", "a") < F.struct("n", "b")) & (most * 100 >= (n + F.col("m") - most) * SIMILARITY)
-    return met.join(left, ["value", "bin", "label"]).join(right, ["value", "bin", "other"]).filter(able).select("a", "b").distinct()
+
+    def able(*bounds):
+        most = F.least(n - own, F.col("m") - F.col("own_a"), *bounds)
+        return (F.struct("m", "a") < F.struct("n", "b")) & (most * 100 >= (n + F.col("m") - most) * SIMILARITY)
+
+    single = members.groupBy("label").agg(F.count("*").alias("k")).filter("k = 1").select("label")
+    both = met.join(single, "label", "left_semi").join(single.withColumnRenamed("label", "other"), "other", "left_semi")
+    found = [both.join(left, ["value", "bin", "label"]).join(right, ["value", "bin", "other"]).filter(able())]
+    # The node held against the other's component is the smaller of the two sets, or the larger.
+    near_left = left.join(bounded.select(F.col("node").alias("a"), F.col("component").alias("other"), "most"), "a")
+    near_right = right.join(bounded.select(F.col("node").alias("b"), F.col("component").alias("label"), "most"), "b")
+    found.append(near_left.join(right, ["value", "bin", "other"]).filter(able("most")))
+    found.append(near_right.join(left, ["value", "bin", "label"]).filter(able("most")))
+    return reduce(DataFrame.union, [f.select("a", "b") for f in found]).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,7 +210,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stage(_linked(first, sets), "links")
 
     labels = stage(connected_components(links), "labels")
-    second = stage(_matched(stage(_across(posts, alone, labels), "across"), classes), "pairs")
+    second = stage(_matched(stage(_across(posts, alone, labels, sets), "across"), classes), "pairs")
     links = stage(links.union(_linked(second, sets)), "links")
 
     labels = stage(connected_components(links), "labels")
@@ -189,8 +227,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of one document per component, with all their columns.
 
-    Of rows that repeat a doc_id one stays. Rows without a doc_id can't be told apart and all stay.
+    Of rows that repeat a kept doc_id those with different texts all stay, repeated ones of one text once.
+    Rows without a doc_id can't be told apart and all stay.
     """
     kept = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    one = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    one = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col, text_col])
     return one.select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))

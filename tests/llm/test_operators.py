@@ -451,3 +451,27 @@ def test_url_rules_and_trees(spark):
     one = url_filter.judge(spark.createDataFrame([(1, "http://a.net/"), (2, "http://x.io/")], "page_id long, url string"))
     assert {r.page_id: r.verdict for r in one.collect()} == {1: "block", 2: "block"}
     assert url_filter.judge(one.select("page_id", F.lit("").alias("url")).limit(0)).count() == 0
+
+
+def test_a_large_component_beside_far_copies_that_share_edits(spark):
+    rng = random.Random(77)
+    vocabulary = [f"v{i}" for i in range(900)]
+    base = sentence(rng, 150, vocabulary).split()
+    texts = []
+    for i in range(240):
+        copy = list(base)
+        for _ in range(rng.randint(0, 3)):
+            copy[rng.randrange(len(copy))] = f"near{rng.randrange(400)}"
+        texts.append(" ".join(copy))
+    edits = [rng.randrange(150) for _ in range(12)]
+    for i in range(120):  # five to nine edits, drawn from few, so that far copies share them with each other
+        copy = list(base)
+        for at in rng.sample(edits, rng.randint(5, 9)):
+            copy[at] = f"far{at}x{rng.randrange(2)}"
+        texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    sets = [shingles_of(t) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    want = components_of(len(texts), links)
+    found = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == dict(enumerate(want)) and len(set(want)) > 1
