@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,6 +31,25 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def release() -> None:
+    """Give memory that a fit has used on the driver back to the system, so that later stages have it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of an Arrow column as views of one array of their values."""
+    held = column.combine_chunks()
+    if not len(held):
+        return []
+    offsets = held.offsets.to_numpy()
+    return np.split(held.flatten().to_numpy(), offsets[1:-1] - offsets[0])
+
+
 def crc_mod(key: str, n: int) -> Column:
     """crc32 of the key as text, modulo ``n``; null for a null key."""
     return F.crc32(F.col(key).cast("string")) % n

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import is_fold, small_batches, utf8
+from storelens.llm.common import arrays, is_fold, release, small_batches, utf8
 from storelens.session import stage
 
 BUCKETS = 1 << 15
@@ -148,8 +148,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     found = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample_rows).select("lang", "ids", "shares").toArrow()
     names = found.column("lang").to_pylist()
     languages = sorted(set(names))
-    pairs = [(np.asarray(i.values, np.int64), np.asarray(s.values, np.float64)) for i, s in zip(found.column("ids"), found.column("shares"), strict=True)]
-    return train(pairs, np.array([languages.index(x) for x in names], np.int64), languages)
+    pairs = list(zip(*(arrays(found.column(c)) for c in ("ids", "shares"))))
+    del found
+    model = train(pairs, np.array([languages.index(x) for x in names], np.int64), languages)
+    del pairs
+    release()
+    return model
 
 
 def _sent(docs: DataFrame, model: Model):

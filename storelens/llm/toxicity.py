@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import MULTIPLIER, is_fold, mix, odd_numbers, pieces, small_batches, utf8
+from storelens.llm.common import MULTIPLIER, arrays, is_fold, mix, odd_numbers, pieces, release, small_batches, utf8
 from storelens.session import stage
 
 BUCKETS = 1 << 20
@@ -213,8 +213,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not 0 < toxic < size:
         return train([], np.full(size, float(bool(toxic))), np.zeros(0, np.int64))
     found = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label").select("label", F.col("terms").cast("array<int>").alias("terms")).toArrow()
-    given = np.array(found.column("label").to_pylist(), float)
-    held = [np.asarray(part.values) for part in found.column("terms").combine_chunks()]
+    given = found.column("label").to_numpy().astype(float)
+    held = arrays(found.column("terms"))
+    del found
     n = np.zeros(BUCKETS, np.int64)
     k = np.zeros(BUCKETS, np.int64)
     for row, toxic_row in zip(held, given, strict=True):
@@ -222,14 +223,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         if toxic_row:
             k[row] += 1
     known = np.flatnonzero(n >= LEAST_ROWS)
-    place = np.full(BUCKETS, -1, np.int64)
+    place = np.full(BUCKETS, -1, np.int32)
     place[known] = np.arange(len(known))
     in_pairs = known[paired([p[p >= 0] for p in (place[row] for row in held)], given, len(known))]
     once = np.flatnonzero(n)
     buckets = np.union1d(once[_ratios(n[once], k[once], toxic / size) >= LEAST_RATIO], in_pairs)
     place[:] = -1
     place[buckets] = np.arange(len(buckets))
-    return train([p[p >= 0] for p in (place[row] for row in held)], given, buckets)
+    machine = train([p[p >= 0] for p in (place[row] for row in held)], given, buckets)
+    del held
+    release()
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
