@@ -159,7 +159,12 @@ def _across(posts: DataFrame, alone: DataFrame, labels: DataFrame, sets: DataFra
 
     single = members.groupBy("label").agg(F.count("*").alias("k")).filter("k = 1").select("label")
     both = met.join(single, "label", "left_semi").join(single.withColumnRenamed("label", "other"), "other", "left_semi")
-    found = [both.join(left, ["value", "bin", "label"]).join(right, ["value", "bin", "other"]).filter(able())]
+    # Two components of one posted node each are a pair of nodes, however many lists they meet in.
+    pairs = both.select(F.col("label").alias("small"), F.col("other").alias("large")).distinct()
+    lesser = held.select("label", F.col("node").alias("a"), F.col("n").alias("m"), F.col("own").alias("own_a")).distinct()
+    pairs = pairs.join(lesser, pairs["small"] == lesser["label"]).drop("label")
+    greater = held.select("label", F.col("node").alias("b"), "n", "own").distinct()
+    found = [pairs.join(greater, pairs["large"] == greater["label"]).filter(able())]
     # The node held against the other's component is the smaller of the two sets, or the larger.
     near_left = left.join(bounded.select(F.col("node").alias("a"), F.col("component").alias("other"), "most"), "a")
     near_right = right.join(bounded.select(F.col("node").alias("b"), F.col("component").alias("label"), "most"), "b")
