@@ -105,7 +105,7 @@ def payment_names(shown: Column, icons: Column, payment_rules=rules.PAYMENT_RULE
 
 def payment_icons(html: Column) -> Column:
     """Sources and alternative texts of images whose source looks like a payment icon."""
-    openers = F.regexp_extract_all(html, F.lit(r"(?is)<img\b[^>]*>"), F.lit(0))
+    openers = F.regexp_extract_all(html, F.lit(rf"(?is)<img\b{relations.TAG_REST}>"), F.lit(0))
     read = F.transform(
         openers,
         lambda o: F.struct(
@@ -135,7 +135,7 @@ def address() -> Column:
 
 
 def has_contact_form(html: Column) -> Column:
-    openers = F.regexp_extract_all(html, F.lit(r"(?is)<form\b[^>]*>"), F.lit(0))
+    openers = F.regexp_extract_all(html, F.lit(rf"(?is)<form\b{relations.TAG_REST}>"), F.lit(0))
     return F.exists(openers, lambda o: F.coalesce(F.lower(dom.attr(o, "action")).contains("contact"), F.lit(False)))
 
 

@@ -295,7 +295,7 @@ def product_from_link(links: DataFrame, *, branch: str | None = None) -> DataFra
     """Products named only by a ``/products/`` link: its text, title, or the words of its handle."""
     found = links.filter(F.col("href").contains("/products/"))
     handle = F.regexp_extract("href", r"/products/([^?#]*)", 1)
-    image = F.regexp_extract("inner", r"(?is)<img\b[^>]*>", 0)
+    image = F.regexp_extract("inner", rf"(?is)<img\b{relations.TAG_REST}>", 0)
     return as_products(
         found.withColumn("branch", F.col(branch) if branch else F.lit(LIST)),
         name=text.clean_text(

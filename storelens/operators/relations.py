@@ -131,7 +131,7 @@ def headings(pages: DataFrame) -> DataFrame:
     """h1-h6 with the text of what follows up to the next heading."""
     pieces = F.split(text.markup(F.col("html")), r"(?i)<h(?=[1-6]\b)")
     following = F.slice(pieces, F.lit(2), F.size(pieces))
-    body = r"(?is)^([1-6])[^>]*>(.*?)(?:</h[1-6]\s*>|\z)(.*)$"
+    body = rf"(?is)^([1-6]){TAG_REST}>(.*?)(?:</h[1-6]\s*>|\z)(.*)$"
     found = with_site(pages).select(*PAGE, F.posexplode(following).alias("seq", "piece"))
     return found.select(
         *PAGE,
@@ -151,8 +151,9 @@ def page_text(pages: DataFrame, *, drop_regions: bool = False) -> DataFrame:
 
 def meta_content(html: Column, key: str, value: str) -> Column:
     """``content`` of the first ``<meta>`` whose ``key`` attribute is ``value``."""
-    tag = F.regexp_extract(html, rf"(?is)<meta\b[^>]*\b{key}\s*=\s*[\"']?{value}(?:[\"'\s/][^>]*)?>", 0)
-    return dom.attr(tag, "content")
+    tags = F.regexp_extract_all(html, F.lit(rf"(?is)<meta\b{TAG_REST}>"), F.lit(0))
+    named = text.first_of(tags, lambda t: t.rlike(rf"(?is)\b{key}\s*=\s*[\"']?{value}[\"'\s/>]"))
+    return dom.attr(named, "content")
 
 
 def title_text(html: Column) -> Column:

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from storelens.operators import competitors, products, ranking, relations
+from storelens.operators import brand, competitors, products, ranking, relations
 from storelens.plans import assemble
 from storelens.sources import feeds, pages as page_source, store
 
@@ -120,3 +120,13 @@ def test_pages_are_chosen_without_their_text(spark, tmp_path):
     finally:
         page_source.stage = kept
     assert "ReadSchema: struct<url:string>" in staged[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quoted_tag_ends_in_meta_headings_icons_and_forms(pages):
+    page = ("<head><meta content='Shop > Women' name=description><meta property='og:description' content=\"a > b\"></head>"
+            "<img alt='a > b' src='/visa-payment-icon.png'><form data-x='p > q' action='/contact'></form><h2 title='x > y'>Head</h2>after")
+    given = pages(("https://s.com/", page))
+    meta = relations.page_meta(given).first()
+    assert (meta.description, meta.og_description) == ("Shop > Women", "a > b")
+    assert [(r.level, r.heading, r.block) for r in relations.headings(given).collect()] == [(2, "Head", "after")]
+    assert brand.contacts(given).first().contact_form_url and "Visa" in brand.payment_methods(given).first().payment_methods
