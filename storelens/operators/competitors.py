@@ -13,6 +13,7 @@ from storelens.operators.registry import operator
 from storelens.operators.relations import PAGE
 
 ORDER = ("strategy", "query_rank", "engine_rank", "seq", "url")
+RECORDS = "array<struct<competitor_name:string,competitor_url:string,insights:string>>"
 
 
 @operator("competitor_category")
@@ -138,6 +139,20 @@ def competitor_insights(competitors: DataFrame, stats: DataFrame) -> DataFrame:
     return joined.withColumn("analyzed", F.col("products").isNotNull())
 
 
+@operator("competitor_records")
+def competitor_records(found: DataFrame, insights: DataFrame) -> DataFrame:
+    """Per brand its competitors that have a store record, by rank, with the record as JSON text: (site, competitor_insights).
+
+    A brand has the few competitors that ``find_competitors`` left it, so its list is short. A store that very many brands
+    compete with is a hot key of the join, whose partitions adaptive execution splits.
+    """
+    records = insights.select(F.col("site").alias("competitor_site"), F.to_json(F.struct(*insights.columns)).alias("insights"))
+    held = found.withColumn("competitor_site", urls.host_of(F.col("url"))).join(records, "competitor_site")
+    entry = F.struct("rank", F.col("name").alias("competitor_name"), F.col("url").alias("competitor_url"), "insights")
+    ranked = F.array_sort(F.collect_list(entry))
+    return held.groupBy("site").agg(F.transform(ranked, lambda e: e.dropFields("rank")).alias("competitor_insights"))
+
+
 @operator("competitor_summary")
 def competitor_summary(analyzed: DataFrame, brands: DataFrame, k: int = rules.TOP_VALUES) -> DataFrame:
     """One row per brand: competitors found and analysed, floor average of catalog sizes, most common

@@ -14,7 +14,7 @@ from storelens.session import staging_root
 from storelens.sources import store
 from storelens.streaming import refresh
 from storelens.suite import inputs, query
-from storelens.suite.inputs import BRANDS_SQL, CANDIDATES_SQL, HOMES_SQL, HOST, render, sql_class
+from storelens.suite.inputs import BRANDS_SQL, CANDIDATES_SQL, HOMES_SQL, HOST, SEARCHED_SQL, TOLD_SQL, render, sql_class
 
 # Suppliers whose store page counts as one of the platform.
 FLAGGED = "s_acctbal > 9000"
@@ -200,6 +200,34 @@ def analyze_competitors(spark, sf):
     return _flat_summary(result)
 
 
+@query("candidates_from_search", f"""
+WITH {SEARCHED_SQL} SELECT site, strategy, l_orderkey AS query_rank, engine_rank, seq, url, name FROM verified""")
+def candidates_from_search(spark, sf):
+    """Saved result pages of three engines, each longer than the engine's limit, checked against saved store pages."""
+    found = analysis.candidates_from_search(inputs.search_pages(spark, sf), inputs.candidate_pages(spark, sf))
+    return found.select("site", "strategy", "query_rank", "engine_rank", "seq", "url", "name")
+
+
+SEARCHED_SUMMARY_SQL = SUMMARY_SQL.replace(BRANDS_SQL, TOLD_SQL).replace(VERIFIED_SQL, SEARCHED_SQL)
+
+
+@query("competitors_from_search", f"""
+WITH {SEARCHED_SUMMARY_SQL}, named AS (
+  SELECT site, string_agg(name || '=' || url || '=' || products, '|' ORDER BY rank) AS records FROM (
+    SELECT site, f.name, f.url, f.rank, r.products FROM found f JOIN records r ON host = lower(regexp_extract(url, '^https?://([^/]+)', 1))) GROUP BY 1)
+SELECT summary.*, coalesce(records, '') AS records FROM summary LEFT JOIN named USING (site)""")
+def competitors_from_search(spark, sf):
+    """The whole job from saved pages to the summary and the records of the competitors."""
+    result = analysis.competitors_from_search(
+        inputs.brand_pages(spark, sf), inputs.brands(spark, sf).drop("category"), inputs.search_pages(spark, sf),
+        inputs.candidate_pages(spark, sf), records(spark, sf), with_records=True,
+    )
+    total = lambda e: F.coalesce(F.get_json_object(e["insights"], "$.total_products"), F.lit("0"))
+    shown = F.transform("competitor_insights", lambda e: F.concat_ws("=", e["competitor_name"], e["competitor_url"], total(e)))
+    flat = _flat_summary(result)
+    return flat.join(result.select("site", F.array_join(shown, "|").alias("records")), "site")
+
+
 @query("store_summary", """
 WITH sizes AS (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL),
 per AS (SELECT l_suppkey, count(*) AS n_parts, sum(n) AS n_lines FROM sizes GROUP BY 1)

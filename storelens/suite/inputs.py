@@ -383,6 +383,89 @@ cands AS (
 """
 
 
+#: Links of one order line on a result page: one without a class, an advert of the engine, and 24 shops.
+SHOWN = 24
+
+
+def search_pages(spark, sf) -> DataFrame:
+    """Saved result pages of a customer's brand: each order is a query, its lines are dealt to three engines.
+
+    Every page has more links than any engine's limit.
+    """
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    engine = F.pmod("l_linenumber", F.lit(3)) + 1
+    name = F.element_at(F.array(*map(F.lit, ("duckduckgo", "bing", "startpage"))), engine)
+    cls = F.element_at(F.array(*map(F.lit, ("result__a", "any", "w-gl__result-title big"))), engine)
+    shop = lambda i: F.concat(
+        F.lit('<a class="'), cls, F.lit('" href="https://www.shop-'), (F.col("l_suppkey") + i).cast("string"),
+        F.lit('.example.com/p?l='), F.col("l_linenumber").cast("string"), F.lit('">Shop</a>'),
+    )
+    shops = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SHOWN - 1)), shop), "")
+    chunk = F.concat(F.lit('<p><a href="/more">More</a><a class="'), cls, F.lit('" href="https://www.bing.com/ad">Ad</a>'), shops, F.lit("</p>"))
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "o_custkey", "l_orderkey", name.alias("engine"), F.struct("l_linenumber", "l_suppkey", chunk.alias("chunk")).alias("line")
+    )
+    pages = rows.groupBy("o_custkey", "l_orderkey", "engine").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    strategy = F.greatest(F.pmod("l_orderkey", F.lit(5)) - 2, F.lit(0)).cast("int")
+    return pages.select(
+        render("c{{o_custkey}}.example.com").alias("site"), strategy.alias("strategy"), F.col("l_orderkey").alias("query_rank"), "engine",
+        render("https://{{engine}}.example.org/?q={{l_orderkey}}").alias("url"),
+        F.concat(F.lit("<html><body>"), F.array_join("lines.chunk", ""), F.lit("</body></html>")).alias("html"),
+    )
+
+
+def candidate_pages(spark, sf) -> DataFrame:
+    """Two saved pages of every supplier's store; the second shows the platform for some."""
+    pages = table(spark, sf, "supplier").withColumn("path", F.explode(F.array(F.lit(""), F.lit("cart"))))
+    mark = F.when(F.expr("s_acctbal > 4000 AND path = 'cart'"), F.lit("<script src='https://cdn.Shopify.com/s.js'></script>")).otherwise(F.lit("<p>Plain</p>"))
+    return pages.select(render("https://www.shop-{{s_suppkey}}.example.com/{{path}}").alias("url"), mark.alias("html"))
+
+
+def brand_pages(spark, sf) -> DataFrame:
+    """Two saved pages of most customers' brands; the home page tells the category."""
+    told = F.when(F.col("c_mktsegment") == "FURNITURE", "Fine fashion").when(F.col("c_mktsegment") == "HOUSEHOLD", "gaming gear").otherwise("Words")
+    pages = table(spark, sf, "customer").filter("c_custkey % 7 > 0").withColumn("path", F.explode(F.array(F.lit("a/b"), F.lit(""))))
+    title = F.when(F.col("path") == "", told).otherwise(F.lit("fitness deals"))
+    return pages.select(
+        render("https://c{{c_custkey}}.example.com/{{path}}").alias("url"), render("<html><head><title>{{title}}</title></head></html>", title=title).alias("html")
+    )
+
+
+#: The same as verified candidates; query ranks are spread so that strategies follow one another.
+SEARCHED_SQL = f"""
+lines AS (
+  SELECT o_custkey, l_orderkey, l_linenumber, l_suppkey, l_linenumber % 3 AS engine_rank,
+         row_number() OVER (PARTITION BY l_orderkey, o_custkey, l_linenumber % 3 ORDER BY l_linenumber, l_suppkey) - 1 AS nth
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+shown AS (SELECT *, unnest(range({SHOWN})) AS i FROM lines),
+placed AS (SELECT *, CASE engine_rank WHEN 1 THEN nth * {SHOWN + 2} + i + 3 ELSE nth * {SHOWN + 1} + i + 2 END AS seq FROM shown),
+listed_shops AS (
+  SELECT 'c' || o_custkey || '.example.com' AS site, greatest(l_orderkey % 5 - 2, 0) AS strategy, l_orderkey, engine_rank, seq,
+         'https://www.shop-' || (l_suppkey + i) || '.example.com/p?l=' || l_linenumber AS url, 'Shop ' || (l_suppkey + i) AS name
+  FROM placed JOIN supplier s ON s.s_suppkey = l_suppkey + i AND s_acctbal > 4000
+  WHERE seq <= CASE engine_rank WHEN 1 THEN 20 ELSE 15 END),
+checked AS (SELECT * FROM listed_shops QUALIFY engine_rank = min(engine_rank) OVER (PARTITION BY site, strategy, l_orderkey)),
+per_query AS (SELECT site, strategy, l_orderkey, count(*) AS n FROM checked GROUP BY ALL),
+before AS (
+  SELECT site, strategy, l_orderkey, coalesce(sum(n) OVER (
+    PARTITION BY site, strategy ORDER BY l_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS found_before FROM per_query),
+verified AS (
+  SELECT c.*, strategy * 1000000000000 + l_orderkey AS query_rank FROM checked c JOIN before USING (site, strategy, l_orderkey)
+  WHERE strategy > 0 OR found_before < 20),
+unique_cands AS (
+  SELECT * FROM verified QUALIFY row_number() OVER (PARTITION BY site, lower(name) ORDER BY query_rank, engine_rank, seq, url) = 1)
+"""
+
+#: Brands with the category that their saved home page tells.
+TOLD_SQL = """
+brands AS (
+  SELECT 'c' || c_custkey || '.example.com' AS site, c_name AS brand_name, CASE WHEN c_custkey % 7 = 0 THEN 'ecommerce'
+           WHEN c_mktsegment = 'FURNITURE' THEN 'fashion' WHEN c_mktsegment = 'HOUSEHOLD' THEN 'gaming' ELSE 'ecommerce' END AS category
+  FROM customer)
+"""
+
+
 def brands(spark, sf) -> DataFrame:
     """One brand per customer."""
     return table(spark, sf, "customer").select(

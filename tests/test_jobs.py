@@ -116,6 +116,46 @@ def record(site, n, social, payments, faqs):
     return (site, n, {s: "u" for s in social}, payments, [("q", "a", c) for c in faqs])
 
 
+def result_page(engine, query, links, strategy=0):
+    cls = {"duckduckgo": "result__a", "bing": "b", "startpage": "w-gl__result-title"}[engine]
+    html = "".join(f'<a class="{cls}" href="{u}">x</a>' for u in links)
+    return ("me.com", strategy, query, engine, f"https://{engine}.org/{query}", html)
+
+
+def test_competitors_from_saved_result_pages(spark):
+    shops = [f"https://s{i}.com/" for i in range(60)]
+    results = [
+        # The first engine has no store on the platform among its first 15 links, so the second one counts.
+        result_page("duckduckgo", 0, [f"https://off{i}.com" for i in range(15)] + shops[:1]),
+        result_page("bing", 0, ["https://www.bing.com/x", "/more", *shops[:19]]),
+        result_page("startpage", 0, shops[30:40]),
+        result_page("startpage", 1, shops[18:36]),
+        # 18 and 15 stores are enough: a third query of this strategy is not read, those of the others are.
+        result_page("bing", 2, shops[40:45]),
+        result_page("bing", 2, shops[45:47], strategy=1), result_page("bing", 3, shops[47:48], strategy=2),
+        result_page("bing", 4, ["https://me.com/a", "https://www.facebook.com/p"], strategy=2),
+    ]
+    results = spark.createDataFrame(results, "site string, strategy int, query_rank int, engine string, url string, html string")
+    pages = [(u, "<p>none</p>") for u in shops] + [(f"{u}cart", "<script src='//cdn.shopify.com/a.js'></script>") for u in shops]
+    pages = spark.createDataFrame([*pages, ("https://www.facebook.com/", "shopify"), ("https://me.com/", "shopify")], "url string, html string")
+    found = analysis.candidates_from_search(results, pages)
+    number = F.regexp_extract("url", r"s(\d+)\.com", 1).cast("int")
+    got = rows(found, "strategy", "query_rank", "source", number)
+    want = [(0, 0, "search__search_bing", i) for i in range(18)] + [(0, 1, "search__search_startpage", i) for i in range(18, 33)]
+    assert got == [*want, (1, 2, "search__search_bing", 45), (1, 2, "search__search_bing", 46), (2, 3, "search__search_bing", 47)]
+    brands = spark.createDataFrame([("me.com", "Me"), ("solo.com", "Solo")], "site string, brand_name string")
+    homes = spark.createDataFrame([("https://solo.com/", "<title>Gaming mice</title>"), ("https://solo.com/a", "<title>Makeup</title>")], "url string, html string")
+    insights = spark.createDataFrame([record("s1.com", 5, ["x"], ["Visa"], []), record("s40.com", 9, [], [], [])], RECORD)
+    result = {r.site: r for r in analysis.competitors_from_search(homes, brands, results, pages, insights, with_records=True).collect()}
+    me, solo = result["me.com"], result["solo.com"]
+    assert (me.competitors_found, me.competitors_analyzed, me.original_brand) == (10, 1, "Me")
+    (held,) = me.competitor_insights
+    assert (held.competitor_name, held.competitor_url) == ("S1", "https://s1.com/") and '"total_products":5' in held.insights
+    assert (solo.competitors_found, solo.competitors_analyzed, solo.competitor_insights) == (4, 0, [])
+    empty = analysis.candidates_from_search(results.limit(0), pages.limit(0))
+    assert empty.count() == 0
+
+
 RECORD = "site string, total_products bigint, social_handles map<string,string>, payment_methods array<string>, faqs array<struct<question:string,answer:string,category:string>>"
 
 
