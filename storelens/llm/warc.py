@@ -19,6 +19,8 @@ SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
 #: Bytes of records, before compression, after which a new archive begins.
 ARCHIVE_BYTES = 8 << 20
+#: Compressed bytes that zlib is given at a time.
+PIECE_BYTES = 16 << 10
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
@@ -107,29 +109,57 @@ def write_archives(rows: DataFrame, path: str) -> None:
 
 
 def _members(content: bytes) -> Iterator[bytes]:
-    """Uncompressed records of an archive: gzip members, or the plain file. Line ends after the last member are skipped."""
+    """Uncompressed records of an archive: gzip members, or the plain file. What lies between members is skipped.
+
+    The archive goes to zlib in pieces, so the time is linear in it whatever the number of its members. Of a
+    damaged member its readable beginning is returned.
+    """
     if content[:2] != b"\x1f\x8b":
         yield content
         return
-    while content[:2] == b"\x1f\x8b":
-        unpacker = zlib.decompressobj(wbits=31)
-        yield unpacker.decompress(content) + unpacker.flush()
-        content = unpacker.unused_data
+    view, at = memoryview(content), 0
+    while at >= 0:
+        begin, unpacker, out = at, zlib.decompressobj(wbits=31), []
+        try:
+            while not unpacker.eof and at < len(view):
+                piece = view[at : at + PIECE_BYTES]
+                out.append(unpacker.decompress(piece))
+                at += len(piece) - len(unpacker.unused_data)
+        except zlib.error:
+            at = begin + 2
+        yield b"".join(out)
+        at = content.find(b"\x1f\x8b", at)
+
+
+def _number(value: str | None) -> int | None:
+    return int(value) if value and value.isascii() and value.isdigit() else None
+
 
+def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Headers (names in lower case) and block of each record of an archive.
 
-def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of an archive."""
+    A record without a valid length, or that is cut off, has None for its block; reading goes on with
+    the next record that begins on a line of its own, or with the next gzip member.
+    """
     for data in _members(content):
         at = 0
-        while at < len(data) and data.startswith(b"WARC/", at):
-            end = data.index(b"\r\n\r\n", at)
-            lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+        while at < len(data):
+            if not data.startswith(b"WARC/", at):
+                at = data.find(b"\r\nWARC/", at) + 2
+                if at < 2:
+                    break
+            end = data.find(b"\r\n\r\n", at)
+            lines = data[at : end if end >= 0 else len(data)].decode("utf-8", "replace").split("\r\n")[1:]
             head = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-            size = int(head["content-length"])
-            block = data[end + 4 : end + 4 + size]
-            if len(block) < size:
-                raise ValueError("a record is cut off")
-            yield head, block
+            size = _number(head.get("content-length"))
+            if end < 0:
+                yield head, None
+                break
+            if size is None or end + 4 + size > len(data):
+                yield head, None
+                at = end + 2
+                continue
+            yield head, data[end + 4 : end + 4 + size]
             at = end + 4 + size
             while data.startswith(b"\r\n", at):
                 at += 2
@@ -146,13 +176,15 @@ def _parsed(batches):
         for content in batch.column(0):
             rows, held = [], 0
             for head, block in parse(content.as_py()):
-                number, total = head.get("warc-segment-number"), head.get("warc-segment-total-length")
+                number, total = (head.get(f"warc-segment-{x}") for x in ("number", "total-length"))
+                if number is not None and _number(number) is None:
+                    block = None
                 rows.append((
                     _plain(head.get("warc-record-id")), head.get("warc-type"), _plain(head.get("warc-target-uri")),
                     (head.get("warc-payload-digest") or "").removeprefix("sha1:") or None, _plain(head.get("warc-refers-to")),
-                    _plain(head.get("warc-segment-origin-id")), int(number) if number else None, int(total) if total else None, block,
+                    _plain(head.get("warc-segment-origin-id")), _number(number), _number(total), block,
                 ))
-                held += len(block)
+                held += len(block or b"")
                 if held >= 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                     rows, held = [], 0
@@ -161,7 +193,10 @@ def _parsed(batches):
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the archives below ``path``, segments apart. One task holds one archive at a time."""
+    """All records of the archives below ``path``, segments apart; malformed ones have a null block.
+
+    One task holds one archive at a time, which Spark's file source limits to 2 GB.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return small_batches(files).filter("length > 0").select("content").mapInArrow(_parsed, RECORDS)
 
@@ -171,19 +206,22 @@ def reassemble(found: DataFrame) -> DataFrame:
 
     Only segments are shuffled, by the id of the record they continue, and ordered by their number. A
     record is complete if its numbers run from 1 without a gap and its length is the total that the last
-    segment states; the block of an incomplete one is null. A record's own segments are the largest
-    group there is. A repeated segment counts once.
+    segment states; the block of an incomplete one is null, as is that of a malformed record. A record's own
+    segments are the largest group there is. A repeated segment counts once, with its block if any has one.
     """
-    whole = found.filter("segment is null").select("record_id", "record_type", "target_uri", "payload_digest", "refers_to", "block", F.lit(True).alias("complete"))
+    whole = found.filter("segment is null").select("record_id", "record_type", "target_uri", "payload_digest", "refers_to", "block", F.col("block").isNotNull().alias("complete"))
     parts = found.filter("segment is not null").withColumn("own", F.coalesce("origin_id", "record_id"))
-    parts = parts.dropDuplicates(["own", "segment"])
+    rest = [c for c in parts.columns if c not in ("own", "segment")]
+    best = F.max_by(F.struct(*rest), F.coalesce(F.length("block"), F.lit(-1))).alias("best")
+    parts = parts.groupBy("own", "segment").agg(best).select("own", "segment", "best.*")
     first = lambda c: F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c)
     grouped = parts.groupBy("own").agg(
         *[first(c) for c in ("record_type", "target_uri", "payload_digest", "refers_to")],
-        F.max("segment").alias("last"), F.count("*").alias("many"), F.max("total").alias("total"), F.sum(F.length("block")).alias("held"),
+        F.max("segment").alias("last"), F.count("*").alias("many"), F.count("block").alias("whole"), F.max("total").alias("total"), F.sum(F.length("block")).alias("held"),
         F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"),
     )
-    complete = F.coalesce((F.col("last") == F.col("many")) & (F.col("total") == F.col("held")), F.lit(False))
+    whole_run = (F.col("last") == F.col("many")) & (F.col("total") == F.col("held")) & (F.col("whole") == F.col("many"))
+    complete = F.coalesce(whole_run, F.lit(False))
     joined = F.array_join(F.transform("parts", lambda p: p["block"].cast("string")), "").cast("binary")
     return whole.unionByName(grouped.select(
         F.col("own").alias("record_id"), "record_type", "target_uri", "payload_digest", "refers_to",
@@ -191,19 +229,28 @@ def reassemble(found: DataFrame) -> DataFrame:
     ))
 
 
+def _body(block: bytes | None, kind: str | None) -> bytes | None:
+    try:
+        return payload_of(block) if block is not None and kind == "response" else None
+    except ValueError:
+        return None
+
+
 def _payloads(batches):
     for batch in batches:
-        blocks = batch.column("block").to_pylist()
-        kinds = batch.column("record_type").to_pylist()
-        payloads = [payload_of(b) if b is not None and k == "response" else None for b, k in zip(blocks, kinds, strict=True)]
+        blocks, kinds, whole = (batch.column(c).to_pylist() for c in ("block", "record_type", "complete"))
+        payloads = [_body(b, k) for b, k in zip(blocks, kinds, strict=True)]
+        complete = [w and (k != "response" or p is not None) for w, k, p in zip(whole, kinds, payloads, strict=True)]
         at = batch.schema.get_field_index("block")
-        yield batch.set_column(at, "payload", pa.array(payloads, pa.binary()))
+        out = batch.set_column(at, "payload", pa.array(payloads, pa.binary()))
+        yield out.set_column(batch.schema.get_field_index("complete"), "complete", pa.array(complete, pa.bool_()))
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Records with their payloads, transfer framing decoded: (record_id, record_type, target_uri, payload_digest, refers_to, payload, complete).
 
-    Revisits have no payload of their own; their digest names it. Incomplete records have none.
+    Revisits have no payload of their own; their digest names it. Incomplete records have none: those that are
+    malformed or lack segments, and responses whose transfer framing is broken.
     """
     held = reassemble(read_records(spark, path))
     kinds = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, payload binary, complete boolean"

@@ -1,5 +1,8 @@
 """The operators against brute force, on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
+import time
+import os
+import gzip
 import hashlib
 import random
 import re
@@ -261,6 +264,34 @@ def test_warc_framing():
     assert [h.get("warc-segment-number") for h in heads][:2] == ["1", "2"] and heads[-1]["warc-segment-total-length"]
 
 
+def test_warc_reader_is_linear_and_survives_bad_records(spark, tmp_path):
+    def record(i, block=b"x" * 20, length=None, extra=b""):
+        size = b"%d" % len(block) if length is None else length
+        return b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:%d>\r\n%sContent-Length: %s\r\n\r\n" % (i, extra, size) + block + b"\r\n\r\n"
+
+    bad = [record(0), record(1, length=b"many"), record(2), record(3).replace(b"Content-Length", b"Other"), record(4, extra=b"WARC-Segment-Number: one\r\n"),
+           record(5), record(6, length=b"999999")]
+    want = {"urn:0": True, "urn:1": False, "urn:2": True, "urn:3": False, "urn:4": False, "urn:5": True, "urn:6": False}
+    packed = b"".join(gzip.compress(r) for r in bad)
+    damaged = gzip.compress(record(7)) + b"\x1f\x8b\x08garbage" + gzip.compress(record(8)) + gzip.compress(record(9, os.urandom(3000)))[:-400]
+    broken = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nabc"
+    framed = record(10, broken).replace(b"resource", b"response")
+    for name, content in (("plain", b"".join(bad)), ("packed", packed), ("more", damaged), ("framed", framed), ("none", b"\x1f\x8b")):
+        (tmp_path / name).write_bytes(content)
+    found = warc.read_archives(spark, str(tmp_path)).collect()
+    got = Counter((r.record_id, r.complete) for r in found)
+    assert got == Counter({**{k: 2 for k in want.items()}, ("urn:7", True): 1, ("urn:8", True): 1, ("urn:9", False): 1, ("urn:10", False): 1})
+    assert all(r.payload is None for r in found if not r.complete)
+    # 4 times the archive, about 4 times as long: before, each member was cut from a copy of the rest.
+    members = [gzip.compress(record(i, os.urandom(2000))) for i in range(4000)]
+    times = []
+    for n in (1, 4):
+        content, begin = b"".join(members) * n, time.perf_counter()
+        assert sum(1 for _ in warc.parse(content)) == 4000 * n
+        times.append(time.perf_counter() - begin)
+    assert times[1] < 10 * times[0] + 1
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(30, 16))
@@ -328,6 +359,40 @@ def test_main_text_goes_by_ratios_in_and_outside_landmarks():
     assert html_paths.content(PAGE % inside) == "\n".join(["Head, of it.", *[said] * 5])
 
 
+def test_main_text_keeps_lists_and_tables_of_the_article():
+    p = "<p>A long part, with marks. It goes on, and on, for a while. Then it ends, at last.</p>"
+    said = "A long part, with marks. It goes on, and on, for a while. Then it ends, at last."
+    for n in (10, 20, 40):
+        items, shown = "".join(f"<li>Item {i}</li>" for i in range(n)), [f"Item {i}" for i in range(n)]
+        assert html_paths.content(PAGE % f"<article>{p * 4}<ul>{items}</ul>{p}</article>") == "\n".join([said] * 4 + shown + [said])
+        assert html_paths.content(PAGE % f"<article>{p * 4}<ol>{items}</ol></article>") == "\n".join([said] * 4 + shown)
+    cells = "<table>" + "".join(f"<tr><td>k{i}</td><td>v{i}</td></tr>" for i in range(15)) + "</table>"
+    want = [said] * 2 + [f"{x}{i}" for i in range(15) for x in "kv"] + [said] * 2
+    assert html_paths.content(PAGE % f"<article>{p * 2}{cells}{p * 2}</article>") == "\n".join(want)
+    # A list of links between parts, and one in a box of its own, are no part of the text.
+    links = "<ul>" + "".join(f"<li><a href=/{i}>More {i}</a></li>" for i in range(30)) + "</ul>"
+    box = "<div><ul>" + "<li>Tag</li>" * 30 + "</ul></div>"
+    assert html_paths.content(PAGE % f"<article>{p * 2}{links}{p}{box}{p}</article>") == "\n".join([said] * 4)
+
+
+def test_main_text_inside_modified_classes_and_page_wide_forms():
+    p = "<p>A long part, with marks. It goes on, and on, for a while. Then it ends, at last.</p>"
+    said = "A long part, with marks. It goes on, and on, for a while. Then it ends, at last."
+    for around in ("<div class='post no-sidebar'>%s</div>", "<div id=with-comments>%s</div>", "<form id=page><article>%s</article><p>Name, please.</p></form>"):
+        assert html_paths.content(PAGE % (around % (p * 3))) == "\n".join([said] * 3)
+    shut = "<div class=sidebar><form><article>%s</article></form></div><form class=newsletter><article>%s</article></form>" % (p, p)
+    assert html_paths.content(PAGE % f"<article><p>Own, text.</p></article>{shut}") == "Own, text."
+
+
+def test_main_text_is_linear_in_odd_markup():
+    n = 60_000
+    for page in ("<a " * n, '<a "' * n + ">", '<a ">"' * n, "<a '" * n, "<svg/>" * n, "<div>x" * (n // 4), "<!" * n, "</p" * n):
+        begin = time.perf_counter()
+        html_paths.content(page)
+        assert time.perf_counter() - begin < 10, page[:12]
+    assert html_paths.content("<p title='a>b'>One, two.</p><p title=\"x>Three, four.</p>") == "One, two.\nThree, four."
+
+
 def test_main_text_of_odd_pages(spark):
     many = "<article>" + "".join(f"<p>Part {i}, of it.</p>" for i in range(20_000)) + "</article>"
     pages = [(1, "u", None), (2, None, ""), (3, "u", "plain"), (4, "u", "<p>cut, off <a hre"), (5, "u", many), (5, "u", many), (None, "u", "<<<>>"), (6, "u", "<div>" * 30_000 + "deep, one"), (7, "u", "</p></x>")]
