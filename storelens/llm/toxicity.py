@@ -199,8 +199,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     At most ``sample_rows`` labelled rows are used, those with the smallest hashes of their doc_id, so
     what is broadcast and what reaches the driver is bounded by that parameter. Rows without a doc_id,
-    label or text are not used; the terms of all used rows reach the driver, and a doc_id that repeats in
-    ``docs`` counts with each of its rows. Without rows of both labels the model only knows their share.
+    label or text are not used; a doc_id that repeats in ``docs`` counts with each of its rows, as far as the bound
+    allows. The terms of all used rows reach the driver. Without rows of both labels the model only knows their share.
     """
     small_batches(docs)
     given = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
@@ -209,10 +209,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
     held = texts.join(F.broadcast(given), "doc_id").select("doc_id", "label", "text")
     rows = stage(held.mapInArrow(_featurized, "doc_id long, label int, terms array<long>"), "terms")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label", F.xxhash64("terms")).limit(sample_rows)
     size, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not 0 < toxic < size:
         return train([], np.full(size, float(bool(toxic))), np.zeros(0, np.int64))
-    found = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label").select("label", F.col("terms").cast("array<int>").alias("terms")).toArrow()
+    found = rows.select("label", F.col("terms").cast("array<int>").alias("terms")).toArrow()
     given = found.column("label").to_numpy().astype(float)
     held = arrays(found.column("terms"))
     del found
