@@ -158,9 +158,9 @@ def _across(posts: DataFrame, alone: DataFrame, labels: DataFrame, sets: DataFra
         return (F.struct("m", "a") < F.struct("n", "b")) & (most * 100 >= (n + F.col("m") - most) * SIMILARITY)
 
     single = members.groupBy("label").agg(F.count("*").alias("k")).filter("k = 1").select("label")
-    both = met.join(single, "label", "left_semi").join(single.withColumnRenamed("label", "other"), "other", "left_semi")
     # Two components of one posted node each are a pair of nodes, however many lists they meet in.
-    pairs = both.select(F.col("label").alias("small"), F.col("other").alias("large")).distinct()
+    both = met.select("label", "other").distinct().join(single, "label", "left_semi")
+    pairs = both.join(single.withColumnRenamed("label", "other"), "other", "left_semi").select(F.col("label").alias("small"), F.col("other").alias("large"))
     lesser = held.select("label", F.col("node").alias("a"), F.col("n").alias("m"), F.col("own").alias("own_a")).distinct()
     pairs = pairs.join(lesser, pairs["small"] == lesser["label"]).drop("label")
     greater = held.select("label", F.col("node").alias("b"), "n", "own").distinct()
