@@ -141,6 +141,11 @@ def complete_folders(spark: SparkSession, path: str, name: str) -> list[int]:
     return sorted(int(p.getName().split("=")[1]) for p in done)
 
 
+def by_bucket(rows: DataFrame) -> DataFrame:
+    """Rows brought together by ``bucket`` for a partitioned write; adaptive execution joins small buckets and splits large ones."""
+    return rows.sparkSession.sql("SELECT /*+ REBALANCE(bucket) */ * FROM {rows}", rows=rows)
+
+
 class AnalysisLog:
     """Appended rows as Parquet folders ``run=NAME``, one per job; repeating a job rewrites only its own."""
 
@@ -253,7 +258,7 @@ class StoreTable(Versions):
         """Write the touched buckets' rows and the manifest, which makes them the version; clear what no kept version names."""
         fs, folder = self._fs(), self.folder(version)
         fs.delete(self._path(f"{folder}/{self.MANIFEST}"), False)  # a repeated write is not read half done
-        rows.withColumn("bucket", self.bucket(F.col(self.key))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        by_bucket(rows.withColumn("bucket", self.bucket(F.col(self.key)))).write.mode("overwrite").partitionBy("bucket").parquet(folder)
         names = [s.getPath().getName() for s in fs.listStatus(self._path(folder))]
         held = {b: v for b, v in (base or {"buckets": {}})["buckets"].items() if int(b) not in touched}
         held |= {n.split("=")[1]: version for n in names if n.startswith("bucket=")}
@@ -304,6 +309,19 @@ class StoreTable(Versions):
             current = self._rows(base, touched)
         return self._commit(upsert_insights(current, batch, now, key=self.key), touched, base, version)
 
+    def replace(self, rows: DataFrame, keys: DataFrame, *, version: int | None = None) -> int:
+        """Make ``rows`` all that the keys have, for tables with any number of rows per key.
+
+        A key without rows loses those it had; rows of other keys are not taken. Only the keys' buckets are read and written.
+        """
+        base = self._before(version)
+        version = (self.versions() or [0])[-1] + 1 if version is None else version
+        own = keys.select(self.key).distinct()
+        touched, new = self._touched(own), rows.join(own, self.key, "left_semi")
+        if base is not None:
+            new = self._rows(base, touched).join(own, self.key, "left_anti").unionByName(new, allowMissingColumns=True)
+        return self._commit(new, touched, base, version)
+
     def delete(self, keys: DataFrame) -> DataFrame | None:
         """Drop the keys' rows; returns the keys that were there. Only their buckets are read and written."""
         base = self._before(None)

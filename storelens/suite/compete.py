@@ -14,6 +14,7 @@ from storelens.session import staging_root
 from storelens.sources import store
 from storelens.streaming import refresh
 from storelens.suite import inputs, query
+from storelens.suite.catalog import FEED_PRODUCTS_SQL
 from storelens.suite.inputs import BRANDS_SQL, CANDIDATES_SQL, HOMES_SQL, HOST, SEARCHED_SQL, TOLD_SQL, render, sql_class
 
 # Suppliers whose store page counts as one of the platform.
@@ -426,7 +427,9 @@ def stream_page_dedup(spark, sf):
 
 @query("stream_insights", f"""
 WITH {HOMES_SQL} SELECT site, replace(s_name, '#', '') AS brand_name, base || '/logo-' || s_suppkey || '.png' AS logo_url,
-  CASE WHEN s_nationkey > 12 THEN 'instagram|twitter' ELSE 'instagram' END AS social FROM homes""")
+  CASE WHEN s_nationkey > 12 THEN 'instagram|twitter' ELSE 'instagram' END AS social,
+  'https://www.instagram.com/shop' || s_suppkey AS instagram,
+  CASE WHEN s_nationkey > 12 THEN 'https://twitter.com/shop' || s_suppkey END AS twitter, 0 AS total_products FROM homes""")
 def stream_insights(spark, sf):
     """Home pages arrive in two deliveries, an outdated one first."""
     folder = _folder(spark, "refresh")
@@ -439,6 +442,61 @@ def stream_insights(spark, sf):
     refresh.stream_insights(stream, f"{folder}/store", f"{folder}/cp").awaitTermination()
     current = store.StoreTable(spark, f"{folder}/store/insights").read()
     return current.select(
-        "site", "brand_name", "logo_url", F.array_join(F.array_sort(F.map_keys("social_handles")), "|").alias("social")
+        "site", "brand_name", "logo_url", F.array_join(F.array_sort(F.map_keys("social_handles")), "|").alias("social"),
+        *[F.col("social_handles")[slot].alias(slot) for slot in ("instagram", "twitter")],
+        F.col("total_products").cast("int").alias("total_products"),
     )
 
+
+# Shops of brands above 12 publish no feed; those with an even brand number have product pages that a sitemap names.
+DELIVERED_SQL = f"""
+{FEED_PRODUCTS_SQL}, numbered AS (SELECT *, CAST(regexp_extract(shop, 'brand-([0-9]+)-', 1) AS INTEGER) AS brand_no FROM parts),
+carded AS (SELECT shop, handle, p_name, '$' || price AS price_text FROM numbered WHERE brand_no > 12 AND p_type IN ('SMALL', 'LARGE', 'MEDIUM')),
+paged AS (SELECT shop, handle, p_name || ' page' AS p_name, '$' || price AS price_text FROM numbered WHERE brand_no > 12 AND brand_no % 2 = 0),
+shop_catalog AS (
+  SELECT site, name, product_url, price_text FROM feed_products WHERE CAST(regexp_extract(site, 'brand-([0-9]+)-', 1) AS INTEGER) <= 12
+  UNION ALL SELECT shop, p_name, 'https://' || shop || '/products/' || handle, price_text FROM carded
+  UNION ALL SELECT shop, p_name, 'https://' || shop || '/products/' || handle, price_text FROM paged)
+"""
+
+
+def delivered(spark, sf) -> str:
+    """Folder of a store that has read pages, feeds and sitemaps of the shops from one stream.
+
+    First come the feeds, all as they are except that each second page is still empty, and home pages without sections; then,
+    later in time, the second feed pages, the sitemaps, the product pages and the home pages as they are, with an
+    outdated empty copy of every feed page, which changes nothing.
+    """
+    folder = _folder(spark, "deliveries")
+    brand_no = F.regexp_extract("url", r"brand-(\d+)-", 1).cast("int")
+    feeds, homes = inputs.shop_feeds(spark, sf).filter(brand_no <= 12), inputs.shop_homes(spark, sf)
+    second, nothing = F.col("url").endswith("page=2"), F.lit('{"products":[]}')
+    rows = inputs.shops(spark, sf).withColumn("url", render("https://{{shop}}/products/{{handle}}")).filter((brand_no > 12) & (brand_no % 2 == 0))
+    card = '<html><body><div class="product-card"><h3>{{p_name}} page</h3><span class="price">${{price}}</span><a href="/products/{{handle}}">More</a></div></body></html>'
+    pages = rows.select("url", render(card).alias("html"))
+    loc = render("<url><loc>{{url}}?variant=1</loc></url>")
+    maps = rows.groupBy("shop").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(loc), ""), F.lit("</urlset>")).alias("body"))
+    maps = maps.select(render("https://{{shop}}/sitemap.xml").alias("url"), "body")
+    early = refresh.tagged(
+        page=homes.withColumn("html", F.lit("<html><body>Soon</body></html>")), feed=feeds.withColumn("body", F.when(second, nothing).otherwise(F.col("body")))
+    )
+    late = refresh.tagged(page=homes.unionByName(pages), feed=feeds.filter(second), sitemap=maps)
+    stale = refresh.tagged(feed=feeds.withColumn("body", nothing))
+    dated = lambda rows, day: rows.withColumn("fetched_at", F.timestamp_seconds(F.lit(86400 * day)))
+    for batch in (dated(early, 1), dated(late, 2).unionByName(dated(stale, 0))):
+        batch.write.mode("append").parquet(f"{folder}/in")
+        stream = refresh.page_stream(spark, f"{folder}/in", schema=refresh.DELIVERY_SCHEMA)
+        refresh.stream_insights(stream, f"{folder}/store", f"{folder}/cp", compact_every=2).awaitTermination()
+    return f"{folder}/store"
+
+
+@query("stream_catalog", f"""
+WITH {DELIVERED_SQL}
+SELECT site, name, product_url, price_text, 'https://' || site || '/' AS website_url, count(*) OVER (PARTITION BY site) AS total_products
+FROM shop_catalog""")
+def stream_catalog(spark, sf):
+    """Catalog rows with the address and the total that the site's record has."""
+    folder = delivered(spark, sf)
+    catalog, records = (store.StoreTable(spark, f"{folder}/{name}").read() for name in ("catalog", "insights"))
+    known = records.select("site", "website_url", "total_products")
+    return catalog.select("site", "name", "product_url", "price_text").join(known, "site", "full_outer")
