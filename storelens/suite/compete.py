@@ -451,8 +451,8 @@ def stream_insights(spark, sf):
 # Shops of brands above 12 publish no feed; those with an even brand number have product pages that a sitemap names.
 DELIVERED_SQL = f"""
 {FEED_PRODUCTS_SQL}, numbered AS (SELECT *, CAST(regexp_extract(shop, 'brand-([0-9]+)-', 1) AS INTEGER) AS brand_no FROM parts),
-carded AS (SELECT shop, handle, p_name, '$' || price AS price_text FROM numbered WHERE brand_no > 12 AND p_type IN ('SMALL', 'LARGE', 'MEDIUM')),
-paged AS (SELECT shop, handle, p_name || ' page' AS p_name, '$' || price AS price_text FROM numbered WHERE brand_no > 12 AND brand_no % 2 = 0),
+carded AS (SELECT shop, handle, p_name, price AS price_text FROM numbered WHERE brand_no > 12 AND p_type IN ('SMALL', 'LARGE', 'MEDIUM')),
+paged AS (SELECT shop, handle, p_name || ' page' AS p_name, price AS price_text FROM numbered WHERE brand_no > 12 AND brand_no % 2 = 0),
 shop_catalog AS (
   SELECT site, name, product_url, price_text FROM feed_products WHERE CAST(regexp_extract(site, 'brand-([0-9]+)-', 1) AS INTEGER) <= 12
   UNION ALL SELECT shop, p_name, 'https://' || shop || '/products/' || handle, price_text FROM carded
