@@ -79,6 +79,25 @@ def link_array(body: Column, url: Column) -> Column:
     )
 
 
+# An anchor's opening tag; like the pieces that ``link_array`` reads, it ends before the next anchor begins.
+NO_ANCHOR = r"<(?!a[\s>])"
+ANCHOR = (
+    rf"""(?is)<a(?=[\s>])((?:[^'"><]++|{NO_ANCHOR}|"(?:[^"<]++|{NO_ANCHOR})*+"|'(?:[^'<]++|{NO_ANCHOR})*+')*+(?=>)|(?:[^><]++|{NO_ANCHOR})*+)>"""
+)
+
+
+def href_array(body: Column, cls: Column) -> Column:
+    """Targets of the anchors that have one and the class, as written and in page order; any class where ``cls`` is empty."""
+
+    def classed(opener):
+        # Without a reference there is nothing to decode.
+        held = F.when(opener.contains("&"), dom.attr(opener, "class")).otherwise(F.trim(dom.raw_attr(opener, "class")))
+        return F.concat(F.lit(" "), F.coalesce(held, F.lit("")), F.lit(" ")).contains(F.concat(F.lit(" "), cls, F.lit(" ")))
+
+    openers = F.filter(F.regexp_extract_all(body, F.lit(ANCHOR), F.lit(1)), lambda o: (cls == "") | classed(o))
+    return F.filter(F.transform(openers, lambda o: dom.raw_attr(o, "href")), lambda h: h.isNotNull())
+
+
 @operator("links")
 def links(pages: DataFrame) -> DataFrame:
     """Every ``<a href>``: raw target, absolute URL, text, title, class, content, order."""

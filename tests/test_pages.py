@@ -300,6 +300,21 @@ def test_search_links_cut_before_filters(spark):
     assert got == sorted([(0, f"https://s{i}.com") for i in range(1, 15, 2)] + [(1, "https://t.com")])
 
 
+def test_search_links_of_each_saved_copy(spark):
+    """Two saved copies of one result page are cut one by one, whatever stands in their tags."""
+    schema = "site string, strategy int, query_rank int, engine string, url string, html string"
+    page = "".join(f'<a href="https://s{i}.com?a=1&amp;b=2">l</a>' for i in range(25))
+    odd = (
+        '<a title="<a href=https://in.com>x</a>" href=https://z.com>z</a><a <b title=\'<i>\' href="https://t.com">t</a><a href="https://open.com>o'
+        '<a href=\'https://q.com\' title="a > b">q</a><a name="n">n</a><A\nHREF=https://u.com>u</A><a href="https://last.com"'
+    )
+    saved = spark.createDataFrame([("b.com", 0, 0, "bing", "https://r.com/?q", html) for html in (page, page, odd)], schema)
+    got = rows(feeds.read_search_links(saved.limit(2)), "url", "seq")
+    assert got == sorted([(f"https://s{i}.com?a=1&b=2", i + 1) for i in range(20)] * 2)
+    there = relations.links(saved.filter(~F.col("html").startswith(page)).select("url", "html"))
+    assert rows(feeds.read_search_links(saved.filter(~F.col("html").startswith(page))), "url") == rows(there, "href") != []
+
+
 def test_platform_flags(spark, pages):
     page = pages(("https://a.com/", "<script src='//CDN.shopify.com/x'>"), ("https://a.myshopify.com/", "x"), ("https://b.com/", "shop_id"))
     assert rows(relations.detect_platform(page), "site", "on_platform") == [("a.com", True), ("a.myshopify.com", True), ("b.com", False)]
