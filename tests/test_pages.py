@@ -311,6 +311,8 @@ def test_search_links_of_each_saved_copy(spark):
     saved = spark.createDataFrame([("b.com", 0, 0, "bing", "https://r.com/?q", html) for html in (page, page, odd)], schema)
     got = rows(feeds.read_search_links(saved.limit(2)), "url", "seq")
     assert got == sorted([(f"https://s{i}.com?a=1&b=2", i + 1) for i in range(20)] * 2)
+    plan = feeds.read_search_links(saved)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan  # only links that stay leave the page's row
     there = relations.links(saved.filter(~F.col("html").startswith(page)).select("url", "html"))
     assert rows(feeds.read_search_links(saved.filter(~F.col("html").startswith(page))), "url") == rows(there, "href") != []
 
