@@ -130,3 +130,12 @@ def test_quoted_tag_ends_in_meta_headings_icons_and_forms(pages):
     assert (meta.description, meta.og_description) == ("Shop > Women", "a > b")
     assert [(r.level, r.heading, r.block) for r in relations.headings(given).collect()] == [(2, "Head", "after")]
     assert brand.contacts(given).first().contact_form_url and "Visa" in brand.payment_methods(given).first().payment_methods
+
+
+def test_rendered_pages_are_dealt_to_all_cores(spark):
+    """Pages rendered from a table of one small file are not left to one task."""
+    from storelens.suite import inputs
+
+    for pages in (inputs.product_pages(spark, "/root/testdata/sf0.001"), inputs.supplier_homes(spark, "/root/testdata/sf0.001")):
+        used = pages.select(F.spark_partition_id().alias("p")).distinct().count()
+        assert used >= spark.sparkContext.defaultParallelism
