@@ -74,3 +74,24 @@ def test_pieces_go_through_no_exchange(pages):
     plan = found._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.splitlines() if "Exchange" in line]
     assert exchanges and not any("pieces" in line for line in exchanges)
+
+
+def test_outlines_become_one_array_column_by_column():
+    """Same array as from nested rows; what was said of an opening tag is kept for short ones only."""
+    import re
+
+    import pyarrow as pa
+
+    from storelens.functions import outline as module
+
+    said = re.compile("card|faq", re.I)
+    html = '<div class="faq"><h2>Q</h2>t<p>x</p></div><div class="card"><h3>A</h3></div><div class="card"></div>'
+    for wanted in (said, module.Remembered(said), module.Remembered(said, longest=3)):
+        page = module.outline_page(html, wanted, frozenset(), re.compile("(?!)"), said)
+        empty = module.outline_page("", wanted, frozenset(), re.compile("(?!)"), None)
+        for outlines in ([], [None], [page, None, empty, page], [empty]):
+            built = module.as_arrow(outlines)
+            built.validate(full=True)
+            assert built.to_pylist() == pa.array(outlines, type=module.ARROW).to_pylist()
+    held = module.Remembered(said, longest=3)
+    assert not held.search("abc") and held.search("<card>") and held._known.cache_info().currsize == 1
