@@ -168,19 +168,32 @@ _CARD_STYLES = {
 }
 
 
-def product_blocks(blocks: DataFrame) -> DataFrame:
-    """One row per product-like element: the element, what is inside it, what is around it."""
+def product_blocks(blocks: DataFrame, firsts=()) -> DataFrame:
+    """One row per product-like element: the element, what is inside it, what is around it.
+
+    With ``firsts``, ``first_of`` is the index of the first of these selectors that it matches, if no element before it has that index.
+    """
     page = F.col("dom")
     like = F.filter(
         page,
         lambda e: e["cls"].contains("product") | dom.has_attr(e["opener"], r"data-product[\w-]*")
         | dom.matches(e, "#product"),
     )
-    cards = F.transform(
-        like,
-        lambda e: F.struct(e.alias("card"), dom.inside(page, e).alias("parts"), dom.owners(page, e).alias("owners")),
-    )
-    return blocks.select(*PAGE, "pieces", F.inline(cards)).withColumn("seq", F.col("card.seq"))
+
+    def cards(elements):
+        return F.transform(
+            elements,
+            lambda e: F.struct(e.alias("card"), dom.inside(page, e).alias("parts"), dom.owners(page, e).alias("owners")),
+        )
+
+    if not firsts:
+        return blocks.select(*PAGE, "pieces", F.inline(cards(like))).withColumn("seq", F.col("card.seq"))
+    read = blocks.select(*PAGE, "pieces", cards(like).alias("cards"))
+    ranks = F.transform("cards", lambda c: dom.selector_rank(firsts, c["card"], c["owners"]))
+    read = read.select(*PAGE, "pieces", "cards", ranks.alias("ranks"))
+    first = F.transform("ranks", lambda r, i: F.when(F.array_position(F.col("ranks"), r) == i + 1, r))
+    read = read.select(*PAGE, "pieces", F.inline(F.arrays_zip("cards", first.alias("first_of"))))
+    return read.select(*PAGE, "pieces", "cards.*", "first_of").withColumn("seq", F.col("card.seq"))
 
 
 def _field(selectors, accept) -> Column:
@@ -272,22 +285,29 @@ def products_from_cards(pages: DataFrame, *, style: str = "default") -> DataFram
         best = F.min("pick").over(Window.partitionBy("site", "url"))
         chosen = ranked.filter(F.col("pick").isNotNull()).withColumn("best", best).filter("pick = best")
         return card_fields(chosen.withColumn("branch", F.lit(GRID)), "legacy")
+    # Within the grid branch the selector decides before the position on the page.
+    ordered = _branched(blocks).withColumn("seq", _grid_order())
+    return card_fields(ordered.filter(F.col("branch").isNotNull()), style)
+
+
+def _grid_order() -> Column:
+    return F.coalesce("pick", F.lit(0)).cast("long") * 1_000_000_000 + F.col("seq")
+
+
+def _branched(blocks: DataFrame) -> DataFrame:
+    """Product blocks with the grid selector they match (``pick``) and the best branch they belong to, NULL for none."""
+    card, around = F.col("card"), F.col("owners")
     section = F.exists(
         around, lambda o: F.coalesce(F.lower(dom.raw_attr(o["opener"], "data-section-type")).rlike("product|collection"),
                                      F.lit(False))
     ) & dom.selector_rank(rules.SECTION_ITEM_SELECTORS, card, around).isNotNull()
-    ranked = blocks.withColumn("pick", dom.selector_rank(rules.GRID_SELECTORS, card, around)).withColumn(
+    return blocks.withColumn("pick", dom.selector_rank(rules.GRID_SELECTORS, card, around)).withColumn(
         "branch",
         F.when(F.col("pick").isNotNull(), GRID)
         .when(card["cls"].contains("product"), LIST)
         .when(section, SECTION)
         .when(dom.selector_rank(rules.COLLECTION_SELECTORS, card, around).isNotNull(), COLLECTION),
     )
-    # Within the grid branch the selector decides before the position on the page.
-    ordered = ranked.filter(F.col("branch").isNotNull()).withColumn(
-        "seq", F.coalesce("pick", F.lit(0)).cast("long") * 1_000_000_000 + F.col("seq")
-    )
-    return card_fields(ordered, style)
 
 
 @operator("product_from_link")
@@ -328,17 +348,35 @@ def page_products(pages: DataFrame, n: int | None = None) -> DataFrame:
     return _limited(unique, ["site", "url"], ["branch", "seq"], n)
 
 
+# Branches of a main block come before those of the page; the words that its selectors need in a page, attributes in any case.
+_MAIN = len(rules.SINGLE_PRODUCT_SELECTORS)
+MAY_HOLD_MAIN = "|".join(
+    rf"{'(?i)' if s[0] == '[' else '(?-i)'}(?<![\w-]){s.strip('.#[]')}(?![\w-])" for s in rules.SINGLE_PRODUCT_SELECTORS
+)
+
+
+def _names_product(entries: Column) -> Column:
+    """Whether ``products_from_jsonld`` finds a product among a page's entries."""
+    return F.call_function("exists", entries, F.expr(
+        """item -> coalesce(try_variant_get(item, '$["@type"]', 'string') = 'Product' and try_variant_get(item, '$.name', 'string') <> '', false)"""
+    ))
+
+
 @operator("single_product")
 def single_product(pages: DataFrame) -> DataFrame:
     """The product of a product page: its main block when that names one, else the page's first product."""
-    blocks = product_blocks(relations.page_blocks(pages))
-    pick = dom.selector_rank(rules.SINGLE_PRODUCT_SELECTORS, F.col("card"), F.col("owners"))
-    main = blocks.withColumn("branch", pick).filter(F.col("branch").isNotNull())
-    # Only the first element of a selector counts.
-    main = first_per_key(main, ["site", "url", "branch"], ["seq"])
-    offset = F.lit(len(rules.SINGLE_PRODUCT_SELECTORS))
-    rest = page_products(pages, 1).withColumn("branch", (F.col("branch") + offset).cast("int"))
-    return first_per_key(card_fields(main).unionByName(rest), ["site", "url"], ["branch", "seq"])
+    pages = relations.with_site(pages)
+    structured = products_from_jsonld(relations.structured_items(pages))
+    # Blocks are only read where they can decide: a main block may be there, or structured data names no product.
+    may_hold_main = F.col("html").rlike(MAY_HOLD_MAIN) if "html" in pages.columns else F.lit(True)
+    undecided = ~_names_product(relations.ld_entries(pages)) | may_hold_main
+    blocks = _branched(product_blocks(relations.page_blocks(pages.filter(undecided)), rules.SINGLE_PRODUCT_SELECTORS))
+    main, listed = F.struct(F.col("first_of").alias("branch"), "seq"), F.struct((F.col("branch") + _MAIN).alias("branch"), _grid_order().alias("seq"))
+    places = F.array(F.when(F.col("first_of").isNotNull(), main), F.when(F.col("branch").isNotNull(), listed))
+    placed = blocks.withColumn("place", F.explode(F.array_compact(places)))
+    placed = placed.withColumn("branch", F.col("place.branch")).withColumn("seq", F.col("place.seq"))
+    structured = structured.withColumn("branch", (F.col("branch") + _MAIN).cast("int"))
+    return first_per_key(structured.unionByName(card_fields(placed)), ["site", "url"], ["branch", "seq"])
 
 
 @operator("product_urls")

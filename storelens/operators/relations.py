@@ -108,13 +108,17 @@ def links(pages: DataFrame) -> DataFrame:
     return with_site(pages).select(*PAGE, F.inline(link_array(text.markup(F.col("html")), F.col("url"))))
 
 
+def ld_entries(pages: DataFrame) -> Column:
+    """Entries of a page's JSON-LD blocks as an array of VARIANT."""
+    blocks = F.col("ld_blocks") if "ld_blocks" in pages.columns else F.regexp_extract_all("html", F.lit(LD_PATTERN), F.lit(1))
+    docs = F.filter(F.transform(blocks, F.try_parse_json), lambda d: d.isNotNull())
+    return F.flatten(F.call_function("transform", docs, F.expr("d -> coalesce(try_variant_get(d, '$', 'array<variant>'), array(d))")))
+
+
 @operator("structured_items")
 def structured_items(pages: DataFrame) -> DataFrame:
     """JSON-LD blocks as VARIANT; a top-level array gives one row per entry, bad JSON none. ``seq`` counts a page's entries."""
-    staged = "ld_blocks" in pages.columns
-    blocks = F.col("ld_blocks") if staged else F.regexp_extract_all("html", F.lit(LD_PATTERN), F.lit(1))
-    docs = F.filter(F.transform(blocks, F.try_parse_json), lambda d: d.isNotNull())
-    entries = F.flatten(F.call_function("transform", docs, F.expr("d -> coalesce(try_variant_get(d, '$', 'array<variant>'), array(d))")))
+    entries, staged = ld_entries(pages), "ld_blocks" in pages.columns
     found = (pages if staged else with_site(pages)).select(*PAGE, F.posexplode(entries).alias("seq", "item"))
     return found.select(*PAGE, F.col("seq").cast("long").alias("seq"), "item")
 

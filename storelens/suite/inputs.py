@@ -18,7 +18,8 @@ def dealt(df: DataFrame, key: str) -> DataFrame:
     """
     spark = df.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return df.repartition(tasks, key)
+    # A filter on rendered pages would be moved ahead of the deal, and with it their rendering; not past a column that is not deterministic.
+    return df.repartition(tasks, key).withColumn("_dealt", F.monotonically_increasing_id()).filter("_dealt >= 0").drop("_dealt")
 
 
 def pages(spark, sf) -> DataFrame:

@@ -8,6 +8,7 @@ from storelens.operators.registry import OPERATORS
 from storelens.plans import analysis, assemble
 from storelens.sources import store
 from storelens.streaming import refresh
+from storelens.suite import inputs
 
 def now():
     return F.expr("timestamp '2024-03-01'")
@@ -287,3 +288,10 @@ def test_a_repeated_analysis_returns_the_rows_of_its_first_run(spark, tmp_path):
     more = brands.unionByName(spark.createDataFrame([("new.com", "home")], "site string, category string"))
     assert analysis.analyze_with_reuse(more, stored.unionByName(log.read(), allowMissingColumns=True), candidates, insights, log=log).filter("not reused").count() == 1
     assert {r.site for r in log.read().collect()} == {"me.com", "new.com"}
+
+
+def test_filters_on_rendered_pages_stay_behind_the_deal(spark, tmp_path):
+    spark.range(9).selectExpr("id as p_partkey", "'Brand#1' as p_brand", "'x y' as p_name", "1.5D as p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    rendered = inputs.parts(spark, str(tmp_path)).select(F.concat(F.lit("<p>"), "handle").alias("html")).filter("html rlike 'p>x-y-[0-8]$'")
+    plan = rendered._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RLIKE") < plan.index("RepartitionByExpression") and rendered.count() == 9

@@ -102,6 +102,20 @@ def test_single_product_prefers_the_main_block(pages):
     assert products.single_product(pages((SHOP, html))).first().name == "Main one"
 
 
+def test_single_product_reads_blocks_once_and_where_they_decide(pages):
+    ld = '<script type="application/ld+json">{"@type": "Product", "name": "Listed"}</script>'
+    held = {
+        "main": ld + '<div class="x product"><h2>Main one</h2></div><div class="product"><h2>Second</h2></div>',
+        "later": ld + '<div class="product"><p>x</p></div><div class="product"><h2>Second</h2></div><div DATA-PRODUCT-SINGLE><h2>Marked</h2></div>',
+        "listed": ld + CARDS, "named": ld + "<div class=product-grid><h2>x</h2></div><p>product</p>",
+        "card": ld.replace("Listed", "") + '<div class="product-card"><h3>Card one</h3></div>', "id": ld + "<div ID='product'><h2>By id</h2></div>",
+    }
+    found = products.single_product(pages(*[(f"{SHOP}products/{k}", v) for k, v in held.items()]))
+    names = {r.url.rsplit("/", 1)[1]: r.name for r in found.collect()}
+    assert names == {"main": "Main one", "later": "Marked", "listed": "Listed", "named": "Listed", "card": "Card one", "id": "By id"}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
 HERO = """
 <div class="banner"><a href="/products/mini-lamp?x=1"><img src="/m.png"></a><a href="/about">no</a></div>
 <section class="hero slideshow"><div class="product-item"><h1>Hero Lamp</h1><a href="/products/hero-lamp">Hero Lamp</a></div></section>
