@@ -108,9 +108,12 @@ def strip_tags(html: Column) -> Column:
 def visible_text(html: Column, *, drop_regions: bool = False) -> Column:
     """Visible text of a page, optionally without nav, header and footer."""
     body = markup(html)
-    if drop_regions:
-        body = F.regexp_replace(body, REGIONS, " ")
-    return strip_tags(body)
+    return strip_tags(without_regions(body) if drop_regions else body)
+
+
+def without_regions(body: Column) -> Column:
+    """Markup without nav, header and footer."""
+    return F.regexp_replace(body, REGIONS, " ")
 
 
 def unescape_html(c: Column) -> Column:
@@ -203,7 +206,15 @@ def policy_type(url: Column, title: Column) -> Column:
 def policy_type_from_content(title: Column, content: Column) -> Column:
     both = (F.coalesce(title, F.lit("")) != "") & (F.coalesce(content, F.lit("")) != "")
     text = F.when(both, F.lower(F.concat_ws(" ", title, content))).otherwise(F.lit(""))
-    return first_class(rules.POLICY_TYPE_CONTENT_RULES, text, default="legal")
+
+    def labelled(t):
+        # Word by word: on whole pages that costs less than one pattern of all words.
+        case = F.when(F.lit(False), F.lit(None).cast("string"))
+        for label, words in rules.POLICY_TYPE_CONTENT_RULES:
+            case = case.when(any_of(t.contains(w) for w in words), F.lit(label))
+        return case.otherwise("legal")
+
+    return let(text, labelled)
 
 
 def last_updated(text: Column) -> Column:

@@ -193,16 +193,18 @@ def policy_page_detail(pages: DataFrame) -> DataFrame:
     titles = text.first_of(F.array(*map(title, rules.POLICY_TITLE_SELECTORS)), lambda t: F.length(t) > 3)
     blocks = F.array(*[block(s) for s in rules.POLICY_CONTENT_SELECTORS])
     long_blocks = F.array_join(F.filter(blocks, lambda b: F.length(b) > 100), "\n\n")
-    read = relations.with_dom(base, *PAGE, "html")
-    filled = read.select(
-        *PAGE,
+    body = F.col("body")
+    read = relations.with_dom(base, *PAGE, "html", text.markup(F.col("html")).alias("body"))
+    detail = F.struct(
         text.clean_text(titles).alias("title"),
         F.coalesce(
-            text.blank_to_null(long_blocks),
-            text.blank_to_null(text.visible_text(F.col("html"), drop_regions=True)),
+            text.blank_to_null(long_blocks), text.blank_to_null(text.strip_tags(text.without_regions(body))),
         ).alias("content"),
-        text.last_updated(text.visible_text(F.col("html"))).alias("last_updated"),
-    ).filter((F.col("title") != "") & F.col("content").isNotNull())
+        text.last_updated(text.strip_tags(body)).alias("last_updated"),
+    )
+    # As an array of one, not as columns with a filter, which would be moved below them and read every page a second time.
+    kept = F.filter(F.array(detail), lambda d: (d["title"] != "") & d["content"].isNotNull())
+    filled = read.select(*PAGE, F.inline(kept))
     return filled.withColumn("policy_url", relations.base_url(F.col("url"))).withColumn(
         "policy_type", text.policy_type_from_content(F.col("title"), F.col("content"))
     )

@@ -343,3 +343,13 @@ def test_rule_tables_can_be_extended(pages):
     extra = (("wishlist", ("wish",)), *rules.IMPORTANT_LINK_RULES)
     found = relations.links(pages((SHOP, '<a href="/wish/track">w</a>')))
     assert rows(links.important_links(found, extra), "slot") == [("wishlist",)]
+
+
+def test_policy_pages_are_read_once(pages):
+    long = "<main><h2>Terms</h2><p>" + "word " * 30 + "</p></main>"
+    given = pages(*[(f"{SHOP}policies/{k}", f"<title>{t}</title><nav>menu</nav>{b}") for k, t, b in (("a", "Refund rules", long), ("b", "Shipping", "<p>Soon</p>"), ("c", "", long), ("d", "Privacy", "<nav>x</nav>"))])
+    found = policies.policy_page_detail(given)
+    rows = {r.url.rsplit("/", 1)[1]: r.content for r in found.collect()}
+    assert rows.keys() == {"a", "b", "d"} and rows["a"].startswith("\n## Terms") and rows["b"] == "Shipping Soon" and rows["d"] == "Privacy"
+    # Tags are taken out of a page's markup where its regions are dropped; a filter on the columns would have it twice.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("header|footer") == 1
