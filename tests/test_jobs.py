@@ -295,3 +295,11 @@ def test_filters_on_rendered_pages_stay_behind_the_deal(spark, tmp_path):
     rendered = inputs.parts(spark, str(tmp_path)).select(F.concat(F.lit("<p>"), "handle").alias("html")).filter("html rlike 'p>x-y-[0-8]$'")
     plan = rendered._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("RLIKE") < plan.index("RepartitionByExpression") and rendered.count() == 9
+
+
+def test_a_candidate_s_host_is_taken_once(spark):
+    rows = [("a.com", "https://www.Shop.com/x"), ("a.com", "https://A.com/"), ("a.com", "https://m.facebook.com/a"), ("a.com", "ftp://b.com/"), ("a.com", None)]
+    found = competitors.valid_candidates(spark.createDataFrame(rows, "site string, url string"))
+    assert [r.url for r in found.collect()] == [rows[0][1]]
+    condition = found._jdf.queryExecution().optimizedPlan().toString()
+    assert condition.count("regexp_extract_all") == 1 and "RLIKE" not in condition
