@@ -21,6 +21,8 @@ DEVIATIONS = 2.0
 #: Bits of a phrase's key, and of the filter for each key: its size is a power of two between the two given ones (128 KB, 128 MB).
 KEY_BITS, BITS_EACH, SMALLEST_BITS, LARGEST_BITS = 44, 24, 20, 30
 NO_PART = np.uint64(1 << KEY_BITS)
+#: A place's mark: bits of a second hash of its phrase, which tell phrases of one key apart, above bits of its row's hash.
+CHECK_BITS, ROW_BITS = 31, 12
 #: Entries that a task sums up before it sends them on, and bytes of text it looks at together.
 HELD, GROUP = 1 << 20, 1 << 20
 _PLACES = odd_numbers(LONGEST, 0xBF58476D1CE4E5B9)
@@ -32,10 +34,11 @@ _TABLE = bytes(10 if b in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if b == 9 else b + 3
 class Words:
     """Words of texts of one language, and a key of every phrase of up to ``LONGEST`` words.
 
-    ``keys[k - 1]`` has the keys of k words from every place, ``valid[k - 1]`` whether they lie in one piece.
+    ``keys[k - 1]`` has the keys of k words from every place, ``valid[k - 1]`` whether they lie in one piece,
+    ``rows`` a few bits of the hash of the row that each word is from.
     """
 
-    def __init__(self, lang: str, texts: list[bytes]):
+    def __init__(self, lang: str, texts: list[bytes], rows: list[int] | None = None):
         self.lang, self.text = lang, b"\n".join(texts).translate(_TABLE)
         codes = np.frombuffer(self.text, np.uint8)
         word = (codes != 32) & (codes != 10)
@@ -43,6 +46,8 @@ class Words:
         self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         piece = np.cumsum(codes == 10)[self.starts] if len(codes) else self.starts
         self.hashed = word_hashes(self.text)
+        ends = np.searchsorted(self.starts, np.cumsum([len(text) + 1 for text in texts]))
+        self.rows = np.repeat(np.array(rows or [0] * len(texts), np.uint64), np.diff(ends, prepend=0))
         seed = np.uint64(xxhash.xxh3_64_intdigest(lang))
         self.valid, self.keys = [], []
         total = np.zeros(len(self.hashed), np.uint64)
@@ -54,6 +59,14 @@ class Words:
         # The longest phrases are no part of others; their keys are told from those of parts.
         self.keys[-1] |= NO_PART
 
+    def marks(self):
+        """The marks of k words from every place, for k from 1 to ``LONGEST``."""
+        again = np.zeros(len(self.hashed), np.uint64)
+        for k in range(1, LONGEST + 1):
+            n = max(len(self.hashed) - k + 1, 0)
+            again = again[:n] + self.hashed[k - 1 : k - 1 + n] * _AGAIN[k - 1]
+            yield again >> np.uint64(64 - CHECK_BITS) << np.uint64(ROW_BITS) | self.rows[:n]
+
     def phrase(self, at: int, k: int) -> bytes:
         return b" ".join(self.text[self.starts[at] : self.ends[at + k - 1]].split())
 
@@ -96,14 +109,15 @@ class Filter:
 def _words(batches):
     """Words of the batches' texts by language, of about ``GROUP`` bytes at a time."""
     for batch in batches:
-        texts: dict[str, list[bytes]] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-            held = texts.setdefault(lang, [])
+        texts: dict[str, tuple[list[bytes], list[int]]] = {}
+        for lang, text, row in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            held, rows = texts.setdefault(lang, ([], []))
             held.append(text)
+            rows.append(row)
             if sum(map(len, held)) >= GROUP:
-                yield Words(lang, texts.pop(lang))
-        for lang, held in texts.items():
-            yield Words(lang, held)
+                yield Words(lang, *texts.pop(lang))
+        for lang, (held, rows) in texts.items():
+            yield Words(lang, held, rows)
 
 
 def _summed(found):
@@ -125,6 +139,33 @@ def _summed(found):
         yield flush()
 
 
+def _marked(found):
+    """Batches of keys with their numbers and least marks, summed as in ``_summed``; a key of two phrases has a row with its largest mark, too."""
+    held, size = [], 0
+
+    def flush():
+        keys, marks = (np.concatenate(parts) for parts in zip(*held))
+        held.clear()
+        order = np.argsort(keys)
+        keys, marks = keys[order], marks[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        keys, n = keys[first], np.diff(first, append=len(keys))
+        low, high = np.minimum.reduceat(marks, first), np.maximum.reduceat(marks, first)
+        mixed = low >> np.uint64(ROW_BITS) != high >> np.uint64(ROW_BITS)
+        columns = [np.concatenate((keys, keys[mixed])).astype(np.int64), np.concatenate((n, np.zeros(mixed.sum(), np.int64))), np.concatenate((low, high[mixed])).astype(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "n", "mark"])
+
+    for keys, marks in found:
+        if len(keys):
+            held.append((keys, marks))
+            size += len(keys)
+        if size >= HELD:
+            yield flush()
+            size = 0
+    if held:
+        yield flush()
+
+
 def _first_proposals(batches):
     """Keys of all words and pairs of words."""
     yield from _summed(words.keys[k][words.valid[k]] for words in _words(batches) for k in range(2))
@@ -147,7 +188,7 @@ def _longer_proposals(sent):
 
 
 def _candidates(sent):
-    """Keys of the proposed phrases and of their negative border.
+    """Keys and marks of the proposed phrases and of their negative border.
 
     A phrase is one of these if its first and its last words without one are proposed: then it is proposed
     itself or on the border. What an earlier pass has counted is left out. The first pass counts all words.
@@ -156,39 +197,44 @@ def _candidates(sent):
     def keys(batches):
         earlier, now = (Filter(bits) if bits is not None else None for bits in sent.value)
         for words in _words(batches):
+            marks = list(words.marks())
             if earlier is None:
-                yield words.keys[0]
+                yield words.keys[0], marks[0]
             for k in range(2, LONGEST + 1):
                 parts = words.keys[k - 2]
                 held = now.holds(parts)
                 at = np.flatnonzero(words.valid[k - 1] & held[:-1] & held[1:])
                 if earlier is not None:
                     at = at[~(earlier.holds(parts[at]) & earlier.holds(parts[at + 1]))]
-                yield words.keys[k - 1][at]
+                yield words.keys[k - 1][at], marks[k - 1][at]
 
-    return lambda batches: _summed(keys(batches))
+    return lambda batches: _marked(keys(batches))
 
 
 def _spelled(sent):
-    """Numbers of all phrases whose key is in the filter, by their texts, and of all words of each language."""
+    """Texts of phrases with their keys: those of plain keys from their chosen rows, those of mixed keys from everywhere, and the number of words."""
 
     def run(batches):
-        wanted, held, size = Filter(sent.value), [], 0
+        (plain, mixed), held, size = (Filter(bits) for bits in sent.value), [], 0
+        names = ["key", "again", "lang", "phrase", "words"]
 
         def flush():
-            rows = pa.Table.from_batches(held).group_by(["lang", "phrase", "words"]).aggregate([("n", "sum")])
+            rows = pa.Table.from_batches(held).group_by(names).aggregate([("n", "sum")])
             held.clear()
-            return rows.select(["lang", "phrase", "words", "n_sum"]).rename_columns(["lang", "phrase", "words", "n"]).combine_chunks().to_batches()
+            return rows.select([*names, "n_sum"]).rename_columns([*names, "n"]).combine_chunks().to_batches()
 
         for words in _words(batches):
-            rows = [(None, 0, len(words.starts))]
-            for k in range(1, LONGEST + 1):
-                at = np.flatnonzero(words.valid[k - 1])
-                at = at[wanted.holds(words.keys[k - 1][at])]
-                rows += [(words.phrase(x, k), k, n) for x, n in words.times(at, k)]
-            phrase, k, n = zip(*rows)
-            columns = [pa.array([words.lang] * len(rows), pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(k, pa.int32()), pa.array(n, pa.int64())]
-            held.append(pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "n"]))
+            rows = [(None, None, None, 0, len(words.starts))]
+            for k, marks in enumerate(words.marks(), 1):
+                keys = words.keys[k - 1]
+                wanted = plain.holds(keys | words.rows[: len(keys)] << np.uint64(KEY_BITS + 1))
+                if mixed.bits.any():
+                    wanted |= mixed.holds(keys)
+                at = np.flatnonzero(words.valid[k - 1] & wanted)
+                rows += [(int(keys[x]), int(marks[x]) >> ROW_BITS, words.phrase(x, k), k, n) for x, n in words.times(at, k)]
+            key, again, phrase, k, n = zip(*rows)
+            spelled = [pa.array([words.lang] * len(rows), pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(k, pa.int32())]
+            held.append(pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(again, pa.int64()), *spelled, pa.array(n, pa.int64())], [*names, "n"]))
             size += len(rows)
             if size >= HELD:
                 yield from flush()
@@ -230,24 +276,35 @@ def count_phrases(docs: DataFrame, least: int = LEAST, sample: float = SAMPLE, i
     3. A border phrase that is frequent is a failure: it may be part of longer ones. It joins the proposals,
        and a further pass counts what is now proposed or on the border and was not before, until no border
        phrase fails. Then by induction over the length every frequent phrase has been counted.
-    4. A last pass counts the phrases with frequent keys by their texts, so that equal keys of different phrases
-       make no difference.
+    4. A last pass reads the texts of frequent phrases. Each place has a mark beside its key: a second hash of its phrase
+       above a few bits of its row's hash. A key whose places agree in the second hash has one phrase: its text is read from the
+       rows with the least of those bits alone, so its rows don't grow with the tasks that hold it. A key of several phrases is
+       counted by their texts, so that equal keys make no difference.
 
-    Proposals and frequent keys travel as filters of bounded size. Phrases that these wrongly hold are counted
-    as well, which costs time and changes no result. Only sums over about a million entries are shuffled.
+    Phrases are the same if both hashes are, 75 bits of sums over 64-bit hashes of their words. Proposals and frequent
+    keys travel as filters of bounded size. Phrases that these wrongly hold are counted as well, which costs time and changes no result. Only sums over about a million entries are shuffled.
     """
     docs = small_batches(docs)
     send = docs.sparkSession.sparkContext.broadcast
-    pick = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 20)) < int(sample * (1 << 20))
-    texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"), pick.alias("pick"))
+    hashed = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    pick = F.pmod(hashed, F.lit(1 << 20)) < int(sample * (1 << 20))
+    row = F.shiftright(hashed, 20).bitwiseAND(F.lit((1 << ROW_BITS) - 1)).cast("int")
+    texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"), row.alias("row"), pick.alias("pick"))
     texts = texts.filter("text is not null")
-    few, texts = texts.filter("pick").select("lang", "text"), texts.select("lang", "text")
+    few, texts = texts.filter("pick").select("lang", "text", "row"), texts.select("lang", "text", "row")
     lowered = max(1, math.floor(sample * least - DEVIATIONS * math.sqrt(sample * least)))
 
     def frequent(rows: DataFrame, function, threshold: int, name: str) -> DataFrame:
         summed = rows.mapInArrow(function, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
         return stage(summed.filter(F.col("n") >= threshold).select("key"), name)
 
+    def counted(rows: DataFrame, function) -> DataFrame:
+        # The tasks have summed up; what little more a task could do would cost more than it saves.
+        summed = rows.mapInArrow(function, "key long, n long, mark long").repartition("key").groupBy("key").agg(
+            F.sum("n").alias("n"), F.min("mark").alias("low"), F.max("mark").alias("high")
+        )
+        return stage(summed.filter(F.col("n") >= least), "frequent")
+
     short = frequent(few, _first_proposals, lowered, "proposed")
     bits = _set_bits(short, _room(2 * short.count()))
     sent = send(bits)
@@ -256,19 +313,28 @@ def count_phrases(docs: DataFrame, least: int = LEAST, sample: float = SAMPLE, i
     found = None
     while True:
         sent = send((earlier, now))
-        more = frequent(texts, _candidates(sent), least, "frequent")
+        more = counted(texts, _candidates(sent))
         sent.destroy()
         found = more if found is None else found.union(more)
         grown = _set_bits(more.filter(F.col("key") < int(NO_PART)), now)
         if np.array_equal(grown, now):
             break
         earlier, now = now, grown
-    sent = send(_set_bits(found, _room(found.count())))
-    counted = texts.mapInArrow(_spelled(sent), "lang string, phrase string, words int, n long")
-    counted = counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-    counted = stage(counted.filter((F.col("n") >= least) | (F.col("words") == 0)), "counted")
+    # Phrases of one key may have been counted by different passes.
+    found = found.groupBy("key").agg(F.sum("n").alias("n"), F.min("low").alias("mark"), F.max("high").alias("high"))
+    one = F.shiftright("mark", ROW_BITS) == F.shiftright("high", ROW_BITS)
+    found = stage(found.select("key", "n", "mark", one.alias("one")), "found")
+    plain, mixed = found.filter("one"), found.filter("not one").select("key")
+    row = F.col("mark").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    pairs = plain.select(F.col("key").bitwiseOR(F.shiftleft(row, KEY_BITS + 1)).alias("key"))
+    sent = send(tuple(_set_bits(keys, _room(keys.count())) for keys in (pairs, mixed)))
+    spelled = stage(texts.mapInArrow(_spelled(sent), "key long, again long, lang string, phrase string, words int, n long"), "spelled")
     sent.destroy()
-    return counted.filter("words > 0"), counted.filter("words = 0").select("lang", "n")
+    plain = plain.select("key", "n", F.shiftright("mark", ROW_BITS).alias("again"))
+    once = spelled.drop("n").distinct().join(plain, ["key", "again"]).select("lang", "phrase", "words", "n")
+    apart = spelled.join(mixed, "key", "left_semi").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+    phrases = stage(once.union(apart.filter(F.col("n") >= least)), "phrases")
+    return phrases, spelled.filter("words = 0").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:

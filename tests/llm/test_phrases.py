@@ -95,3 +95,28 @@ def test_filter_leaves_nothing_out(spark):
     assert held.holds(keys[:2500]).all() and held.holds(keys[2500:]).mean() < 0.2
     grown = phrases._set_bits(spark.createDataFrame([(int(k),) for k in keys[2500:]], "key long"), bits)
     assert phrases.Filter(grown).holds(keys).all() and np.array_equal(grown & bits, bits)
+
+
+def test_phrases_of_one_key_are_marked():
+    keys, marks = np.array([5, 9, 5, 5], np.uint64), np.array([3 << 12 | 7, 1 << 12 | 2, 4 << 12 | 1, 3 << 12 | 6], np.uint64)
+    (batch,) = phrases._marked([(keys[:2], marks[:2]), (keys[:0], marks[:0]), (keys[2:], marks[2:])])
+    assert sorted(zip(*batch.to_pydict().values())) == [(5, 0, 4 << 12 | 1), (5, 3, 3 << 12 | 6), (9, 1, 1 << 12 | 2)]
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_rows_of_the_last_pass_do_not_grow_with_tasks(spark, monkeypatch, copies):
+    sizes, whole = [], phrases.stage
+
+    def counted(df, name):
+        out = whole(df, name)
+        if name == "spelled":
+            sizes.append(out.filter("words > 0").count())
+        return out
+
+    monkeypatch.setattr(phrases, "stage", counted)
+    texts = [" ".join(f"w{(i * (0 if copies else 7) + j) % 40}" for j in range(80)) for i in range(640)]
+    docs = spark.createDataFrame([(i, text, "en") for i, text in enumerate(texts)], "doc_id long, text string, lang string")
+    for tasks in (1, 32):
+        found, totals = phrases.count_phrases(docs.repartition(tasks), 100)
+        assert totals.first().n == 640 * 80 and found.count() == 200 and len(set(found.collect())) == 200
+    assert sizes[1] < 1.5 * sizes[0]
