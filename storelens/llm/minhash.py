@@ -126,7 +126,36 @@ def _bounded(met: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
     return nodes.join(most, ["node", "component"]).filter(able).select("node", "component", "most")
 
 
-def _across(posts: DataFrame, alone: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+def _apart(held: DataFrame, heads: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, m, own_a, b, n, own) of sets that may be similar enough though neither is to the head of a list that both are in.
+
+    Sets of a and b shingles that differ in d are similar enough if 7 d <= a + b. Two sets that differ from a head of h
+    shingles in D and E of them, of which they have c in common, differ in D + E - 2 c. As neither is similar to the head,
+    7 E > b + h, so they need 14 c > 7 D + h - a: far copies of a text are only a pair if they were changed in the same
+    places. Of D differences, ordered by how often they occur under the head, the D - c + 1 rarest suffice, so what
+    one copy has alone and what many of them lack makes no pairs.
+    """
+    near = held.join(heads.select("value", F.col("b").alias("head"), "m"), "value").filter(F.col("node") != F.col("head"))
+    near = near.select("head", "m", "node", "n", "own").distinct()
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
+    both = near.join(side("node"), "node").join(side("head"), "head")
+    apart = F.concat(F.array_except("s_node", "s_head"), F.array_except("s_head", "s_node"))
+    need = F.floor((F.size("apart") * 7 + F.col("m") - F.col("n")) / 14) + 1
+    rows = both.select("head", "m", "node", "n", "own", apart.alias("apart")).withColumn("need", need)
+    rows = stage(rows.filter(F.size("apart") - F.col("own") >= F.col("need")), "apart")
+    places = rows.select("head", "node", F.explode("apart").alias("place"))
+    times = places.groupBy("head", "place").agg(F.count("*").alias("times")).filter("times > 1")
+    shared = places.join(times, ["head", "place"]).groupBy("head", "node").agg(F.sort_array(F.collect_list(F.struct("times", "place"))).alias("shared"))
+    # Differences that no other copy has are the rarest of all.
+    first = F.size("shared") - F.col("need") + 1
+    rare = rows.join(shared, ["head", "node"]).filter(first > 0).select("head", "node", "n", "own", F.explode(F.slice("shared", F.lit(1), first)).alias("post"))
+    rare = stage(rare.select("head", "post.place", "node", "n", "own"), "rare")
+    left = rare.select("head", "place", F.col("node").alias("a"), F.col("n").alias("m"), F.col("own").alias("own_a"))
+    right = rare.select("head", "place", F.col("node").alias("b"), "n", "own")
+    return left.join(right, ["head", "place"]).filter("struct(m, a) < struct(n, b)").drop("head", "place").distinct()
+
+
+def _across(posts: DataFrame, heads: DataFrame, alone: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets in one posting list that lie in different components and may be similar enough.
 
     A set of n shingles of which ``own`` occur in no other posted set shares n - own with another of m at
@@ -135,6 +164,7 @@ def _across(posts: DataFrame, alone: DataFrame, labels: DataFrame, sets: DataFra
     edited copies, meet this, so they are not paired. What remains is paired by component first; a node is then
     held against all shingles of the other component at once (see ``_bounded``), and only where that allows
     it against the members, so a large component of copies is not read once for each of many far copies.
+    Components of one posted node each are paired by what sets them apart from a head of theirs (see ``_apart``).
     """
     held = posts.join(alone, "node", "left").join(labels, "node", "left").select(
         "value", "node", "n", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("component", "node").alias("label")
@@ -147,29 +177,26 @@ def _across(posts: DataFrame, alone: DataFrame, labels: DataFrame, sets: DataFra
     large = held.filter(high >= low).withColumn("bin", F.explode(F.sequence(_bin(low), _bin(high))))
     entries = small.select("value", "bin", "label").distinct()
     others = large.select("value", "bin", F.col("label").alias("other")).distinct()
-    met = stage(entries.join(others, ["value", "bin"]).filter(F.col("label") != F.col("other")), "met")
     members = stage(held.select("label", "node", "n").distinct(), "members")
+    single = members.groupBy("label").agg(F.count("*").alias("k")).filter("k = 1").select("label")
+    others_single = single.withColumnRenamed("label", "other")
+    met = entries.join(single, "label", "left_anti").join(others, ["value", "bin"])
+    more = entries.join(single, "label", "left_semi").join(others.join(others_single, "other", "left_anti"), ["value", "bin"])
+    met = stage(met.unionByName(more).filter(F.col("label") != F.col("other")), "met")
     bounded = stage(_bounded(met, members, sets), "bounded")
-    left = small.select("value", "bin", "label", F.col("node").alias("a"), F.col("n").alias("m"), F.col("own").alias("own_a"))
-    right = large.select("value", "bin", F.col("label").alias("other"), F.col("node").alias("b"), "n", "own")
-
     def able(*bounds):
         most = F.least(n - own, F.col("m") - F.col("own_a"), *bounds)
         return (F.struct("m", "a") < F.struct("n", "b")) & (most * 100 >= (n + F.col("m") - most) * SIMILARITY)
 
-    single = members.groupBy("label").agg(F.count("*").alias("k")).filter("k = 1").select("label")
-    # Two components of one posted node each are a pair of nodes, however many lists they meet in.
-    both = met.select("label", "other").distinct().join(single, "label", "left_semi")
-    pairs = both.join(single.withColumnRenamed("label", "other"), "other", "left_semi").select(F.col("label").alias("small"), F.col("other").alias("large"))
-    lesser = held.select("label", F.col("node").alias("a"), F.col("n").alias("m"), F.col("own").alias("own_a")).distinct()
-    pairs = pairs.join(lesser, pairs["small"] == lesser["label"]).drop("label")
-    greater = held.select("label", F.col("node").alias("b"), "n", "own").distinct()
-    found = [pairs.join(greater, pairs["large"] == greater["label"]).filter(able())]
-    # The node held against the other's component is the smaller of the two sets, or the larger.
-    near_left = left.join(bounded.select(F.col("node").alias("a"), F.col("component").alias("other"), "most"), "a")
-    near_right = right.join(bounded.select(F.col("node").alias("b"), F.col("component").alias("label"), "most"), "b")
-    found.append(near_left.join(right, ["value", "bin", "other"]).filter(able("most")))
-    found.append(near_right.join(left, ["value", "bin", "label"]).filter(able("most")))
+    found = [_apart(held.join(single, "label", "left_semi"), heads, sets).filter(able())]
+    # A node and a member of the component it is held against are a pair once, however many lists they meet in.
+    sized = held.select("label", "node", F.struct("n", "node", "own").alias("size")).distinct()
+    near = bounded.join(sized.select("node", F.col("size").alias("one")), "node")
+    near = near.join(sized.select(F.col("label").alias("component"), F.col("size").alias("other")), "component")
+    near = near.select(F.least("one", "other").alias("p"), F.greatest("one", "other").alias("q"), "most").select(
+        F.col("p.node").alias("a"), F.col("p.n").alias("m"), F.col("p.own").alias("own_a"), F.col("q.node").alias("b"), F.col("q.n").alias("n"), F.col("q.own").alias("own"), "most"
+    )
+    found.append(near.filter(able("most")))
     return reduce(DataFrame.union, [f.select("a", "b") for f in found]).distinct()
 
 
@@ -184,7 +211,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        of its posting lists only: the one whose values occur most often, near the middle of a group.
     3. What the confirmed links join already needs no further check. Only nodes of one posting list
        that are still in different components are paired (see ``_across``), so neither a large group of
-       copies nor a passage that many documents share makes many pairs.
+       copies, near or far, nor a passage that many documents share makes many pairs.
     4. Pairs that agree in ``MATCHES`` coordinates are confirmed on their full sets, read from the texts.
 
     Null, empty and blank texts have n_shingles 0 and are linked with nothing. A null doc_id gets
@@ -215,7 +242,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stage(_linked(first, sets), "links")
 
     labels = stage(connected_components(links), "labels")
-    second = stage(_matched(stage(_across(posts, alone, labels, sets), "across"), classes), "pairs")
+    second = stage(_matched(stage(_across(posts, heads, alone, labels, sets), "across"), classes), "pairs")
     links = stage(links.union(_linked(second, sets)), "links")
 
     labels = stage(connected_components(links), "labels")
