@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -104,55 +103,118 @@ def _bin(size) -> Column:
 
 
 def _bounded(met: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Nodes against whole components: (node, component, most), most shingles that the node can share with any member.
+    """Nodes against whole components: (node, n, own, component, head, m, largest) where the component allows a link.
 
     ``met`` has pairs of components. Of each pair the nodes of the one with fewer posted nodes are taken, and their
     shingles counted that occur anywhere in the other. Nodes that can't be similar enough to a
     member that has at least the size of the smallest are left out, and no member is read for them.
+    head is the component's member whose values occur most often, m its size, largest that of the largest member.
     """
-    sizes = members.groupBy("label").agg(F.count("*").alias("k"), F.min("n").alias("least"))
+    sizes = members.groupBy("label").agg(
+        F.count("*").alias("k"), F.min("n").alias("least"), F.max("n").alias("largest"), F.max(F.struct("weight", "node", "n")).alias("head")
+    )
     pairs = met.select(F.least("label", "other").alias("p"), F.greatest("label", "other").alias("q")).distinct()
-    side = lambda x: sizes.select(F.col("label").alias(x), F.struct("k", F.col("label").alias("l"), "least").alias(f"{x}_size"))
+    side = lambda x: sizes.select(F.col("label").alias(x), F.struct("k", F.col("label").alias("l"), "least", "largest", "head").alias(f"{x}_size"))
     pairs = pairs.join(side("p"), "p").join(side("q"), "q").select(
         F.least("p_size", "q_size")["l"].alias("label"), F.greatest("p_size", "q_size").alias("large")
     )
-    pairs = pairs.filter("large.k > 1").select("label", F.col("large.l").alias("component"), F.col("large.least").alias("least"))
-    nodes = stage(pairs.join(members, "label").select("node", "n", "component", "least"), "against")
+    pairs = pairs.filter("large.k > 1").select(
+        "label", F.col("large.l").alias("component"), "large.least", F.col("large.head.node").alias("head"), F.col("large.head.n").alias("m"), "large.largest"
+    )
+    nodes = stage(pairs.join(members, "label").select("node", "n", "own", "component", "least", "head", "m", "largest"), "against")
     mine = nodes.join(sets, "node").select("node", "component", F.explode("shingles").alias("shingle"))
     held = members.join(nodes.select(F.col("component").alias("label")).distinct(), "label", "left_semi").join(sets, "node")
     held = held.select(F.col("label").alias("component"), F.explode("shingles").alias("shingle")).distinct()
     most = mine.join(held, ["component", "shingle"]).groupBy("node", "component").agg(F.count("*").alias("most"))
     able = F.col("most") * 100 >= (F.col("n") + F.greatest("least", "most") - F.col("most")) * SIMILARITY
-    return nodes.join(most, ["node", "component"]).filter(able).select("node", "component", "most")
+    return nodes.join(most, ["node", "component"]).filter(able).select("node", "n", "own", "component", "head", "m", "largest")
+
+
+def _differing(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (node, head, ..) with the shingles that the node has and the head lacks (more), the reverse (gone), and how many both are."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
+    both = rows.join(side("node"), "node").join(side("head"), "head")
+    both = both.withColumn("more", F.array_except("s_node", "s_head")).withColumn("gone", F.array_except("s_head", "s_node"))
+    return both.drop("s_node", "s_head").withColumn("differ", F.size("more") + F.size("gone"))
+
+
+def _places(rows: DataFrame) -> DataFrame:
+    flagged = lambda name, extra: F.transform(name, lambda x: F.struct(x.alias("place"), F.lit(extra).alias("extra")))
+    return rows.select("group", "node", F.explode(F.concat(flagged("more", 1), flagged("gone", 0))).alias("at")).select("group", "node", "at.*")
+
+
+def _rarest(rows: DataFrame, times: DataFrame) -> DataFrame:
+    """Per row the differences (place) that two sets with ``need`` of them in common can't both avoid.
+
+    Of a set's differences, ordered by how many pairs each makes, all but the need - 1 last suffice. Those without a
+    pair come first and need no posting. extra and lost count the others that are in the set and in the head.
+    """
+    shared = _places(rows).join(times, ["group", "place"]).groupBy("group", "node").agg(
+        F.sort_array(F.collect_list(F.struct("times", "place"))).alias("shared"), F.sum("extra").alias("extra"), F.sum(1 - F.col("extra")).alias("lost")
+    )
+    first = F.size("shared") - F.col("need") + 1
+    near = rows.join(shared, ["group", "node"]).filter(first > 0)
+    post = F.explode(F.slice("shared", F.lit(1), first)).alias("post")
+    return stage(near.select("group", "node", "n", "own", "differ", "extra", "lost", post).select("*", "post.place").drop("post"), "rare")
+
+
+def _together(one: DataFrame, other: DataFrame, *more: Column) -> DataFrame:
+    """Pairs (a, b) of postings of one group that share a place and may be similar enough.
+
+    Sets of a and b shingles that differ from a head in D and E of them, of which they have c in common, differ in
+    D + E - 2 c, and are similar enough if 7 (D + E - 2 c) <= a + b. Of shingles that only they have and of those that only the
+    head has they share at most what the one with fewer of them has. A set shares n - own shingles with any other at most.
+    """
+    left = one.select(*[F.col(x).alias(f"{x}_a") for x in ("group", "place", "node", "n", "own", "differ", "extra", "lost")])
+    common = F.least("extra", "extra_a") + F.least("lost", "lost_a")
+    apart = (F.col("differ") + F.col("differ_a") - common * 2) * 7 <= F.col("n") + F.col("n_a")
+    most = F.least(F.col("n") - F.col("own"), F.col("n_a") - F.col("own_a"))
+    able = apart & (most * 100 >= (F.col("n") + F.col("n_a") - most) * SIMILARITY)
+    same = (F.col("group_a") == F.col("group")) & (F.col("place_a") == F.col("place"))
+    return left.join(other, [same & able, *more]).select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _need() -> Column:
+    """Least differences from the head that a row's set must share with a set that is not similar to the head."""
+    return F.floor((F.col("differ") * 7 + F.col("m") - F.col("n")) / 14) + 1
 
 
 def _apart(held: DataFrame, heads: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, m, own_a, b, n, own) of sets that may be similar enough though neither is to the head of a list that both are in.
+    """Pairs (a, b) of sets that may be similar enough though neither is to the head of a list that both are in.
 
     Sets of a and b shingles that differ in d are similar enough if 7 d <= a + b. Two sets that differ from a head of h
     shingles in D and E of them, of which they have c in common, differ in D + E - 2 c. As neither is similar to the head,
     7 E > b + h, so they need 14 c > 7 D + h - a: far copies of a text are only a pair if they were changed in the same
-    places. Of D differences, ordered by how often they occur under the head, the D - c + 1 rarest suffice, so what
-    one copy has alone and what many of them lack makes no pairs.
+    places. What one copy has alone and what many of them lack makes no pairs (see ``_rarest``).
     """
     near = held.join(heads.select("value", F.col("b").alias("head"), "m"), "value").filter(F.col("node") != F.col("head"))
-    near = near.select("head", "m", "node", "n", "own").distinct()
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
-    both = near.join(side("node"), "node").join(side("head"), "head")
-    apart = F.concat(F.array_except("s_node", "s_head"), F.array_except("s_head", "s_node"))
-    need = F.floor((F.size("apart") * 7 + F.col("m") - F.col("n")) / 14) + 1
-    rows = both.select("head", "m", "node", "n", "own", apart.alias("apart")).withColumn("need", need)
-    rows = stage(rows.filter(F.size("apart") - F.col("own") >= F.col("need")), "apart")
-    places = rows.select("head", "node", F.explode("apart").alias("place"))
-    times = places.groupBy("head", "place").agg(F.count("*").alias("times")).filter("times > 1")
-    shared = places.join(times, ["head", "place"]).groupBy("head", "node").agg(F.sort_array(F.collect_list(F.struct("times", "place"))).alias("shared"))
-    # Differences that no other copy has are the rarest of all.
-    first = F.size("shared") - F.col("need") + 1
-    rare = rows.join(shared, ["head", "node"]).filter(first > 0).select("head", "node", "n", "own", F.explode(F.slice("shared", F.lit(1), first)).alias("post"))
-    rare = stage(rare.select("head", "post.place", "node", "n", "own"), "rare")
-    left = rare.select("head", "place", F.col("node").alias("a"), F.col("n").alias("m"), F.col("own").alias("own_a"))
-    right = rare.select("head", "place", F.col("node").alias("b"), "n", "own")
-    return left.join(right, ["head", "place"]).filter("struct(m, a) < struct(n, b)").drop("head", "place").distinct()
+    near = near.select(F.col("head").alias("group"), "head", "m", "node", "n", "own").distinct()
+    rows = _differing(near, sets).withColumn("need", _need())
+    rows = stage(rows.filter(F.col("differ") - F.col("own") >= F.col("need")), "apart")
+    times = _places(rows).groupBy("group", "place").agg(F.count("*").alias("times")).filter("times > 1")
+    rare = _rarest(rows, times)
+    return _together(rare, rare, F.struct("n_a", "node_a") < F.struct("n", "node"))
+
+
+def _against(bounded: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes and members of the components they are held against that may be similar enough.
+
+    Each node meets its component's head. If that is similar, the node is joined to the component and needs no other
+    member. If not, what ``_apart`` says of the head holds for every member: it needs 14 c > 7 D + h - a of its D
+    differences in common with the node, so most members of a group around the head, which have few differences or
+    most of them alone, meet no such node. A node that differs in E shares c >= E - (a + b) / 7 of them.
+    """
+    nodes = _differing(bounded.withColumnRenamed("component", "group"), sets)
+    alike = F.col("differ") * 7 <= F.col("n") + F.col("m")
+    nodes = stage(nodes.withColumn("need", F.greatest(F.lit(1), F.ceil((F.col("differ") * 7 - F.col("n") - F.col("largest")) / 7))), "apart")
+    far = nodes.filter(~alike)
+    groups = far.select("group", "head", "m").distinct()
+    rows = _differing(members.withColumnRenamed("label", "group").join(groups, "group").filter("node <> head"), sets).withColumn("need", _need())
+    rows = stage(rows.filter(F.col("differ") - F.col("own") >= F.col("need")), "apart")
+    count = lambda of, name: _places(of).groupBy("group", "place").agg(F.count("*").alias(name))
+    times = count(far, "x").join(count(rows, "y"), ["group", "place"]).select("group", "place", (F.col("x") * F.col("y")).alias("times"))
+    times = stage(times, "times")
+    return nodes.filter(alike).select(F.col("node").alias("a"), F.col("head").alias("b")).union(_together(_rarest(far, times), _rarest(rows, times)))
 
 
 def _across(posts: DataFrame, heads: DataFrame, alone: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
@@ -163,11 +225,12 @@ def _across(posts: DataFrame, heads: DataFrame, alone: DataFrame, labels: DataFr
     the larger, m <= (n - own) / 0.75 - own. Few sets of a passage that many documents share, or of far
     edited copies, meet this, so they are not paired. What remains is paired by component first; a node is then
     held against all shingles of the other component at once (see ``_bounded``), and only where that allows
-    it against the members, so a large component of copies is not read once for each of many far copies.
+    it against its head and the members that may be nearer (see ``_against``), so a large component of copies is not read
+    once for each of many far copies.
     Components of one posted node each are paired by what sets them apart from a head of theirs (see ``_apart``).
     """
     held = posts.join(alone, "node", "left").join(labels, "node", "left").select(
-        "value", "node", "n", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("component", "node").alias("label")
+        "value", "node", "n", "weight", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("component", "node").alias("label")
     )
     n, own = F.col("n"), F.col("own")
     held = stage(held.filter((n - own) * 100 >= n * SIMILARITY), "held")
@@ -177,27 +240,14 @@ def _across(posts: DataFrame, heads: DataFrame, alone: DataFrame, labels: DataFr
     large = held.filter(high >= low).withColumn("bin", F.explode(F.sequence(_bin(low), _bin(high))))
     entries = small.select("value", "bin", "label").distinct()
     others = large.select("value", "bin", F.col("label").alias("other")).distinct()
-    members = stage(held.select("label", "node", "n").distinct(), "members")
+    members = stage(held.select("label", "node", "n", "own", "weight").distinct(), "members")
     single = members.groupBy("label").agg(F.count("*").alias("k")).filter("k = 1").select("label")
     others_single = single.withColumnRenamed("label", "other")
     met = entries.join(single, "label", "left_anti").join(others, ["value", "bin"])
     more = entries.join(single, "label", "left_semi").join(others.join(others_single, "other", "left_anti"), ["value", "bin"])
     met = stage(met.unionByName(more).filter(F.col("label") != F.col("other")), "met")
     bounded = stage(_bounded(met, members, sets), "bounded")
-    def able(*bounds):
-        most = F.least(n - own, F.col("m") - F.col("own_a"), *bounds)
-        return (F.struct("m", "a") < F.struct("n", "b")) & (most * 100 >= (n + F.col("m") - most) * SIMILARITY)
-
-    found = [_apart(held.join(single, "label", "left_semi"), heads, sets).filter(able())]
-    # A node and a member of the component it is held against are a pair once, however many lists they meet in.
-    sized = held.select("label", "node", F.struct("n", "node", "own").alias("size")).distinct()
-    near = bounded.join(sized.select("node", F.col("size").alias("one")), "node")
-    near = near.join(sized.select(F.col("label").alias("component"), F.col("size").alias("other")), "component")
-    near = near.select(F.least("one", "other").alias("p"), F.greatest("one", "other").alias("q"), "most").select(
-        F.col("p.node").alias("a"), F.col("p.n").alias("m"), F.col("p.own").alias("own_a"), F.col("q.node").alias("b"), F.col("q.n").alias("n"), F.col("q.own").alias("own"), "most"
-    )
-    found.append(near.filter(able("most")))
-    return reduce(DataFrame.union, [f.select("a", "b") for f in found]).distinct()
+    return _apart(held.join(single, "label", "left_semi"), heads, sets).union(_against(bounded, members, sets)).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
